@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def composed(name: str | None) -> str | None:
@@ -17,7 +18,7 @@ def composed(name: str | None) -> str | None:
     return name if name.isascii() else unicodedata.normalize("NFC", name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed_column(names: pd.Series) -> pd.Series:
     return pd.Series([composed(x) for x in names], dtype=object)
 

@@ -56,7 +56,7 @@ def json_digest(text: str | None, ignored: frozenset[str]) -> int | None:
     if text is None:
         return None
     try:
-        value = _DECODER.decode(text.strip("﻿"))
+        value = _DECODER.decode(text)
         if any(f'"{k}"' in text for k in ignored) or "\\" in text:
             value = _without(value, ignored)
         return _signed(xxhash.xxh3_64_intdigest(_ENCODER.encode(value).encode("utf-8", "surrogatepass")))
