@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.conversations import conversations, with_texts
+from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
+from graphloom.llm.tokens import encode
 from graphloom.sources.tables import table
 
 
@@ -32,8 +34,18 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return with_bodies(documented_routines(modules, full=True), modules).select("module_id", "line_no", "name", "kind", "description", F.length("body").alias("body_chars"), "body")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every current routine body above the limit."""
+    return pieces(table(spark, folder, "routine"), "id", "body").withColumnRenamed("id", "routine_id")
+
+
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
