@@ -9,6 +9,7 @@ from graphloom.llm.conversations import conversations, with_texts
 from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
 from graphloom.llm.tokens import encode
+from graphloom.llm.vectors import current_vectors, similar_pairs
 from graphloom.sources.tables import table
 
 
@@ -39,13 +40,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces(table(spark, folder, "routine"), "id", "body").withColumnRenamed("id", "routine_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of similar vectors of the three embedding fields."""
+    routines = current_vectors(table(spark, folder, "routine"), "id", ["code_embedding", "description_embedding"], 64)
+    objects = current_vectors(table(spark, folder, "metadata_object"), "object_qn", ["object_summary_embedding"], 64)
+    return similar_pairs(routines.unionByName(objects)).select(F.col("field").alias("field_name"), "id_a", "id_b")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
