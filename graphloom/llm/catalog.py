@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, normal_source
 from graphloom.llm.conversations import conversations, with_texts
+from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
 from graphloom.llm.tokens import encode
 from graphloom.llm.vectors import current_vectors, similar_pairs
+from graphloom.plans.session import cut
 from graphloom.sources.tables import table
 
 
@@ -52,8 +55,49 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens of every source."""
+    documents = table(spark, folder, "documents").select(normal_source(F.col("source")).alias("source"), "text")
+    counted = encode(documents, ids="tokens", count_only=True)
+    return counted.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
+
+
+def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, folder, "documents").select("doc_id", normal_source(F.col("source")).alias("source"), "text")
+    plans = table(spark, folder, "mix_target").withColumn("source", normal_source(F.col("source")))
+    return encode(documents, ids="tokens", count_only=True).drop("text"), plans
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each plan's mix with their copies."""
+    documents, plans = _sized(spark, folder)
+    return mix(documents, plans).select("plan_id", "source", "doc_id", "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of the tokens that each source of a plan reached."""
+    documents, plans = _sized(spark, folder)
+    documents = cut(documents)
+    return shares(mix(documents, plans), documents, plans)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return abuse_scores(table(spark, folder, "documents")).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and kind of the worst passage of every document."""
+    return abuse_scores(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of such documents of every source."""
+    return abuse_rates(abuse_scores(table(spark, folder, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids, p7_counts, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
