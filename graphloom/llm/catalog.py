@@ -11,7 +11,7 @@ from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
 from graphloom.llm.tokens import encode
-from graphloom.llm.vectors import current_vectors, similar_pairs
+from graphloom.llm.vectors import VectorTable, similar_pairs
 from graphloom.plans.session import cut
 from graphloom.sources.tables import table
 
@@ -45,9 +45,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of similar vectors of the three embedding fields."""
-    routines = current_vectors(table(spark, folder, "routine"), "id", ["code_embedding", "description_embedding"], 64)
-    objects = current_vectors(table(spark, folder, "metadata_object"), "object_qn", ["object_summary_embedding"], 64)
-    return similar_pairs(routines.unionByName(objects)).select(F.col("field").alias("field_name"), "id_a", "id_b")
+    routines = VectorTable(table(spark, folder, "routine"), "id", ["code_embedding", "description_embedding"])
+    objects = VectorTable(table(spark, folder, "metadata_object"), "object_qn", ["object_summary_embedding"])
+    return similar_pairs([routines, objects]).select("field_name", "id_a", "id_b")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

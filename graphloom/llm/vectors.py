@@ -24,7 +24,7 @@ SAMPLE = 20_000
 #: Residual codebooks, entries of each, and encodings kept by the beam.
 BOOKS, ENTRIES, BEAM = 12, 64, 4
 #: Cells that hold each code, candidates kept for the exact ranking, and how far a code's score may fall short.
-PROBES, KEPT, SLACK = 12, 12, 0.36
+PROBES, KEPT, SLACK = 10, 12, 0.26
 #: Vectors that look up one cell in one task; a cell with more is split.
 LOOKUPS = 4_096
 ROWS_PER_TASK = 300_000
@@ -127,34 +127,59 @@ def _units(lists: pa.Array, dim: int) -> tuple[list[bytes | None], list[int | No
     return out, marks
 
 
-def current_vectors(df: DataFrame, key: str, fields: list[str], dim: int, loaded: str = "loaded_at") -> DataFrame:
-    """(field, id, vec, mark): the usable unit vectors of the current rows of a table, one row per field."""
-    n = len(fields)
+@dataclass
+class VectorTable:
+    """A table with a key and vector fields; the row of a key loaded last is its current one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df: DataFrame
+    key: str
+    fields: list[str]
+    loaded: str = "loaded_at"
+
+
+def _scan(t: VectorTable, first: int, dim: int, whole: bool) -> DataFrame:
+    """The usable vectors as they are read: (id, loaded, marks) with a null mark where there is none, or (field, mark, vec)."""
+    n = len(t.fields)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_units(b.column(2 + i), dim)[1] for i in range(n)]
+            lists = [list(x) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["id", "loaded", "marks"])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            arrays, names = [b.column(0), b.column(1)], ["id", "loaded"]
             for i in range(n):
-                vec, mark = _units(b.column(2 + i), dim)
-                arrays += [pa.array(vec, pa.binary()), pa.array(mark, pa.int64())]
-                names += [f"v{i}", f"m{i}"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                vec, mark = _units(b.column(i), dim)
+                made = pa.RecordBatch.from_arrays(
+                    [pa.array([first + i] * b.num_rows, pa.int32()), pa.array(mark, pa.int64()), pa.array(vec, pa.binary())], names=["field", "mark", "vec"]
+                )
+                yield made.filter(made.column("vec").is_valid())
+
+    lists = [F.col(f).cast("array<float>").alias(f"f{i}") for i, f in enumerate(t.fields)]
+    rows = t.df.where(F.col(t.key).isNotNull())
+    if whole:
+        return rows.select(*lists).mapInArrow(vectors, "field int, mark long, vec binary")
+    return rows.select(F.col(t.key).cast("string").alias("id"), F.col(t.loaded).cast("timestamp_ntz").alias("loaded"), *lists).mapInArrow(marks, "id string, loaded timestamp_ntz, marks array<long>")
+
+
+def _members(t: VectorTable, first: int, dim: int) -> DataFrame:
+    """(field, id, mark) of the usable vectors of the current rows."""
+    latest = _scan(t, first, dim, whole=False).groupBy("id").agg(F.max(F.struct("loaded", "marks")).alias("v"))
+    each = latest.select("id", F.posexplode("v.marks").alias("i", "mark")).where(F.col("mark").isNotNull())
+    return each.select((F.col("i") + first).alias("field"), "id", "mark")
 
-    schema = "id string, loaded timestamp_ntz, " + ", ".join(f"v{i} binary, m{i} long" for i in range(n))
-    rows = df.where(F.col(key).isNotNull()).select(
-        F.col(key).cast("string").alias("id"), F.col(loaded).cast("timestamp_ntz").alias("loaded"), *[F.col(f).cast("array<float>").alias(f"f{i}") for i, f in enumerate(fields)]
-    )
-    made = rows.mapInArrow(run, schema)
-    latest = made.groupBy("id").agg(F.max(F.struct("loaded", *[x for i in range(n) for x in (f"m{i}", f"v{i}")])).alias("v"))
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v.v{i}").alias("vec"), F.col(f"v.m{i}").alias("mark")) for i, f in enumerate(fields)])
-    return latest.select("id", F.inline(each)).where(F.col("vec").isNotNull()).select("field", "id", "vec", "mark")
 
+# A slot is the field, cell, part of the cell and kind of a row in one number.
+_CELL_BITS, _PART_BITS = 14, 22
+_FILED = np.dtype([("coarse", np.int32), ("norm", np.float32), ("code", np.uint8, (BOOKS,))])
 
-def _search(books: dict[str, Books], dim: int, floor: float):  # noqa: ANN202
-    """Rows sorted by field, cell, part, kind: the lookups (kind 0) of a cell's part, then the codes filed there."""
+
+def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
+    """Rows sorted by slot: the lookups (kind 0) of a part of a cell, then the codes filed in the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
+        group: int | None = None
         seekers: list[tuple[np.ndarray, np.ndarray]] = []
         best: tuple[np.ndarray, np.ndarray] | None = None
         tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -168,12 +193,12 @@ def _search(books: dict[str, Books], dim: int, floor: float):  # noqa: ANN202
             if len(r):
                 raw = [v.tobytes() for v in vecs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group[0]] * len(r), pa.string()), pa.array(marks[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(found[r, c])], names=["field", "a", "vec_a", "b"]
+                    [pa.array([group >> (_CELL_BITS + _PART_BITS)] * len(r), pa.int32()), pa.array(marks[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(found[r, c])], names=["field", "a", "vec_a", "b"]
                 )
 
         def score(marks: np.ndarray, coarse: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> None:
             nonlocal tables, best
-            own = books[group[0]]
+            own = books[group >> (_CELL_BITS + _PART_BITS)]
             if tables is None:
                 m = np.concatenate([s[0] for s in seekers])
                 v = np.concatenate([s[1] for s in seekers])
@@ -201,98 +226,108 @@ def _search(books: dict[str, Books], dim: int, floor: float):  # noqa: ANN202
         for b in batches:
             if not b.num_rows:
                 continue
-            fields = np.array(b.column("field").to_pylist(), dtype=object)
-            cell, part, kind, mark, coarse = (b.column(c).to_numpy() for c in ("cell", "part", "kind", "mark", "coarse"))
-            norm = b.column("norm").to_numpy(zero_copy_only=False)
-            change = np.flatnonzero((fields[1:] != fields[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            slot, mark = b.column("slot").to_numpy(), b.column("mark").to_numpy()
+            change = np.flatnonzero(slot[1:] != slot[:-1]) + 1
             for i, j in zip(np.r_[0, change], np.r_[change, b.num_rows]):
-                here = (fields[i], cell[i], part[i])
+                here, kind = int(slot[i]) >> 1, int(slot[i]) & 1
                 if here != group:
                     yield from close()
                     group, seekers, best, tables = here, [], None, None
                 data = b.column("data").slice(i, j - i)
-                if kind[i] == 0:
+                if kind == 0:
                     seekers.append((mark[i:j], _matrix(data, dim)))
                 elif seekers:
-                    codes = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(j - i, -1)
+                    filed = np.frombuffer(b"".join(data.to_pylist()), _FILED)
                     # Blocks keep the table of scores small.
                     step = max(64, 4_000_000 // max(1, sum(len(s[0]) for s in seekers)))
                     for k in range(0, j - i, step):
-                        score(mark[i:j][k : k + step], coarse[i:j][k : k + step], codes[k : k + step], norm[i:j][k : k + step])
+                        block = filed[k : k + step]
+                        score(mark[i:j][k : k + step], block["coarse"], block["code"], block["norm"])
         yield from close()
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, dim: int = 64, nearest: int = 5, least: float = 0.90) -> DataFrame:
-    """(field, id_a, id_b, cosine): pairs of a field with a cosine of at least ``least``, either among the ``nearest`` of the other.
+def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, least: float = 0.90) -> DataFrame:
+    """(field_name, id_a, id_b, cosine): pairs of a field with a cosine of at least ``least``, either among the ``nearest`` of the other.
 
-    Takes the rows of ``current_vectors``. The smaller id, in UTF-8 byte order, comes first. Vectors that
-    agree to 1/4096 in every element of their unit vectors are copies: one of them is searched for, and the
-    copies share its neighbours; equal similarities rank by id, so each of many copies is paired with the
-    first ids of its group. Only the search for candidates is approximate; cosines are exact.
+    The current row of a key is the latest by its load time (null is the earliest); null keys are no items.
+    Usable is a vector of ``dim`` finite elements that are not all zero; its length as a vector is ignored.
+    The smaller id, in UTF-8 byte order, comes first. Vectors that agree to 1/4096 in every element of their
+    unit vectors are copies: one of them is searched for, and the copies share its neighbours; equal
+    similarities rank by id, so each of many copies is paired with the first ids of its group. Only the
+    search for candidates is approximate; cosines are exact. Empty tables give no rows.
 
-    Scale: codebooks (at most about 8 MB a field) are broadcast, their sample is bounded by SAMPLE. A code is
+    Scale: codebooks (at most about 5 MB a field) are broadcast, their sample is bounded by SAMPLE. A code is
     filed in PROBES cells, whose number grows with the square root of the vectors; a cell's lookups are split
-    at LOOKUPS. Hot copies are reduced to one by a partial aggregation before any search.
+    at LOOKUPS. Hot copies are reduced to one by a partial aggregation before any search. Vectors are shuffled
+    three times in all: by their mark, to their cells, and for the exact ranking.
     """
-    spark = vectors.sparkSession
-    v = cut(vectors)
-    groups = v.groupBy("field", "mark").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "vec")).alias("r"))
-    groups = cut(groups.select("field", "mark", "copies", F.col("r.id").alias("id"), F.col("r.vec").alias("vec")))
-    counts = {r["field"]: r["n"] for r in groups.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    books: dict[str, Books] = {}
+    spark = tables[0].df.sparkSession
+    names: list[str] = []
+    members, scans = None, None
+    for t in tables:
+        found, scan = _members(t, len(names), dim), _scan(t, len(names), dim, whole=True)
+        members = found if members is None else members.unionByName(found)
+        scans = scan if scans is None else scans.unionByName(scan)
+        names += t.fields
+    members = cut(members)
+    sized = members.groupBy("field", "mark").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    counts = {r["field"]: r["n"] for r in sized.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Marks are hashes: a slice of their range is a random sample, cut to its first SAMPLE on the driver.
+    share = F.lit(0)
+    for field, n in counts.items():
+        share = F.when(F.col("field") == field, int(min(1.0, 1.1 * SAMPLE / n) * 1_000_000)).otherwise(share)
+    got = scans.where(F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < share).groupBy("field", "mark").agg(F.min("vec").alias("vec")).toArrow()
+    books: dict[int, Books] = {}
+    of, marks = got.column("field").to_numpy(), got.column("mark").to_numpy()
     for field, n in counts.items():
-        mine = groups.where(F.col("field") == field)
-        if n > SAMPLE:
-            # Marks are hashes: a slice of their range is a random sample, cut to its first SAMPLE.
-            share = min(1.0, 1.1 * SAMPLE / n)
-            mine = mine.where(F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < int(share * 1_000_000))
-        got = mine.select("mark", "vec").toArrow()
-        order = np.argsort(got.column("mark").to_numpy())[:SAMPLE]
-        books[field] = train(_matrix(got.column("vec"), dim)[order], n)
+        rows = np.flatnonzero(of == field)
+        rows = rows[np.argsort(marks[rows])][:SAMPLE]
+        books[field] = train(_matrix(got.column("vec").take(pa.array(rows)), dim), n)
     sent = spark.sparkContext.broadcast(books)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            fields = np.array(b.column("field").to_pylist(), dtype=object)
+            fields = b.column("field").to_numpy()
             x = _matrix(b.column("vec"), dim)
             cells: list = [None] * len(x)
-            codes: list = [None] * len(x)
-            norms = np.zeros(len(x), np.float32)
-            for f in set(fields):
+            filed = np.zeros(len(x), _FILED)
+            for f in np.unique(fields):
                 rows = np.flatnonzero(fields == f)
                 for k in range(0, len(rows), 2048):
                     at = rows[k : k + 2048]
-                    c, code, norm = encode_vectors(x[at], sent.value[f])
-                    norms[at] = norm
+                    c, filed["code"][at], filed["norm"][at] = encode_vectors(x[at], sent.value[int(f)])
+                    filed["coarse"][at] = c[:, 0]
                     for i, row in enumerate(at):
-                        cells[row], codes[row] = c[i], code[i].tobytes()
+                        cells[row] = c[i]
+            codes = [filed[i].tobytes() for i in range(len(x))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("field"), b.column("mark"), b.column("vec"), pa.array(cells, pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(norms)],
-                names=["field", "mark", "vec", "cells", "code", "norm"],
+                [b.column("field"), b.column("mark"), b.column("vec"), pa.array(cells, pa.list_(pa.int32())), pa.array(codes, pa.binary())], names=["field", "mark", "vec", "cells", "code"]
             )
 
-    coded = cut(groups.select("field", "mark", "vec").mapInArrow(encode, "field string, mark long, vec binary, cells array<int>, code binary, norm float"))
-    # One number for each cell of each field: bounded by the size of the codebooks.
+    current = scans.groupBy("field", "mark").agg(F.min("vec").alias("vec")).join(sized.select("field", "mark"), ["field", "mark"])
+    coded = cut(current.select("field", "mark", "vec").mapInArrow(encode, "field int, mark long, vec binary, cells array<int>, code binary"))
+    # At most one row for each cell of each field: bounded by the size of the codebooks.
     parts = coded.groupBy("field", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOOKUPS)
     parts = parts.select("field", "cell", F.ceil(F.col("n") / LOOKUPS).cast("int").alias("parts"))
 
-    def split(rows: DataFrame, to: Column) -> DataFrame:
-        """The part of each lookup, or every part for a code."""
-        known = rows.join(F.broadcast(parts), ["field", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        return known.withColumn("part", to).drop("parts")
-
-    shape = ["field", "cell", "part", "kind", "mark", "coarse", "norm", "data"]
-    lookups = coded.select("field", F.col("cells")[0].alias("cell"), F.lit(0).alias("kind"), "mark", F.lit(0).alias("coarse"), F.lit(0.0).cast("float").alias("norm"), F.col("vec").alias("data"))
-    lookups = split(lookups, F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int")).select(*shape)
-    filed = coded.select("field", F.explode("cells").alias("cell"), F.lit(1).alias("kind"), "mark", F.col("cells")[0].alias("coarse"), "norm", F.col("code").alias("data"))
-    filed = split(filed, F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*shape)
+    def placed_rows(rows: DataFrame, part: Column, kind: int) -> DataFrame:
+        """The slot of each lookup's part, or of every part for a code."""
+        known = rows.join(F.broadcast(parts), ["field", "cell"], "left").withColumn("part", part)
+        cell = F.shiftleft(F.col("field").cast("long"), _CELL_BITS) + F.col("cell")
+        return known.select((F.shiftleft(F.shiftleft(cell, _PART_BITS) + F.col("part"), 1) + kind).alias("slot"), "mark", "data")
+
+    in_cell = F.coalesce(F.col("parts"), F.lit(1))
+    lookups = coded.select("field", F.col("cells")[0].alias("cell"), "mark", F.col("vec").alias("data"))
+    filed = coded.select("field", F.explode("cells").alias("cell"), "mark", F.col("code").alias("data"))
+    lookups = placed_rows(lookups, F.pmod(F.xxhash64("mark"), in_cell), 0)
+    filed = placed_rows(filed, F.explode(F.sequence(F.lit(0), in_cell - 1)), 1)
     tasks = tasks_for(spark, sum(counts.values()) * (PROBES + 1), ROWS_PER_TASK)
-    placed = lookups.unionByName(filed).repartition(tasks, "field", "cell", "part").sortWithinPartitions("field", "cell", "part", "kind")
-    hits = placed.mapInArrow(lambda it: _search(sent.value, dim, least - SLACK)(it), "field string, a long, vec_a binary, b long")
+    placed = lookups.unionByName(filed).repartition(tasks, F.shiftright("slot", 1)).sortWithinPartitions("slot")
+    hits = placed.mapInArrow(lambda it: _search(sent.value, dim, least - SLACK)(it), "field int, a long, vec_a binary, b long")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,14 +338,13 @@ def similar_pairs(vectors: DataFrame, dim: int = 64, nearest: int = 5, least: fl
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("a"), b.column("b"), pa.array(cos)], names=["field", "a", "b", "cosine"]).filter(close)
 
     targets = coded.select("field", F.col("mark").alias("b"), F.col("vec").alias("vec_b"))
-    near = hits.join(targets, ["field", "b"]).select("field", "a", "vec_a", "b", "vec_b").mapInArrow(exact, "field string, a long, b long, cosine double")
+    near = hits.join(targets, ["field", "b"]).select("field", "a", "vec_a", "b", "vec_b").mapInArrow(exact, "field int, a long, b long, cosine double")
     near = cut(near)
     links = near.unionByName(near.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("field", "a", "b").agg(F.max("cosine").alias("cosine"))
 
     # The first ids of each group of copies, one more than a member needs.
-    firsts = v.select("field", "mark", "id").withColumn("k", F.row_number().over(Window.partitionBy("field", "mark").orderBy("id"))).where(F.col("k") <= nearest + 1)
+    firsts = members.withColumn("k", F.row_number().over(Window.partitionBy("field", "mark").orderBy("id"))).where(F.col("k") <= nearest + 1)
     firsts = firsts.groupBy("field", "mark").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    sized = groups.select("field", "mark", "copies", F.col("id").alias("first"))
     info = sized.where("copies > 1").join(firsts, ["field", "mark"]).select("field", "mark", "copies", "ids")
     info = info.unionByName(sized.where("copies = 1").select("field", "mark", "copies", F.array("first").alias("ids")))
     info = cut(info)
@@ -324,9 +358,9 @@ def similar_pairs(vectors: DataFrame, dim: int = 64, nearest: int = 5, least: fl
     free = F.lit(nearest) - (F.col("copies_a") - 1) - F.col("taken")
     chosen = ranked.where(free > 0).select("field", F.col("a").alias("mark"), F.explode(F.slice("ids", F.lit(1), free.cast("int"))).alias("other"), "cosine")
     among = info.where("copies > 1").select("field", "mark", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine"))
-    members = v.select("field", "mark", "id")
     directed = members.join(chosen, ["field", "mark"]).select("field", "id", "other", "cosine")
     copies = members.join(among, ["field", "mark"]).where("id <> other")
     copies = copies.withColumn("k", F.row_number().over(Window.partitionBy("field", "id").orderBy("other"))).where(F.col("k") <= nearest).select("field", "id", "other", "cosine")
     pairs = directed.unionByName(copies)
-    return pairs.groupBy("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).agg(F.max("cosine").alias("cosine"))
+    pairs = pairs.groupBy("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).agg(F.max("cosine").alias("cosine"))
+    return pairs.select(F.array(*[F.lit(n) for n in names])[F.col("field")].alias("field_name"), "id_a", "id_b", "cosine")
