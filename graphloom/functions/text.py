@@ -57,7 +57,7 @@ def distinct_first(items: Column, most: int) -> Column:
 
 def called_names(code: Column) -> Column:
     """Names that stand before an opening bracket."""
-    return F.regexp_extract_all(code, F.lit(r"([A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*)\s*\("), F.lit(1))
+    return F.regexp_extract_all(code, F.lit(r"(?<![A-Za-zА-Яа-яЁё_])([A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*+)\s*+\("), F.lit(1))
 
 
 def assigned_names(code: Column) -> Column:

@@ -53,5 +53,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (p3_found, p3_change_counts, p6_found, p6_descendants, p6_subsystem_members, p6_subsystem_paths)}
 
 
+def _links_sql(name: str) -> str:
+    trim = r"nfc_normalize(regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
+    return f"""SELECT '{name}' AS t, c, nullif(p, '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY loaded_at DESC) AS k
+        FROM (SELECT {trim.format("child_qn")} AS c, {trim.format("parent_qn")} AS p, loaded_at FROM {name}) WHERE c <> '') WHERE k = 1"""
+
+
+_P6 = f"""WITH RECURSIVE e AS ({_links_sql("subsystem_edge")} UNION ALL {_links_sql("child_rel")}),
+    nodes AS (SELECT t, c AS node FROM e UNION SELECT t, p FROM e WHERE p IS NOT NULL),
+    w AS (SELECT t, node AS root, node, 0 AS depth FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.t AND e.c = n.node AND e.p IS NOT NULL)
+        UNION ALL SELECT w.t, w.root, e.c, w.depth + 1 FROM w JOIN e ON e.t = w.t AND e.p = w.node),
+    caught AS (SELECT n.t, n.node FROM nodes n ANTI JOIN w ON w.t = n.t AND w.node = n.node),
+    up AS (SELECT u.t, u.node, e.p AS above FROM caught u JOIN e ON e.t = u.t AND e.c = u.node UNION SELECT up.t, up.node, e.p FROM up JOIN e ON e.t = up.t AND e.c = up.above),
+    ring AS (SELECT t, node FROM up WHERE node = above)
+    SELECT t AS edge_table, node AS node_qn, root AS root_qn, CAST(depth AS INTEGER) AS depth FROM w
+    UNION ALL SELECT u.t, u.node, min(r.node), -1 FROM up u JOIN ring r ON r.t = u.t AND r.node = u.above GROUP BY u.t, u.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": _P6}
