@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, normal_source
-from graphloom.llm.conversations import conversations, with_texts
+from graphloom.llm.conversations import STAND_INS, conversations, with_texts
 from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
@@ -100,5 +100,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids, p7_counts, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 
 
+def _said(column: str) -> str:
+    """SQL of has_content."""
+    bare = rf"lower(regexp_replace({column}, '^[\s\x{{A0}}\x{{3000}}]+|[\s\x{{A0}}\x{{3000}}]+$', '', 'g'))"
+    words = ", ".join(f"'{w}'" for w in STAND_INS)
+    return rf"coalesce(regexp_matches({column}, '[\p{{L}}\p{{N}}]') AND {bare} NOT IN ({words}) AND NOT regexp_matches({bare}, '^[\[({{<]+[^\[\](){{}}<>]*(null|none|nil|undefined|n/a|empty|missing|blank|no |not |нет |пуст|не получ|отсутств|без )[^\[\](){{}}<>]*[\])}}>]+$'), false)"
+
+
+_P1 = rf"""WITH c AS (SELECT turn_id, chat_id, seq, status, {_said("user_text")} AS u, {_said("assistant_text")} AS a, row_number() OVER (PARTITION BY turn_id ORDER BY loaded_at DESC) AS k FROM agent_turn),
+    t AS (SELECT * FROM c WHERE k = 1 AND chat_id IS NOT NULL AND regexp_replace(chat_id, '[\s\x{{A0}}\x{{3000}}]+', '', 'g') <> ''),
+    m AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS n, lag(a) OVER (PARTITION BY chat_id ORDER BY seq) AS before, lead(seq) OVER (PARTITION BY chat_id ORDER BY seq) AS after FROM t),
+    ok AS (SELECT chat_id FROM m GROUP BY chat_id HAVING bool_and(coalesce(seq = n AND status = 'done' AND (u OR a) AND CASE WHEN before IS NULL THEN u ELSE u = before END AND (after IS NOT NULL OR a), false))),
+    x AS (SELECT chat_id, seq, 0 AS part, turn_id FROM t WHERE u UNION ALL SELECT chat_id, seq, 1, turn_id FROM t WHERE a)
+    SELECT chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY seq, part) AS INTEGER) AS msg_no, turn_id FROM x JOIN ok USING (chat_id)"""
+
+
+def _usable(name: str, key: str, field: str) -> str:
+    return f"""SELECT '{field}' AS f, {key} AS id, CAST({field} AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY loaded_at DESC) AS k FROM {name}) WHERE k = 1 AND len({field}) = 64
+        AND list_bool_and(list_transform({field}, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform({field}, lambda x: x <> 0))"""
+
+
+_P5 = f"""WITH v AS ({_usable("routine", "id", "code_embedding")} UNION ALL {_usable("routine", "id", "description_embedding")} UNION ALL {_usable("metadata_object", "object_qn", "object_summary_embedding")}),
+    c AS (SELECT a.f, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS cos FROM v a JOIN v b ON a.f = b.f AND a.id <> b.id),
+    n AS (SELECT f, a, b FROM (SELECT *, row_number() OVER (PARTITION BY f, a ORDER BY cos DESC) AS k FROM c) WHERE k <= 5 AND cos >= 0.90)
+    SELECT DISTINCT f AS field_name, least(a, b) AS id_a, greatest(a, b) AS id_b FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _P1, "p5_found": _P5}
