@@ -3,7 +3,8 @@
 Method: additive quantisation. A coarse codebook and full-dimensional residual codebooks are trained on a
 bounded sample; each vector is encoded by beam search and filed, as a code with its stored norm, under its
 ``PROBES`` nearest coarse cells. A vector then looks up its own cell: lookup tables of its products with the
-codebooks score all codes filed there, and the best are ranked again by their exact cosine.
+codebooks score all codes filed there, and the best are ranked again by their exact cosine. Where codes cannot
+tell more candidates apart than are kept, as in a dense group of near copies, the lookup is answered exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ PROBES, KEPT, SLACK = 10, 12, 0.26
 #: Vectors that look up one cell in one task; a cell with more is split.
 LOOKUPS = 4_096
 ROWS_PER_TASK = 300_000
+#: The exact search: vectors of one region on average, lookups of a region in one task, and room for rounding of angles.
+REGION, EXACT_LOOKUPS, ROUNDING = 8_192, 16_384, 1e-3
 
 
 @dataclass
@@ -176,7 +179,10 @@ _FILED = np.dtype([("coarse", np.int32), ("norm", np.float32), ("code", np.uint8
 
 
 def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
-    """Rows sorted by slot: the lookups (kind 0) of a part of a cell, then the codes filed in the cell."""
+    """Rows sorted by slot: the lookups (kind 0) of a part of a cell, then the codes filed in the cell.
+
+    A lookup with more candidates than KEPT has one more row, without b, with the best score left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: int | None = None
@@ -189,11 +195,19 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
                 return
             marks, _, vecs = tables
             score, found = best
+            # One more than is kept: where that place is taken, its score is the best of those left out.
+            last, rows = score.argmin(1), np.arange(len(score))
+            left_out = score[rows, last].copy()
+            full = np.flatnonzero(left_out >= floor)
+            score[full, last[full]] = -2.0
             r, c = np.nonzero(score >= floor)
             if len(r):
                 raw = [v.tobytes() for v in vecs]
+                a, of = np.r_[r, full], group >> (_CELL_BITS + _PART_BITS)
+                b = pa.array(np.r_[found[r, c], np.zeros(len(full), np.int64)], mask=np.arange(len(a)) >= len(r))
+                rejected = pa.array(np.r_[np.zeros(len(r), np.float32), left_out[full]].astype(np.float32), mask=np.arange(len(a)) < len(r))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group >> (_CELL_BITS + _PART_BITS)] * len(r), pa.int32()), pa.array(marks[r]), pa.array([raw[i] for i in r], pa.binary()), pa.array(found[r, c])], names=["field", "a", "vec_a", "b"]
+                    [pa.array([of] * len(a), pa.int32()), pa.array(marks[a]), pa.array([raw[i] for i in a], pa.binary()), b, rejected], names=["field", "a", "vec_a", "b", "rejected"]
                 )
 
         def score(marks: np.ndarray, coarse: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> None:
@@ -203,7 +217,7 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
                 m = np.concatenate([s[0] for s in seekers])
                 v = np.concatenate([s[1] for s in seekers])
                 tables = m, np.einsum("nd,bed->bne", v, own.residual, optimize=True), v
-                best = np.full((len(m), KEPT), -2.0, np.float32), np.zeros((len(m), KEPT), np.int64)
+                best = np.full((len(m), KEPT + 1), -2.0, np.float32), np.zeros((len(m), KEPT + 1), np.int64)
             m, lut, v = tables
             which, inverse = np.unique(coarse, return_inverse=True)
             s = np.take(v @ own.coarse[which].T, inverse, axis=1)
@@ -216,11 +230,11 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
             if not len(rows):
                 return
             s = s[rows]
-            keep = min(KEPT, s.shape[1])
+            keep = min(KEPT + 1, s.shape[1])
             top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
             both = np.concatenate([best[0][rows], np.take_along_axis(s, top, 1)], 1)
             ids = np.concatenate([best[1][rows], marks[top]], 1)
-            top = np.argpartition(-both, KEPT - 1, axis=1)[:, :KEPT]
+            top = np.argpartition(-both, KEPT, axis=1)[:, : KEPT + 1]
             best[0][rows], best[1][rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
 
         for b in batches:
@@ -248,6 +262,157 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
     return run
 
 
+def _exact_search(dim: int, least: float):  # noqa: ANN202
+    """Rows sorted by slot: the lookups (kind 0) of a part of a region, then all vectors of the region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: int | None = None
+        seekers: list[tuple[np.ndarray, np.ndarray]] = []
+        best: tuple[np.ndarray, np.ndarray] | None = None
+        held: tuple[np.ndarray, np.ndarray] | None = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if best is None or held is None:
+                return
+            r, c = np.nonzero(best[0] >= least)
+            if len(r):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group >> (_CELL_BITS + _PART_BITS)] * len(r), pa.int32()), pa.array(held[0][r]), pa.array(best[1][r, c]), pa.array(best[0][r, c])], names=["field", "a", "b", "cosine"]
+                )
+
+        def score(marks: np.ndarray, x: np.ndarray) -> None:
+            nonlocal best, held
+            if held is None:
+                held = np.concatenate([s[0] for s in seekers]), np.concatenate([s[1] for s in seekers])
+                best = np.full((len(held[0]), KEPT), -2.0), np.zeros((len(held[0]), KEPT), np.int64)
+            s = held[1] @ x.T
+            s[held[0][:, None] == marks[None, :]] = -2.0
+            rows = np.flatnonzero((s >= np.maximum(best[0].min(1), least)[:, None]).any(1))
+            if not len(rows):
+                return
+            both = np.concatenate([best[0][rows], s[rows]], 1)
+            ids = np.concatenate([best[1][rows], np.broadcast_to(marks, (len(rows), len(marks)))], 1)
+            top = np.argpartition(-both, KEPT - 1, axis=1)[:, :KEPT]
+            best[0][rows], best[1][rows] = np.take_along_axis(both, top, 1), np.take_along_axis(ids, top, 1)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            slot, mark = b.column("slot").to_numpy(), b.column("mark").to_numpy()
+            change = np.flatnonzero(slot[1:] != slot[:-1]) + 1
+            for i, j in zip(np.r_[0, change], np.r_[change, b.num_rows]):
+                here, kind = int(slot[i]) >> 1, int(slot[i]) & 1
+                if here != group:
+                    yield from close()
+                    group, seekers, best, held = here, [], None, None
+                x = _matrix(b.column("data").slice(i, j - i), dim).astype(np.float64)
+                if kind == 0:
+                    seekers.append((mark[i:j], x))
+                elif seekers:
+                    step = max(64, 4_000_000 // max(1, sum(len(s[0]) for s in seekers)))
+                    for k in range(0, j - i, step):
+                        score(mark[i:j][k : k + step], x[k : k + step])
+        yield from close()
+
+    return run
+
+
+def _crowded(hits: DataFrame, near: DataFrame, coded: DataFrame, books: dict[int, Books], dim: int, nearest: int, least: float) -> DataFrame | None:
+    """(field, a, b, cosine): the exact neighbours of the lookups whose codes left out what may be one; None if there are none.
+
+    A candidate left out may be a neighbour if its score comes within SLACK of the ``nearest``-th cosine found.
+    Where such a lookup has ``nearest`` neighbours its cell is dense, the group may have many cells, and all
+    lookups that file their codes in one of them are asked too. A lookup visits every region with a cell that can hold a vector that near: a vector's angle to its
+    cell's centre lies between the least and the largest of the cell, and differs from the lookup's by no more
+    than the angle between the two. Vectors lie in one region each.
+    """
+    spark = hits.sparkSession
+    bar = near.groupBy("field", "a").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("c")).select("field", "a", F.get("c", F.lit(nearest - 1)).alias("bar"))
+    full = hits.where("b is null").join(bar, ["field", "a"], "left").where(F.col("rejected") + SLACK >= F.coalesce("bar", F.lit(least)))
+    full = cut(full.select("field", "a", "vec_a", "bar"))
+    if not full.limit(1).count():
+        return None
+    sent = spark.sparkContext.broadcast(books)
+    # At most one row for each cell of each field.
+    dense = coded.select("field", F.col("mark").alias("a"), F.col("cells")[0].alias("cell")).join(full.where("bar is not null").select("field", "a"), ["field", "a"], "left_semi").select("field", "cell").distinct().collect()
+    if dense:
+        flags = {f: np.zeros(len(own.coarse), bool) for f, own in books.items()}
+        for r in dense:
+            flags[r["field"]][r["cell"]] = True
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                fields, cells = b.column("field").to_pylist(), b.column("cells").to_pylist()
+                yield b.select(["field", "a", "vec_a"]).filter(pa.array([bool(flags[f][c].any()) for f, c in zip(fields, cells)], pa.bool_()))
+
+        more = coded.select("field", F.col("mark").alias("a"), F.col("vec").alias("vec_a"), "cells").mapInArrow(beside, "field int, a long, vec_a binary")
+        full = full.unionByName(more.join(full.select("field", "a"), ["field", "a"], "left_anti").join(bar, ["field", "a"], "left"))
+    full = full.withColumn("bar", F.coalesce("bar", F.lit(least)))
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, fields, cells = _matrix(b.column("vec"), dim), b.column("field").to_numpy(), b.column("cell").to_numpy()
+                centres = np.zeros_like(x)
+                for f in np.unique(fields):
+                    centres[fields == f] = sent.value[int(f)].coarse[cells[fields == f]]
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", x, centres), -1, 1)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column("field"), b.column("cell"), pa.array(angle)], names=["field", "cell", "angle"])
+
+    placed = coded.select("field", F.col("cells")[0].alias("cell"), "mark", "vec")
+    # At most one row for each cell of each field: bounded by the size of the codebooks.
+    spans = placed.mapInArrow(turns, "field int, cell int, angle double").groupBy("field", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
+    bounds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    rng = np.random.default_rng(7)
+    for f in {r["field"] for r in spans}:
+        own, coarse = [r for r in spans if r["field"] == f], books[f].coarse
+        lo, hi = np.full(len(coarse), np.inf), np.full(len(coarse), -np.inf)
+        at = [r["cell"] for r in own]
+        lo[at], hi[at] = [r["lo"] for r in own], [r["hi"] for r in own]
+        heads = rng.choice(len(coarse), min(len(coarse), -(-sum(r["n"] for r in own) // REGION)), replace=False)
+        bounds[f] = lo, hi, (coarse @ coarse[heads].T).argmax(1)
+    told = spark.sparkContext.broadcast(bounds)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fields, x, bar = b.column("field").to_numpy(), _matrix(b.column("vec_a"), dim), b.column("bar").to_numpy()
+            for f in np.unique(fields):
+                lo, hi, region = told.value[int(f)]
+                order = np.argsort(region, kind="stable")
+                which, begin = np.unique(region[order], return_index=True)
+                rows = np.flatnonzero(fields == f)
+                for k in range(0, len(rows), 512):
+                    at = rows[k : k + 512]
+                    angle = np.arccos(np.clip(x[at] @ sent.value[int(f)].coarse.T, -1, 1))
+                    reach = np.arccos(np.clip(bar[at], -1, 1))[:, None] + ROUNDING
+                    can = (angle >= lo - reach) & (angle <= hi + reach)
+                    r, c = np.nonzero(np.logical_or.reduceat(can[:, order], begin, axis=1))
+                    chosen = pa.array(at[r])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([int(f)] * len(r), pa.int32()), pa.array(which[c].astype(np.int32)), b.column("a").take(chosen), b.column("vec_a").take(chosen)], names=["field", "cell", "mark", "data"]
+                    )
+
+    seekers = cut(full.mapInArrow(visits, "field int, cell int, mark long, data binary"))
+    # At most one row for each region, then for each cell.
+    wanted = {(r["field"], r["cell"]): r["n"] for r in seekers.groupBy("field", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {k: -(-n // EXACT_LOOKUPS) for k, n in wanted.items()}
+    regions = [(f, c, int(bounds[f][2][c]), parts[f, int(bounds[f][2][c])]) for f, c in ((r["field"], r["cell"]) for r in spans) if (f, int(bounds[f][2][c])) in parts]
+    regions = F.broadcast(spark.createDataFrame(regions, "field int, cell int, region int, parts int"))
+    counted = F.broadcast(spark.createDataFrame([(*k, n) for k, n in parts.items()], "field int, cell int, parts int"))
+
+    def slot(cell: str, kind: int) -> Column:
+        at = F.shiftleft(F.col("field").cast("long"), _CELL_BITS) + F.col(cell)
+        return (F.shiftleft(F.shiftleft(at, _PART_BITS) + F.col("part"), 1) + kind).alias("slot")
+
+    asked = seekers.join(counted, ["field", "cell"]).withColumn("part", F.pmod(F.xxhash64("mark"), "parts")).select(slot("cell", 0), "mark", "data")
+    there = placed.join(regions, ["field", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(slot("region", 1), "mark", F.col("vec").alias("data"))
+    held = sum(r["n"] * parts.get((r["field"], int(bounds[r["field"]][2][r["cell"]])), 0) for r in spans) + sum(wanted.values())
+    rows = asked.unionByName(there).repartition(tasks_for(spark, held, 4 * REGION), F.shiftright("slot", 1)).sortWithinPartitions("slot")
+    return rows.mapInArrow(_exact_search(dim, least), "field int, a long, b long, cosine double")
+
+
 def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, least: float = 0.90) -> DataFrame:
     """(field_name, id_a, id_b, cosine): pairs of a field with a cosine of at least ``least``, either among the ``nearest`` of the other.
 
@@ -256,12 +421,14 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     The smaller id, in UTF-8 byte order, comes first. Vectors that agree to 1/4096 in every element of their
     unit vectors are copies: one of them is searched for, and the copies share its neighbours; equal
     similarities rank by id, so each of many copies is paired with the first ids of its group. Only the
-    search for candidates is approximate; cosines are exact. Empty tables give no rows.
+    search for candidates is approximate; cosines are exact. No candidate is lost for want of room: lookups with
+    more than KEPT that codes cannot tell apart are answered by ``_crowded``. Empty tables give no rows.
 
     Scale: codebooks (at most about 5 MB a field) are broadcast, their sample is bounded by SAMPLE. A code is
     filed in PROBES cells, whose number grows with the square root of the vectors; a cell's lookups are split
     at LOOKUPS. Hot copies are reduced to one by a partial aggregation before any search. Vectors are shuffled
-    three times in all: by their mark, to their cells, and for the exact ranking.
+    three times in all: by their mark, to their cells, and for the exact ranking. The exact search of a dense
+    group is quadratic in its size.
     """
     spark = tables[0].df.sparkSession
     names: list[str] = []
@@ -327,7 +494,7 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     filed = placed_rows(filed, F.explode(F.sequence(F.lit(0), in_cell - 1)), 1)
     tasks = tasks_for(spark, sum(counts.values()) * (PROBES + 1), ROWS_PER_TASK)
     placed = lookups.unionByName(filed).repartition(tasks, F.shiftright("slot", 1)).sortWithinPartitions("slot")
-    hits = placed.mapInArrow(lambda it: _search(sent.value, dim, least - SLACK)(it), "field int, a long, vec_a binary, b long")
+    hits = cut(placed.mapInArrow(lambda it: _search(sent.value, dim, least - SLACK)(it), "field int, a long, vec_a binary, b long, rejected float"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -338,8 +505,11 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
             yield pa.RecordBatch.from_arrays([b.column("field"), b.column("a"), b.column("b"), pa.array(cos)], names=["field", "a", "b", "cosine"]).filter(close)
 
     targets = coded.select("field", F.col("mark").alias("b"), F.col("vec").alias("vec_b"))
-    near = hits.join(targets, ["field", "b"]).select("field", "a", "vec_a", "b", "vec_b").mapInArrow(exact, "field int, a long, b long, cosine double")
+    near = hits.where("b is not null").join(targets, ["field", "b"]).select("field", "a", "vec_a", "b", "vec_b").mapInArrow(exact, "field int, a long, b long, cosine double")
     near = cut(near)
+    crowded = _crowded(hits, near, coded, books, dim, nearest, least)
+    if crowded is not None:
+        near = cut(near.unionByName(crowded))
     links = near.unionByName(near.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("field", "a", "b").agg(F.max("cosine").alias("cosine"))
 
     # The first ids of each group of copies, one more than a member needs.

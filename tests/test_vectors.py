@@ -1,0 +1,40 @@
+"""Similar vectors against brute force, with groups of near copies that codes cannot tell apart."""
+
+import datetime
+
+import numpy as np
+import pytest
+
+from graphloom.llm.vectors import VectorTable, similar_pairs
+from graphloom.plans.session import build_session
+
+
+@pytest.fixture(scope="module")
+def spark():
+    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
+    yield session
+    session.stop()
+
+
+def brute_force(ids: list[str], x: np.ndarray, nearest: int = 5, least: float = 0.90) -> set[tuple[str, str]]:
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    top = np.argsort(-cos, axis=1)[:, :nearest]
+    return {tuple(sorted((ids[i], ids[j]))) for i in range(len(ids)) for j in top[i] if cos[i, j] >= least}
+
+
+@pytest.mark.parametrize("group", [100, 1_000])
+def test_dense_group_of_near_copies(spark, group):
+    rng = np.random.default_rng(group)
+    near = rng.normal(size=64) + rng.normal(size=(group, 64)) * 0.2
+    x = np.vstack([near, rng.normal(size=(1_500, 64))]).astype(np.float32)
+    ids = [f"r{i:05d}" for i in range(len(x))]
+    at = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, v.tolist(), at) for i, v in zip(ids, x)], "id string, v array<float>, loaded_at timestamp_ntz")
+    found = {(r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(df, "id", ["v"])]).collect()}
+    want = brute_force(ids, x)
+    assert len(want) > 2 * group
+    assert len(found & want) >= 0.999 * len(want)
+    assert len(found & want) >= 0.999 * len(found)
