@@ -24,6 +24,8 @@ LOCAL_TREE = 100_000
 NODES_PER_TASK = 400_000
 #: First split of the children of one parent when they are chained as siblings.
 SIBLING_SPLIT = 256
+#: Tour positions walked in one piece when lines of names are written, and characters of a batch of them.
+TOUR_BLOCK, BATCH_CHARS = 100_000, 8_000_000
 
 
 def current_links(df: DataFrame, table: str, child: str = "child_qn", parent: str = "parent_qn", loaded: str = "loaded_at") -> DataFrame:
@@ -210,26 +212,63 @@ def hierarchies(links: DataFrame, local_tree: int = LOCAL_TREE) -> DataFrame:
     )
 
 
-def descendants_of(forest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(edge_table, ancestor_qn, node_qn, distance): all descendants of the stated nodes (edge_table, node_qn).
+def _lines(forest: DataFrame, schema: str, make) -> DataFrame:  # noqa: ANN001
+    """Rows that ``make(edge_table, root_qn, names, depth)`` gives for every node, ``names`` being those from the root down to it.
 
-    Joins by root and entry-exit intervals. Unknown names and nodes on or below cycles have none.
+    Each tree is cut into blocks of TOUR_BLOCK tour positions. A block has its nodes and those open at its
+    start, in the order of their entries, so that one pass with a stack knows the line of every node. A node
+    on or below a cycle has no line.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, exits, rows, size = None, [], [], [], 0
+        for b in batches:
+            for table, root, block, entry, end, depth, name in zip(*(b.column(c).to_pylist() for c in ("edge_table", "root_qn", "block", "entry", "exit", "depth", "node_qn"))):
+                if (table, root, block) != at:
+                    at, names, exits = (table, root, block), [], []
+                while exits and exits[-1] < entry:
+                    exits.pop()
+                    names.pop()
+                names.append(name)
+                exits.append(end)
+                if entry // TOUR_BLOCK == block:
+                    for row in make(table, root, names, depth):
+                        rows.append(row)
+                        size += 100 + len(row[2])
+                        if size > BATCH_CHARS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=columns)
+                            rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=columns)
+
+    blocks = F.sequence(F.expr(f"entry div {TOUR_BLOCK}"), F.expr(f"exit div {TOUR_BLOCK}"))
+    placed = cut(forest.where("entry is not null").select("edge_table", "root_qn", "node_qn", F.col("depth").cast("long").alias("depth"), "entry", "exit", F.explode(blocks).alias("block")))
+    keys = ["edge_table", "root_qn", "block"]
+    return placed.repartition(tasks_for(forest, placed.count(), NODES_PER_TASK // 10), *keys).sortWithinPartitions(*keys, "entry").mapInArrow(walk, schema)
+
+
+def descendants_of(forest: DataFrame) -> DataFrame:
+    """(edge_table, ancestor_qn, node_qn, distance): all descendants of every node; nodes on or below cycles have none.
+
+    The rows are as many as the sum of all depths, which is the size of the answer.
     """
-    tops = forest.join(wanted.select("edge_table", "node_qn").distinct(), ["edge_table", "node_qn"], "left_semi").where("entry is not null").select(
-        "edge_table", "root_qn", F.col("node_qn").alias("ancestor_qn"), F.col("entry").alias("a0"), F.col("exit").alias("a1"), F.col("depth").alias("d0")
-    )
-    return (
-        forest.join(tops, ["edge_table", "root_qn"])
-        .where((F.col("entry") > F.col("a0")) & (F.col("entry") < F.col("a1")))
-        .select("edge_table", "ancestor_qn", "node_qn", (F.col("depth") - F.col("d0")).alias("distance"))
-    )
 
+    def make(table: str, root: str, names: list[str], depth: int) -> Iterator[tuple]:
+        return ((table, above, names[-1], depth - i) for i, above in enumerate(names[:-1]))
 
-def ancestor_paths(forest: DataFrame, wanted: DataFrame, separator: str = " > ") -> DataFrame:
-    """(edge_table, node_qn, path, depth) of the stated nodes: the names from the root down, joined by ``separator``."""
-    leaves = forest.join(wanted.select("edge_table", "node_qn").distinct(), ["edge_table", "node_qn"], "left_semi").where("entry is not null").select(
-        "edge_table", "root_qn", F.col("node_qn").alias("leaf"), F.col("entry").alias("at"), F.col("depth").alias("leaf_depth")
-    )
-    above = forest.join(leaves, ["edge_table", "root_qn"]).where((F.col("entry") <= F.col("at")) & (F.col("exit") > F.col("at")))
-    steps = above.groupBy("edge_table", "leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "node_qn"))).alias("steps"), F.max("leaf_depth").alias("depth"))
-    return steps.select("edge_table", F.col("leaf").alias("node_qn"), F.array_join(F.col("steps.node_qn"), separator).alias("path"), "depth")
+    return _lines(forest, "edge_table string, ancestor_qn string, node_qn string, distance long", make).withColumn("distance", F.col("distance").cast("int"))
+
+
+def ancestor_paths(forest: DataFrame, separator: str = " > ") -> DataFrame:
+    """(edge_table, node_qn, path, depth) of every node: the names from the root down, joined by ``separator``.
+
+    On or below a cycle the path is null and the depth -1.
+    """
+
+    def make(table: str, root: str, names: list[str], depth: int) -> Iterator[tuple]:
+        yield table, names[-1], separator.join(names), depth
+
+    found = _lines(forest, "edge_table string, node_qn string, path string, depth long", make).withColumn("depth", F.col("depth").cast("int"))
+    caught = forest.where("entry is null").select("edge_table", "node_qn", F.lit(None).cast("string").alias("path"), "depth")
+    return found.unionByName(caught)

@@ -33,24 +33,39 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of descendants of every node, null on or below a cycle."""
-    return _forest(spark, folder).select("edge_table", "node_qn", "depth", "descendants")
+    """The descendants of every node as an interval and their number, null on or below a cycle.
+
+    v is below u exactly if both have the same edge_table and root_qn, and entry(u) < entry(v) < exit(u).
+    """
+    return _forest(spark, folder).select("edge_table", "node_qn", "root_qn", "depth", "entry", "exit", "descendants")
+
+
+def _one(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return hierarchies(current_links(table(spark, folder, name), name))
 
 
 def p6_subsystem_members(spark: SparkSession, folder: str) -> DataFrame:
-    """All descendants of every subsystem that is a root, with their distance."""
-    forest = hierarchies(current_links(table(spark, folder, "subsystem_edge"), "subsystem_edge"))
-    return descendants_of(forest, forest.where("depth = 0"))
+    """All descendants of every subsystem, with their distance."""
+    return descendants_of(_one(spark, folder, "subsystem_edge"))
 
 
 def p6_subsystem_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """The path from the root of every subsystem without children."""
-    forest = hierarchies(current_links(table(spark, folder, "subsystem_edge"), "subsystem_edge"))
-    return ancestor_paths(forest, forest.where("descendants = 0"))
+    """The path from the root to every subsystem, null on or below a cycle."""
+    return ancestor_paths(_one(spark, folder, "subsystem_edge"))
+
+
+def p6_control_members(spark: SparkSession, folder: str) -> DataFrame:
+    """All descendants of every form control, with their distance."""
+    return descendants_of(_one(spark, folder, "child_rel"))
+
+
+def p6_control_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The path from the root to every form control, null on or below a cycle."""
+    return ancestor_paths(_one(spark, folder, "child_rel"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_change_counts, p6_found, p6_descendants, p6_subsystem_members, p6_subsystem_paths)}
+    return {f.__name__: f for f in (p3_found, p3_change_counts, p6_found, p6_descendants, p6_subsystem_members, p6_subsystem_paths, p6_control_members, p6_control_paths)}
 
 
 def _links_sql(name: str) -> str:
