@@ -12,6 +12,7 @@ from graphloom.functions import text as X
 from graphloom.operators import graph, retrieval
 from graphloom.operators.hierarchy import current_links, hierarchies
 from graphloom.operators import relations as R
+from graphloom.plans.session import cut
 from graphloom.sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,6 +415,12 @@ def html_to_text(spark, d):
     return table(spark, d, "documents").where(F.col("text").like("%<%>%")).select("doc_id", X.html_text(F.col("text")).alias("plain"))
 
 
+@query()
+def html_to_text_all(spark, d):
+    """Every document as plain text; null for null text."""
+    return table(spark, d, "documents").select("doc_id", X.html_text(F.col("text")).alias("plain"))
+
+
 # --- retrieval
 
 QUERIES = {1: "проведение документа по регистру остатков", 2: "обмен с узлом остановлен", 3: "posting of the document to the register", 4: "печатная форма макет подписи"}
@@ -600,6 +607,14 @@ def closure(spark, d):
     return forest.where("depth >= 0").select(F.col("root_qn").alias("start"), F.col("node_qn").alias("node"), F.col("depth").cast("long").alias("depth"))
 
 
+@query()
+def closure_all(spark, d):
+    """The closure of both link tables: all nodes below every name that has no parent, with their distance."""
+    links = [current_links(table(spark, d, t), t) for t in ("subsystem_edge", "child_rel")]
+    forest = hierarchies(links[0].unionByName(links[1]))
+    return forest.where("depth >= 0").select("edge_table", F.col("root_qn").alias("start"), F.col("node_qn").alias("node"), F.col("depth").cast("long").alias("depth"))
+
+
 @query(
     f"""WITH RECURSIVE {_CALLS}, e AS (SELECT caller, callee FROM calls UNION SELECT callee, caller FROM calls), s AS (SELECT id FROM r WHERE starts_with(owner_qn, 'sklad_main/')),
     w AS (SELECT id AS start, id AS node, 0 AS depth FROM s UNION SELECT w.start, e.callee, w.depth + 1 FROM w JOIN e ON e.caller = w.node WHERE w.depth < 4)
@@ -607,9 +622,20 @@ def closure(spark, d):
 )
 def call_subtree_depths(spark, d):
     """Undirected distances over calls, up to four, from the routines of one project."""
-    c = _calls(spark, d)
+    return _call_depths(spark, d, "sklad_main/")
+
+
+@query()
+def call_subtree_depths_all(spark, d):
+    """Undirected distances over calls, up to four, from every routine."""
+    return _call_depths(spark, d, "")
+
+
+def _call_depths(spark, d, prefix):
+    c = cut(_calls(spark, d))
     edges = c.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).unionByName(c.select(F.col("callee").alias("src"), F.col("caller").alias("dst")))
-    starts = _routines(spark, d, "owner_qn").where(F.col("owner_qn").startswith("sklad_main/")).select(F.col("id").alias("start"))
+    r = _routines(spark, d, "owner_qn")
+    starts = (r.where(F.col("owner_qn").startswith(prefix)) if prefix else r).select(F.col("id").alias("start"))
     return graph.reachable(edges, starts, 4).select("start", "node", F.col("depth").cast("long").alias("depth"))
 
 
@@ -621,8 +647,19 @@ def call_subtree_depths(spark, d):
 )
 def dependency_paths(spark, d):
     """Dependency paths of the objects of one project over routines and calls."""
-    r = _routines(spark, d, "owner_qn").where(F.col("owner_qn").startswith("sklad_main/"))
-    calls = _calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("CALLS").alias("rel"))
+    return _paths_of_owners(spark, d, "sklad_main/")
+
+
+@query()
+def dependency_paths_all(spark, d):
+    """Dependency paths of the objects of all projects over routines and calls."""
+    return _paths_of_owners(spark, d, "")
+
+
+def _paths_of_owners(spark, d, prefix):
+    r = _routines(spark, d, "owner_qn").where(F.col("owner_qn").startswith(prefix) if prefix else F.col("owner_qn").isNotNull())
+    r = cut(r.select("id", "owner_qn"))
+    calls = cut(_calls(spark, d)).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("CALLS").alias("rel"))
     edges = calls.unionByName(r.select(F.col("owner_qn").alias("src"), F.col("id").alias("dst"), F.lit("HAS_ROUTINE").alias("rel")))
     found = graph.dependency_paths(edges, r.select(F.col("owner_qn").alias("start")), "downstream", None, 3)
     return found.select("start", "end", F.col("depth").cast("long").alias("depth"), "path")
