@@ -1,4 +1,4 @@
-"""Predicates of the typed queries, as Column expressions that reach the scan where they can."""
+"""Predicates of the typed queries, as Column expressions; over a table of current rows they reach its scan."""
 
 from __future__ import annotations
 

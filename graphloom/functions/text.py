@@ -6,10 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = r"[A-Za-zА-Яа-яЁё0-9_]+"
-#: Words that carry nothing in a search of code.
-STOP_WORDS = ("если", "тогда", "иначе", "конецесли", "для", "каждого", "из", "цикл", "конеццикла", "возврат", "процедура", "функция", "конецпроцедуры", "конецфункции", "новый", "неопределено", "истина", "ложь", "the", "and", "for")
-#: Endings taken off a word, the longer first.
-ENDINGS = ("иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "иях", "ах", "ях", "ов", "ев", "ей", "ий", "ый", "ой", "ая", "яя", "ое", "ее", "ые", "ие", "ам", "ям", "ом", "ем", "ия", "ию", "ы", "и", "а", "я", "о", "е", "у", "ю", "ь")
+# Words left out of every search, and those left out of a search of code besides.
+STOP_WORDS = (
+    "как", "где", "что", "чтобы", "если", "или", "для", "при", "это",
+    "этот", "эта", "эти", "этой", "этого", "будет", "есть", "нет",
+    "надо", "нужно", "который", "которая", "которые", "каких", "каким",
+    "какие", "по", "из", "на", "в", "с", "к", "от", "до", "и", "а",
+    "же", "ли", "не", "за", "под", "над", "через", "между",
+)
+CODE_STOP_WORDS = STOP_WORDS + (
+    "тогда", "иначе", "иначеесли", "конецесли", "каждого", "цикл", "конеццикла", "пока",
+    "попытка", "исключение", "конецпопытки", "возврат", "перем", "знач", "экспорт", "новый",
+    "истина", "ложь", "неопределено", "null", "true", "false",
+    "procedure", "function", "endprocedure", "endfunction",
+    "if", "then", "else", "elsif", "endif",
+    "for", "each", "while", "return", "export", "new",
+)
+# Endings taken off a word, in the order in which they are tried.
+ENDINGS = (
+    "иями", "ями", "ами", "ого", "ему", "ыми", "ими",
+    "иях", "иям", "ией", "ию", "ия",
+    "ые", "ие", "ой", "ий", "ый", "ая", "яя", "ое", "ее", "ую", "юю",
+    "ов", "ев", "ам", "ям", "ах", "ях", "ом", "ем", "ей", "ою", "ею",
+    "ы", "и", "а", "я", "е", "у", "ю",
+)
+
+
+def word_split(text: Column) -> Column:
+    """A blank between a small letter or digit and a capital: the split that tokens start from (ё and Ё don't count)."""
+    return F.regexp_replace(text, "(?<=[а-яa-z0-9])(?=[А-ЯA-Z])", " ")
 
 
 def camel_split(text: Column) -> Column:
@@ -30,13 +55,16 @@ def last_part(text: Column, separator: str = ".") -> Column:
 
 def tokens(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Split at capitals, lower case, words of letters, digits and underscores, short ones and stop words left out."""
-    words = F.regexp_extract_all(F.lower(camel_split(text)), F.lit(f"({_WORD})"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(word_split(text)), F.lit(f"({_WORD})"), F.lit(1))
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
 def stem(word: Column, least: int = 4) -> Column:
-    """A word without the first ending of the list that leaves at least ``least`` letters."""
-    return F.regexp_replace(word, rf"^(.{{{least},}}?)(?:{'|'.join(ENDINGS)})$", "$1")
+    """The form under which words are compared: lower case without underscores; a Cyrillic word of more than
+    ``least`` letters also loses the first ending of the list that leaves at least ``least``."""
+    bare = F.replace(F.lower(word), F.lit("_"), F.lit(""))
+    shorter = [F.when(bare.endswith(e) & (F.length(bare) - len(e) >= least), F.left(bare, F.length(bare) - len(e))) for e in ENDINGS]
+    return F.when(bare.rlike("^[а-яё]+$") & (F.length(bare) > least), F.coalesce(*shorter, bare)).otherwise(bare)
 
 
 def overlap(query: Column, document: Column) -> Column:
@@ -46,8 +74,86 @@ def overlap(query: Column, document: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """Phrases in straight quotes."""
-    return F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1))
+    """Phrases between quotation marks of any kind, the shortest that fit; an opening mark need not match the closing one."""
+    return F.regexp_extract_all(text, F.lit("[\"'«“](.+?)[\"'»”]"), F.lit(1))
+
+
+def synonym_tokens(words: Column, synonyms: dict[str, list[str]], weight: int = 1) -> Column:
+    """Query tokens followed by their synonyms' tokens, each ``weight`` times unless it is a query token itself.
+
+    ``synonyms`` is a small table of the caller's; the synonyms are tokens already.
+    """
+    if weight <= 0 or not synonyms:
+        return words
+    table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    more = F.flatten(F.transform(words, lambda w: F.coalesce(F.element_at(table, w), F.array().cast("array<string>"))))
+    more = F.filter(more, lambda s: ~F.array_contains(words, s))
+    return F.concat(words, F.flatten(F.transform(more, lambda s: F.array_repeat(s, weight))))
+
+
+def fts_terms(query: Column, most: int = 32) -> Column:
+    """Terms of a full-text query: split at blanks, freed from operators, lower case, of three letters and more, distinct, at most ``most``."""
+    bare = F.transform(F.split(F.trim(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^A-Za-zА-Яа-яЁё0-9_]", "")))
+    return F.slice(F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3)), 1, most)
+
+
+def escaped(query: Column) -> Column:
+    """A query text with the operators of a Lucene-like parser escaped."""
+    return F.regexp_replace(query, r'([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', r"\\$1")
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text in lower case: a necessary condition of containment."""
+    low = F.lower(text)
+    return F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
+
+
+def split_params(params: Column) -> Column:
+    """A parameter list split at its commas, those in strings and brackets left alone, each part trimmed; no parts of an empty list."""
+    parts = F.regexp_extract_all(params, F.lit(r'((?:"(?:[^"]|"")*"|\((?:[^()"]|"(?:[^"]|"")*")*\)|[^,"()])+)'), F.lit(1))
+    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+
+
+def param_facts(param: Column) -> Column:
+    """(name, by_value, default) of one parameter."""
+    name = F.regexp_extract(param, r"(?iu)^(?:(?:знач|val)\s+)?([\p{L}_][\p{L}\p{N}_]*)", 1)
+    default = F.when(param.contains("="), F.trim(F.regexp_extract(param, r"(?s)=\s*(.*)$", 1)))
+    return F.struct(name.alias("name"), param.rlike(r"(?iu)^(?:знач|val)\s").alias("by_value"), default.alias("default"))
+
+
+def owner_parts(qn: Column) -> Column:
+    """(project, config, type, object, form) of a qualified name; parts that aren't there are null."""
+    at = F.split(qn, "/")
+    form = F.when(F.lower(F.get(at, F.lit(4))).isin("form", "forms"), F.get(at, F.lit(5)))
+    return F.struct(F.get(at, F.lit(0)).alias("project"), F.get(at, F.lit(1)).alias("config"), F.get(at, F.lit(2)).alias("type"), F.get(at, F.lit(3)).alias("object"), form.alias("form"))
+
+
+def doc_sections(doc: Column) -> Column:
+    """(description, params, returns) of a documentation text, cut at the headings of its sections."""
+    text = F.regexp_replace(doc, r"(?m)^[ \t]*/{2,}[ \t]?", "")
+    params, returns = r"(?imu)^[ \t]*(?:параметры|parameters)[ \t]*:", r"(?imu)^[ \t]*(?:возвращаемое значение|return value|returns)[ \t]*:"
+    part = lambda s: F.nullif(F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")), F.lit(""))
+    any_head = rf"(?:{params.replace('(?imu)', '')}|{returns.replace('(?imu)', '')})"
+    body = lambda head: F.regexp_extract(text, rf"(?imu){head.replace('(?imu)', '')}((?s:.*?))(?={any_head}|\z)", 1)
+    return F.struct(part(F.get(F.split(text, rf"(?imu){any_head}"), F.lit(0))).alias("description"), part(body(params)).alias("params"), part(body(returns)).alias("returns"))
+
+
+def code_facts(code: Column) -> Column:
+    """Counts of what a body does: (lines, branches, loops, tries, returns, queries, calls)."""
+    bare = F.regexp_replace(F.coalesce(code, F.lit("")), r'"(?:[^"]|"")*"|//[^\r\n]*', "")
+    word = lambda pattern: F.size(F.regexp_extract_all(bare, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.])({pattern})(?![\p{{L}}\p{{N}}_])"), F.lit(1)))
+    lines = F.when(F.coalesce(code, F.lit("")) == "", 0).otherwise(F.size(F.split(code, "\n")))
+    return F.struct(
+        lines.alias("lines"), word("если|иначеесли|if|elsif").alias("branches"), word("для|пока|for|while").alias("loops"), word("попытка|try").alias("tries"),
+        word("возврат|return").alias("returns"), F.size(F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r"(?iu)[\"|]\s*(выбрать|select)\b"), F.lit(1))).alias("queries"),
+        F.size(called_names(bare)).alias("calls"),
+    )
+
+
+def type_refs(literal: Column) -> Column:
+    """[(category, name)] of the metadata types that a type literal names: ``КатегорияСсылка.Имя`` and English likewise."""
+    found = F.regexp_extract_all(literal, F.lit(r"(?u)([\p{L}]+(?:Ссылка|Ref|Объект|Object|НаборЗаписей|RecordSet|Тип|Type)?\.[\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))
+    return F.transform(found, lambda t: F.struct(F.regexp_replace(F.substring_index(t, ".", 1), "(Ссылка|Ref|Объект|Object|НаборЗаписей|RecordSet)$", "").alias("category"), F.substring_index(t, ".", -1).alias("name")))
 
 
 def distinct_first(items: Column, most: int) -> Column:

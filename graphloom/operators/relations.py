@@ -59,6 +59,11 @@ def best_candidates(candidates: DataFrame, by: list[str], order: list[Column]) -
     return candidates.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def first_of_each(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group in order; only n rows of a group leave a task, so hot groups don't pile up."""
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
 def unambiguous(candidates: DataFrame, by: list[str], tier: str) -> DataFrame:
     """The candidate of an item's first non-empty tier if that tier holds exactly one, else none."""
     w = Window.partitionBy(*by)

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.session import cut, tasks_for
+
 # Fixed values.
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Rows of a side that may be broadcast, and query vectors that are; beyond both a shuffle does the same.
+SMALL_SIDE, SMALL_QUERIES = 50_000, 20_000
+#: Bins of the histogram that narrows an exact percentile down.
+BINS = 4_096
+#: Vectors of one block of the blocked search.
+BLOCK = 4_096
+
+
+def small(df: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows and for a merge join otherwise; call it on cheap or cut rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 
 def postings(docs: DataFrame, key: str, tokens: Column, field: str | None = None) -> DataFrame:
@@ -27,20 +44,51 @@ def idf(documents: Column, df: Column) -> Column:
     return F.log1p((documents - df + 0.5) / (df + 0.5))
 
 
-def bm25(posted: DataFrame, lengths: DataFrame, queries: DataFrame, key: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, key, score). ``lengths`` is (key, length) of all documents, ``queries`` (qid, token, qtf): tokens count as often as they occur.
+def matched(docs: DataFrame, key: str, words: Column, wanted: DataFrame) -> DataFrame:
+    """(key, length, hits): of every document its number of tokens and [(token, tf)] of the tokens of ``wanted`` (token).
 
-    The queries' tokens are joined to the postings first, so only matching postings are scored.
+    Texts are tokenised where they are read and never shuffled. The result is cut: it is read for the statistics
+    and again for the scores. Beyond SMALL_SIDE wanted tokens the postings are joined to them by shuffle.
+    """
+    rows = docs.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("words"))
+    tokens = [r["token"] for r in wanted.select("token").distinct().limit(SMALL_SIDE + 1).collect()]
+    if len(tokens) <= SMALL_SIDE:
+        known = F.filter("words", lambda w: w.isin(*tokens)) if tokens else F.array().cast("array<string>")
+        rows = rows.select(key, F.size("words").cast("long").alias("length"), known.alias("known"))
+        return cut(rows.select(key, "length", F.transform(F.array_distinct("known"), lambda t: F.struct(t.alias("token"), F.size(F.filter("known", lambda w: w == t)).cast("long").alias("tf"))).alias("hits")))
+    flat = rows.select(key, F.size("words").cast("long").alias("length"), F.explode_outer("words").alias("token"))
+    counted = flat.groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf")).join(wanted.select("token", F.lit(True).alias("w")).distinct(), "token", "left")
+    return cut(counted.groupBy(key, "length").agg(F.collect_list(F.when(F.col("w"), F.struct("token", "tf"))).alias("hits")))
+
+
+def bm25_parts(found: DataFrame, queries: DataFrame, key: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, key, part): what each token adds to the score of the documents of ``matched``; ``queries`` is (qid, token, qtf)."""
+    stats = found.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    flat = found.where(F.size("hits") > 0).select(key, "length", F.inline("hits"))
+    df = flat.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    terms = queries.join(df.hint("merge"), "token").crossJoin(F.broadcast(stats))
+    terms = cut(terms.select("qid", "token", (F.col("qtf") * idf(F.col("docs"), F.col("df"))).alias("weight"), "mean"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return flat.join(small(terms), "token").select("qid", key, part.alias("part"))
+
+
+def bm25(docs: DataFrame, words: Column, queries: DataFrame, key: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, key, score) of every document that shares a token with a query; query tokens count as often as they occur.
+
+    What is shuffled is one number for each matching (query, document, token), after partial sums.
     """
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    wanted = queries.select("token").distinct()
-    hit = posted.join(wanted, "token")
-    df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weight = df.crossJoin(F.broadcast(stats)).select("token", idf(F.col("docs"), F.col("df")).alias("idf"), "mean")
-    terms = queries.join(weight, "token")
-    scored = hit.join(terms, "token").join(lengths, key)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return scored.groupBy("qid", key).agg(F.sum(part).alias("score"))
+    parts = bm25_parts(matched(docs, key, words, queries), queries, key, k1, b)
+    return parts.groupBy("qid", key).agg(F.sum("part").alias("score"))
+
+
+def field_bm25(docs: DataFrame, fields: dict[str, tuple[Column, float]], queries: DataFrame, key: str) -> DataFrame:
+    """(qid, key, score): the weighted sum of the scores of several fields, each with its own statistics; weight 0 leaves a field out."""
+    legs = None
+    for words, weight in fields.values():
+        if weight:
+            leg = bm25_parts(matched(docs, key, words, queries), queries, key).withColumn("part", F.col("part") * weight)
+            legs = leg if legs is None else legs.unionByName(leg)
+    return legs.groupBy("qid", key).agg(F.sum("part").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -56,30 +104,173 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def mean_pool(rows: DataFrame, by: str, vector: str, weight: Column) -> DataFrame:
-    """(by, vector): the weighted mean of the vectors of each group, element by element."""
-    flat = rows.select(by, weight.cast("double").alias("w"), F.posexplode(vector).alias("i", "x"))
-    mean = flat.groupBy(by, "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("x"))
-    return mean.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(by, F.col("v.x").alias(vector))
-
-
-def minmax(score: Column, over: Window, flat: float) -> Column:
-    """(x - min) / (max - min); ``flat`` where all are equal (0 in the blended signals, 1 in the lexical legs)."""
-    low, high = F.min(score).over(over), F.max(score).over(over)
-    return F.when(high > low, (score - low) / (high - low)).otherwise(F.lit(flat))
+def mean_pool(rows: DataFrame, by: str, vector: str, weight: Column, dim: int) -> DataFrame:
+    """(by, vector): the weighted mean of the vectors of each group, element by element.
 
+    Whole vectors are summed where they are read; one row for each group and task is shuffled. Vectors of
+    another length than ``dim`` and groups without weight are left out.
+    """
 
-def max_norm(score: Column, over: Window) -> Column:
-    """x / max, 0 where the maximum is not positive."""
-    high = F.max(score).over(over)
-    return F.when(high > 0, score / high).otherwise(0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, dim)
+            w = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            groups = b.column(0).dictionary_encode()
+            at = groups.indices.to_numpy(zero_copy_only=False)
+            part = np.zeros((len(groups.dictionary), dim + 1))
+            np.add.at(part, at, np.c_[x * w[:, None], w])
+            for g, row in zip(groups.dictionary.to_pylist(), part):
+                sums[g] = sums[g] + row if g in sums else row
+            if len(sums) > 10_000:
+                yield out(sums)
+                sums = {}
+        if sums:
+            yield out(sums)
+
+    def out(sums: dict[object, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=[by, "sums"])
+
+    field = rows.schema[by]
+    kind = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[field.dataType.simpleString()]
+    usable = rows.where(F.col(by).isNotNull() & (F.size(vector) == dim)).select(by, F.coalesce(weight.cast("double"), F.lit(0.0)).alias("w"), F.col(vector).cast("array<double>").alias("v"))
+    parts = usable.mapInArrow(run, f"{by} {field.dataType.simpleString()}, sums array<double>")
+    flat = parts.select(by, F.posexplode("sums").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x"))
+    whole = flat.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("s"))
+    total = F.element_at("s", dim + 1)
+    return whole.where(total != 0).select(by, F.transform(F.slice("s", 1, dim), lambda x: x / total).alias(vector))
+
+
+def blocked_topk(queries: DataFrame, base: DataFrame, k: int, dim: int, by: str | None = None) -> DataFrame:
+    """(qid, id, cos[, by]): the k most similar base vectors of each query, for each value of ``by`` if it is given.
+
+    ``queries`` is (qid long, v), ``base`` (id long, v[, by]); an id is not its own neighbour, vectors without
+    length have none, ties take the smaller id. Products are formed block by block as matrices and only the best
+    k of a block go on, so no pair is ever a row. Up to SMALL_QUERIES queries are broadcast; beyond, queries and
+    base meet in a grid of blocks, the base repeated once for each block of queries.
+    """
+    spark = base.sparkSession
+    group = F.coalesce(F.col(by).cast("long"), F.lit(-1)) if by else F.lit(0).cast("long")
+    base = base.where(F.size("v") == dim).select(F.col("id").cast("long").alias("id"), group.alias("g"), F.col("v").cast("array<double>").alias("v"))
+    queries = queries.where(F.size("v") == dim).select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("v"))
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), dim)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        return x / np.where(size > 0, size, np.nan)[:, None]
+
+    def best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, groups: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for g in np.unique(groups):
+            at = np.flatnonzero(groups == g)
+            for lo in range(0, len(qids), BLOCK):
+                rows = slice(lo, lo + BLOCK)
+                s = q[rows] @ x[at].T
+                s[~np.isfinite(s) | (qids[rows][:, None] == ids[at][None, :])] = -3.0
+                keep = min(k + 8, len(at))
+                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < len(at) else np.broadcast_to(np.arange(len(at)), s.shape)
+                # All that tie with the last one kept, within rounding, are candidates too.
+                least = np.take_along_axis(s, top, 1).min(1)
+                r, c = np.nonzero(s >= np.maximum(least - 1e-12, -2.0)[:, None])
+                cos = np.einsum("ij,ij->i", q[rows][r], x[at[c]])
+                order = np.lexsort((ids[at[c]], -np.round(cos, 12), r))
+                r, c, cos = r[order], c[order], cos[order]
+                first = np.searchsorted(r, np.arange(len(qids[rows])))
+                kept = np.arange(len(r)) - first[r] < k
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows][r[kept]]), pa.array(ids[at[c[kept]]]), pa.array(np.full(int(kept.sum()), g)), pa.array(cos[kept])], names=["qid", "id", "g", "cos"])
+
+    schema = "qid long, id long, g long, cos double"
+    known = queries.limit(SMALL_QUERIES + 1).toArrow()
+    if known.num_rows <= SMALL_QUERIES:
+        sent = spark.sparkContext.broadcast((known.column("qid").to_numpy(), matrix(known.column("v").combine_chunks())))
+
+        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = sent.value
+            for b in batches:
+                for lo in range(0, b.num_rows, BLOCK):
+                    part = b.slice(lo, BLOCK)
+                    yield from best(qids, q, part.column(0).to_numpy(), part.column(1).to_numpy(), matrix(part.column(2)))
+
+        found = base.mapInArrow(against, schema)
+    else:
+        count = queries.count()
+        sides = -(-count // BLOCK)
+        asked = queries.select(F.pmod(F.xxhash64("qid"), F.lit(sides)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("bb"), F.lit(0).alias("kind"), F.col("qid").alias("id"), F.lit(0).cast("long").alias("g"), "v")
+        there = base.select(F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int").alias("bb"), F.lit(1).alias("kind"), "id", "g", "v")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, qids, q = None, None, None
+            for b in batches:
+                cell = b.column(0).to_numpy().astype(np.int64) << 32 | b.column(1).to_numpy()
+                kind = b.column(2).to_numpy()
+                edges = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+                for i, j in zip(np.r_[0, edges], np.r_[edges, b.num_rows]):
+                    if i == j:
+                        continue
+                    part = b.slice(i, j - i)
+                    if kind[i] == 0:
+                        new, x = part.column(3).to_numpy(), matrix(part.column(5))
+                        qids, q = (np.r_[qids, new], np.r_[q, x]) if at == cell[i] else (new, x)
+                        at = cell[i]
+                    elif at == cell[i]:
+                        yield from best(qids, q, part.column(3).to_numpy(), part.column(4).to_numpy(), matrix(part.column(5)))
+
+        cells = asked.unionByName(there).repartition(tasks_for(spark, sides * sides, 4), "qb", "bb").sortWithinPartitions("qb", "bb", "kind")
+        found = cells.mapInArrow(meet, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "g").orderBy(F.round("cos", 12).desc(), "id"))).where(F.col("rank") <= k)
+    return ranked.select("qid", "id", "cos", "rank", *([F.col("g").alias(by)] if by else []))
+
+
+def leg_spans(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """(by…, low, high, n) of each leg: one row a leg after partial aggregation, cut."""
+    return cut(rows.groupBy(*by).agg(F.min(score).alias("low"), F.max(score).alias("high"), F.count(F.lit(1)).alias("n")))
+
+
+def minmax(rows: DataFrame, by: list[str], flat: float, score: str = "score") -> DataFrame:
+    """Adds ``norm``: (x - min) / (max - min); ``flat`` where all are equal (0 in the blended signals, 1 in the lexical legs)."""
+    spread = F.when(F.col("high") > F.col("low"), (F.col(score) - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.lit(flat))
+    return rows.join(small(leg_spans(rows, by, score)), by).withColumn("norm", spread).drop("low", "high", "n")
+
+
+def max_norm(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """Adds ``norm``: x / max, 0 where the maximum is not positive."""
+    norm = F.when(F.col("high") > 0, F.col(score) / F.col("high")).otherwise(0.0)
+    return rows.join(small(leg_spans(rows, by, score)), by).withColumn("norm", norm).drop("low", "high", "n")
+
+
+def percentiles(rows: DataFrame, by: list[str], score: str, points: list[float], bins: int = BINS) -> DataFrame:
+    """(by…, low, high, n, p0, p1 …): exact percentiles of each group with linear interpolation, cut.
+
+    No task ever holds a group: a first pass gives the spans, a second counts the scores in ``bins`` equal parts
+    of each span, a third looks only at the distinct scores of the parts that hold the wanted ranks.
+    """
+    spans = leg_spans(rows, by, score)
+    part = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col(score) - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
+    binned = rows.select(*by, score).join(small(spans), by).withColumn("bin", part)
+    counts = cut(binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("c")))
+    ahead = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    edges = counts.withColumn("before", F.coalesce(F.sum("c").over(ahead), F.lit(0))).join(spans.select(*by, "n"), by)
+    ranks = F.array(*[x for p in points for x in (F.floor((F.col("n") - 1) * p), F.ceil((F.col("n") - 1) * p))])
+    holds = F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))
+    wanted = cut(edges.where(holds).select(*by, "bin", "before"))
+    near = binned.join(small(wanted), [*by, "bin"]).groupBy(*by, "bin", "before", score).agg(F.count(F.lit(1)).alias("c"))
+    inside = Window.partitionBy(*by, "bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("from", F.col("before") + F.coalesce(F.sum("c").over(inside), F.lit(0))).join(spans.select(*by, "n"), by)
+    at = lambda r: F.max(F.when((r >= F.col("from")) & (r < F.col("from") + F.col("c")), F.col(score)))
+    picked = []
+    for i, p in enumerate(points):
+        place = (F.col("n") - 1) * F.lit(p)
+        picked += [at(F.floor(place)).alias(f"a{i}"), at(F.ceil(place)).alias(f"b{i}"), F.max(place - F.floor(place)).alias(f"f{i}")]
+    got = near.groupBy(*by).agg(*picked)
+    return cut(spans.join(got, by).select(*by, "low", "high", "n", *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}")).alias(f"p{i}") for i in range(len(points))]))
 
 
 def robust_norm(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """Adds ``norm``: (x - p50) / (p95 - p50) within 0..1, x / max where the percentiles meet."""
-    p = rows.groupBy(*by).agg(F.percentile(score, 0.5).alias("p50"), F.percentile(score, 0.95).alias("p95"), F.max(score).alias("top"))
-    spread = F.when(F.col("p95") > F.col("p50"), (F.col(score) - F.col("p50")) / (F.col("p95") - F.col("p50"))).otherwise(F.when(F.col("top") > 0, F.col(score) / F.col("top")).otherwise(0.0))
-    return rows.join(p, by).withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), spread))).drop("p50", "p95", "top")
+    """Adds ``norm``: (x - p50) / (p95 - p50) within 0..1, x / max where the percentiles meet. ``rows`` is read several times: cut it."""
+    p = percentiles(rows, by, score, [0.5, 0.95])
+    spread = F.when(F.col("p1") > F.col("p0"), (F.col(score) - F.col("p0")) / (F.col("p1") - F.col("p0"))).otherwise(F.when(F.col("high") > 0, F.col(score) / F.col("high")).otherwise(0.0))
+    return rows.join(small(p), by).withColumn("norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), spread))).drop("low", "high", "n", "p0", "p1")
 
 
 def fuse_weighted(left: DataFrame, right: DataFrame, by: list[str], alpha: float) -> DataFrame:
@@ -130,18 +321,18 @@ def best_windows(hits: DataFrame, parent: str, size: int, penalty: float = 0.0)
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select(parent, "first", "last", "score")
 
 
-def slots(hits: DataFrame, parent: str, quota: tuple[int, ...], limit: int) -> DataFrame:
+def slots(hits: DataFrame, by: list[str], parent: str, quota: tuple[int, ...], limit: int) -> DataFrame:
     """The hits that fill the slots: the best parent gives ``quota[0]``, the next ``quota[1]`` …, then the best of the rest.
 
-    ``hits`` (parent, part, score, parent_score) is a bounded pool of candidates of one query.
+    ``hits`` (by…, parent, part, score, parent_score) holds a pool of candidates for each query, bounded by its top k.
     """
-    parents = hits.select(parent, "parent_score").distinct().withColumn("p", F.row_number().over(Window.orderBy(F.desc("parent_score"), parent)))
-    ranked = hits.join(parents.select(parent, "p"), parent).withColumn("k", F.row_number().over(Window.partitionBy(parent).orderBy(F.desc("score"), "part")))
+    parents = hits.select(*by, parent, "parent_score").distinct().withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("parent_score"), parent)))
+    ranked = hits.join(parents.select(*by, parent, "p"), [*by, parent]).withColumn("k", F.row_number().over(Window.partitionBy(*by, parent).orderBy(F.desc("score"), "part")))
     share = F.array(*[F.lit(q) for q in quota])
     within = (F.col("p") <= len(quota)) & (F.col("k") <= F.get(share, F.col("p") - 1))
     first = F.when(F.coalesce(within, F.lit(False)), 0).otherwise(1)
-    filled = ranked.withColumn("first", first).withColumn("slot", F.row_number().over(Window.orderBy("first", F.when(F.col("first") == 0, F.col("p")), F.desc("score"), parent, "part")))
-    return filled.where(F.col("slot") <= limit).select("slot", parent, "part", "score")
+    filled = ranked.withColumn("first", first).withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy("first", F.when(F.col("first") == 0, F.col("p")), F.desc("score"), parent, "part")))
+    return filled.where(F.col("slot") <= limit).select(*by, "slot", parent, "part", "score")
 
 
 def capped_by_top(score: Column, over: Window) -> Column:

@@ -68,9 +68,9 @@ def inventory_summary(spark, d):
     return _objects(spark, d, "project_name", "config_name", "category_name").groupBy("project_name", "config_name", "category_name").agg(F.count(F.lit(1)).alias("object_count"))
 
 
-@query(f"SELECT object_qn, obj_name FROM {OBJ} WHERE lower(obj_name) = lower('типовойотчет149')")
+@query(f"SELECT object_qn, obj_name FROM {OBJ} WHERE lower(obj_name) = lower('ТИПОВОЙРЕГИСТР35')")
 def objects_match_exact(spark, d):
-    return _objects(spark, d, "obj_name").where(P.matches(F.col("obj_name"), "ТиповойОтчет149", "exact")).select("object_qn", "obj_name")
+    return _objects(spark, d, "obj_name").where(P.matches(F.col("obj_name"), "ТИПОВОЙРЕГИСТР35", "exact")).select("object_qn", "obj_name")
 
 
 @query(f"SELECT object_qn, obj_name FROM {OBJ} WHERE starts_with(lower(obj_name), 'типовой')")
@@ -181,37 +181,47 @@ def set_intersection(spark, d):
     return r.where("is_export").select("owner_qn").intersect(r.where("not is_export").select("owner_qn"))
 
 
-_EXT = f"(SELECT replace(object_qn, '/' || config_name || '/', '/ext/') AS ext_qn, object_qn FROM {OBJ} WHERE category_name = 'Документы')"
+# The overlay of a configuration takes over every object whose name ends in an even digit and adds one of its own for each that ends in 1.
+_EXT = f"""(SELECT replace(object_qn, '/' || config_name || '/', '/' || config_name || '_ext/') AS ext_qn, config_name FROM {OBJ} WHERE regexp_matches(object_qn, '[02468]$')
+    UNION ALL SELECT replace(object_qn, '/' || config_name || '/', '/' || config_name || '_ext/') || '_own', config_name FROM {OBJ} WHERE regexp_matches(object_qn, '1$'))"""
 
 
-@query(f"SELECT e.ext_qn AS extension_qn, o.object_qn AS base_qn FROM {_EXT} e JOIN {OBJ} o ON replace(e.ext_qn, '/ext/', '/' || o.config_name || '/') = o.object_qn AND e.object_qn = o.object_qn")
+def _overlay(spark, d):
+    """(object_qn, config_name) of an overlay made of the objects: its names lie in another configuration."""
+    o = _objects(spark, d, "config_name").withColumn("ext", F.expr("replace(object_qn, concat('/', config_name, '/'), concat('/', config_name, '_ext/'))"))
+    taken = o.where(F.col("object_qn").rlike("[02468]$")).select(F.col("ext").alias("object_qn"), "config_name")
+    own = o.where(F.col("object_qn").rlike("1$")).select(F.concat("ext", F.lit("_own")).alias("object_qn"), "config_name")
+    return taken.unionByName(own)
+
+
+def _rewritten():
+    return F.expr("replace(object_qn, concat('/', config_name, '_ext/'), concat('/', config_name, '/'))")
+
+
+@query(f"SELECT e.ext_qn AS extension_qn, o.object_qn AS base_qn FROM {_EXT} e JOIN {OBJ} o ON replace(e.ext_qn, '/' || e.config_name || '_ext/', '/' || e.config_name || '/') = o.object_qn")
 def qn_rewrite_selfjoin(spark, d):
-    """Overlay pairs by rewritten names; the extension is the documents under another configuration's name."""
-    o = _objects(spark, d, "config_name", "category_name").withColumn("ext", F.expr("replace(object_qn, concat('/', config_name, '/'), '/ext/')"))
-    ext = o.where(F.col("category_name") == "Документы").select(F.col("ext").alias("object_qn"), "config_name")
-    rewritten = F.expr("replace(object_qn, '/ext/', concat('/', config_name, '/'))")
-    return R.overlay_pairs(o.select("object_qn"), ext, "object_qn", rewritten)
+    """Overlay pairs by rewritten names: an overlay's object belongs to the base object whose name it has in the base configuration."""
+    return R.overlay_pairs(_objects(spark, d, "config_name").select("object_qn"), _overlay(spark, d), "object_qn", _rewritten())
 
 
 @query(
-    f"""WITH o AS (SELECT object_qn, project_name, obj_name, config_name FROM {OBJ}),
-    p AS (SELECT a.object_qn AS extension_qn, b.object_qn AS base_qn FROM o a JOIN o b ON a.project_name = b.project_name AND a.obj_name = b.obj_name AND a.object_qn > b.object_qn)
-    SELECT o.object_qn, CASE WHEN e.extension_qn IS NOT NULL THEN 'extension' WHEN b.base_qn IS NOT NULL THEN 'base' ELSE 'none' END AS role FROM o
-    LEFT JOIN (SELECT DISTINCT extension_qn FROM p) e ON e.extension_qn = o.object_qn LEFT JOIN (SELECT DISTINCT base_qn FROM p) b ON b.base_qn = o.object_qn"""
+    f"""WITH e AS (SELECT * FROM {_EXT}), n AS (SELECT object_qn FROM {OBJ} UNION ALL SELECT ext_qn FROM e),
+    p AS (SELECT e.ext_qn, o.object_qn AS base_qn FROM e JOIN {OBJ} o ON replace(e.ext_qn, '/' || e.config_name || '_ext/', '/' || e.config_name || '/') = o.object_qn)
+    SELECT n.object_qn, CASE WHEN x.ext_qn IS NOT NULL THEN 'extension' WHEN b.base_qn IS NOT NULL THEN 'base' ELSE 'none' END AS role, coalesce(x.base_qn, b.exts, '') AS partners FROM n
+    LEFT JOIN p x ON x.ext_qn = n.object_qn LEFT JOIN (SELECT base_qn, string_agg(ext_qn, ',' ORDER BY ext_qn) AS exts FROM p GROUP BY base_qn) b ON b.base_qn = n.object_qn"""
 )
 def adoption_roles(spark, d):
-    """Role of every object: objects of one project with the same name are an overlay of the first of them."""
-    o = _objects(spark, d, "project_name", "obj_name")
-    a, b = o.select("project_name", "obj_name", F.col("object_qn").alias("extension_qn")), o.select("project_name", "obj_name", F.col("object_qn").alias("base_qn"))
-    pairs = a.join(b, ["project_name", "obj_name"]).where("extension_qn > base_qn").select("extension_qn", "base_qn")
-    return R.adoption_roles(o, pairs, "object_qn").select("object_qn", "role")
+    """Role of every object of a base configuration and its overlay, with its partners."""
+    base, ext = _objects(spark, d, "config_name").select("object_qn"), _overlay(spark, d)
+    pairs = R.overlay_pairs(base, ext, "object_qn", _rewritten())
+    return R.adoption_roles(base.unionByName(ext.select("object_qn")), pairs, "object_qn").select("object_qn", "role", F.array_join("partners", ",").alias("partners"))
 
 
 @query(f"SELECT name, project_name, min(id) AS id FROM {ROU} GROUP BY name, project_name HAVING count(*) = 1")
 def resolve_unambiguous(spark, d):
     """Names that mean exactly one routine of a project."""
-    r = _routines(spark, d, "name", "project_name").withColumn("tier", F.lit(0))
-    return R.unambiguous(r, ["name", "project_name"], "tier").select("name", "project_name", "id")
+    r = _routines(spark, d, "name", "project_name")
+    return r.groupBy("name", "project_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("name", "project_name", "id")
 
 
 @query(
@@ -220,12 +230,18 @@ def resolve_unambiguous(spark, d):
     SELECT caller, callee, CAST(tier AS BIGINT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY tier, callee) AS k FROM c) WHERE k = 1"""
 )
 def tiered_resolution(spark, d):
-    """The best namesake of each routine: of the same owner first, then exported ones of the project."""
-    r = _routines(spark, d, "name", "owner_qn", "project_name", "is_export")
-    a = r.select("name", "project_name", F.col("id").alias("caller"), F.col("owner_qn").alias("own"))
-    b = r.select("name", "project_name", F.col("id").alias("callee"), "owner_qn", "is_export")
-    c = a.join(b, ["name", "project_name"]).where("caller <> callee and (is_export or own = owner_qn)").withColumn("tier", F.when(F.col("own") == F.col("owner_qn"), 0).otherwise(1).cast("long"))
-    return R.best_candidates(c.select("caller", "callee", "tier"), ["caller"], [F.col("tier"), F.col("callee")])
+    """The best namesake of each routine: of the same owner first, then exported ones of the project.
+
+    Each group of namesakes gives its two smallest ids, one of which isn't the caller: no pairs within a name.
+    """
+    r = _routines(spark, d, "name", "owner_qn", "project_name", "is_export").where(F.col("name").isNotNull() & F.col("project_name").isNotNull())
+    own, shared = ["name", "project_name", "owner_qn"], ["name", "project_name"]
+    mine = R.first_of_each(r.where(F.col("owner_qn").isNotNull()), own, [F.col("id")], 2).groupBy(*own).agg(F.sort_array(F.collect_list("id")).alias("mine"))
+    theirs = R.first_of_each(r.where("is_export"), shared, [F.col("id")], 2).groupBy(*shared).agg(F.sort_array(F.collect_list("id")).alias("theirs"))
+    both = r.join(mine, own, "left").join(theirs, shared, "left")
+    other = lambda ids: F.get(F.filter(ids, lambda x: x != F.col("id")), F.lit(0))
+    rows = both.select(F.col("id").alias("caller"), other(F.col("mine")).alias("m"), other(F.col("theirs")).alias("t"))
+    return rows.where("m is not null or t is not null").select("caller", F.coalesce("m", "t").alias("callee"), F.when(F.col("m").isNotNull(), 0).otherwise(1).cast("long").alias("tier"))
 
 
 @query(
@@ -287,7 +303,9 @@ def edge_aggregate_capped(spark, d):
     """The same per user with the first 50 places, as the edge's property keeps them."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null")
-    return t.groupBy("user_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("event_id")), 1, 50), ",").alias("lines"))
+    edge = ["user_id", "src", "dst"]
+    places = R.first_of_each(t, edge, [F.col("event_id")], 50).groupBy(*edge).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("lines"))
+    return t.groupBy(*edge).agg(F.count(F.lit(1)).alias("n")).join(places, edge)
 
 
 @query(
@@ -308,11 +326,15 @@ def numbered_collapse(spark, d):
     return e.groupBy("user_id").agg(X.number_ranges(F.collect_set("n")).alias("ranges"))
 
 
-@query(f"SELECT project_name, sha256(string_agg(id || ':' || coalesce(body_hash, ''), ',' ORDER BY id)) AS state FROM {ROU} GROUP BY project_name")
+@query(
+    f"""SELECT project_name, sha256(string_agg(h, ',' ORDER BY bucket)) AS state FROM (SELECT project_name, substring(md5(id), 1, 3) AS bucket,
+    sha256(string_agg(id || ':' || coalesce(body_hash, ''), ',' ORDER BY id)) AS h FROM {ROU} GROUP BY ALL) GROUP BY project_name"""
+)
 def source_state_hash(spark, d):
-    """One hash over the ordered ids and body hashes of a project."""
-    r = _routines(spark, d, "project_name", "body_hash").withColumn("one", F.concat("id", F.lit(":"), F.coalesce("body_hash", F.lit(""))))
-    return r.groupBy("project_name").agg(F.expr("sha2(listagg(one, ',') within group (order by id), 256)").alias("state"))
+    """One hash over the ids and body hashes of a project, formed in 4,096 buckets of ids and over the buckets in order."""
+    r = _routines(spark, d, "project_name", "body_hash").withColumn("bucket", F.substring(F.md5("id"), 1, 3)).withColumn("one", F.concat("id", F.lit(":"), F.coalesce("body_hash", F.lit(""))))
+    parts = r.groupBy("project_name", "bucket").agg(F.expr("sha2(listagg(one, ',') within group (order by id), 256)").alias("h"))
+    return parts.groupBy("project_name").agg(F.expr("sha2(listagg(h, ',') within group (order by bucket), 256)").alias("state"))
 
 
 # --- windows, order and pages
@@ -374,17 +396,22 @@ def body_slice(spark, d):
     return _routines(spark, d, "body").select("id", X.body_slice(F.col("body"), 100, 200).alias("part"), F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("total"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-_SPLIT = r"regexp_replace(regexp_replace({0}, '([a-zа-яё0-9])([A-ZА-ЯЁ])', '\1 \2', 'g'), '([A-ZА-ЯЁ])([A-ZА-ЯЁ][a-zа-яё])', '\1 \2', 'g')"
+_STOP = """'как', 'где', 'что', 'чтобы', 'если', 'или', 'для', 'при', 'это', 'этот', 'эта', 'эти', 'этой', 'этого', 'будет', 'есть', 'нет', 'надо', 'нужно', 'который', 'которая', 'которые', 'каких', 'каким', 'какие',
+    'по', 'из', 'на', 'в', 'с', 'к', 'от', 'до', 'и', 'а', 'же', 'ли', 'не', 'за', 'под', 'над', 'через', 'между'"""
+_CODE_STOP = _STOP + """, 'тогда', 'иначе', 'иначеесли', 'конецесли', 'каждого', 'цикл', 'конеццикла', 'пока', 'попытка', 'исключение', 'конецпопытки', 'возврат', 'перем', 'знач', 'экспорт', 'новый', 'истина', 'ложь', 'неопределено',
+    'null', 'true', 'false', 'procedure', 'function', 'endprocedure', 'endfunction', 'if', 'then', 'else', 'elsif', 'endif', 'for', 'each', 'while', 'return', 'export', 'new'"""
+# Runs of capitals split into single letters: two passes of the same replacement see every boundary.
+_SPLIT = r"regexp_replace(regexp_replace({0}, '([а-яa-z0-9])([А-ЯA-Z])', '\1 \2', 'g'), '([а-яa-z0-9])([А-ЯA-Z])', '\1 \2', 'g')"
 
 
-def _sql_tokens(column: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({_SPLIT.format(column)}), '{WORD}'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))"
+def _sql_tokens(column: str, stop: str = _STOP) -> str:
+    return f"list_filter(regexp_extract_all(lower({_SPLIT.format(column)}), '{WORD}'), lambda w: length(w) >= 3 AND w NOT IN ({stop}))"
 
 
-@query(f"SELECT id, array_to_string({_sql_tokens('body')}, ' ') AS tokens FROM {ROU} WHERE body IS NOT NULL")
+@query(f"SELECT id, array_to_string({_sql_tokens('body', _CODE_STOP)}, ' ') AS tokens FROM {ROU} WHERE body IS NOT NULL")
 def tokenize(spark, d):
-    return _routines(spark, d, "body").where("body is not null").select("id", F.array_join(X.tokens(F.col("body")), " ").alias("tokens"))
+    """Tokens of every body, stop words of code left out."""
+    return _routines(spark, d, "body").where("body is not null").select("id", F.array_join(X.tokens(F.col("body"), stop=X.CODE_STOP_WORDS), " ").alias("tokens"))
 
 
 @query(rf"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(body, '({NAME})\s*\(', 1))), ',') AS calls FROM {ROU} WHERE body IS NOT NULL")
@@ -393,9 +420,20 @@ def structural_extract(spark, d):
     return _routines(spark, d, "body").where("body is not null").select("id", F.array_join(F.array_sort(F.array_distinct(X.called_names(F.col("body")))), ",").alias("calls"))
 
 
-@query(f"SELECT id, regexp_replace(lower(name), '^(.{{4,}}?)({'|'.join(X.ENDINGS)})$', '\\1') AS stem FROM {ROU}")
+_ENDS = """['иями', 'ями', 'ами', 'ого', 'ему', 'ыми', 'ими', 'иях', 'иям', 'ией', 'ию', 'ия', 'ые', 'ие', 'ой', 'ий', 'ый', 'ая', 'яя', 'ое', 'ее', 'ую', 'юю', 'ов', 'ев', 'ам', 'ям', 'ах', 'ях', 'ом', 'ем', 'ей', 'ою', 'ею',
+    'ы', 'и', 'а', 'я', 'е', 'у', 'ю']"""
+
+
+def _sql_stem(word: str) -> str:
+    bare = f"replace(lower({word}), '_', '')"
+    ending = f"list_filter({_ENDS}, lambda e: ends_with({bare}, e) AND length({bare}) - length(e) >= 4)[1]"
+    return f"CASE WHEN regexp_full_match({bare}, '[а-яё]+') AND length({bare}) > 4 THEN left({bare}, length({bare}) - coalesce(length({ending}), 0)) ELSE {bare} END"
+
+
+@query(f"SELECT id, array_to_string(list_transform(t, lambda w: {_sql_stem('w')}), ' ') AS stems FROM (SELECT id, {_sql_tokens('name')} AS t FROM {ROU})")
 def word_stem(spark, d):
-    return _routines(spark, d, "name").select("id", X.stem(F.lower("name")).alias("stem"))
+    """The stems of every name's tokens."""
+    return _routines(spark, d, "name").select("id", F.array_join(F.transform(X.tokens(F.col("name")), lambda w: X.stem(w)), " ").alias("stems"))
 
 
 @query(f"SELECT object_qn, string_split(object_qn, '/')[1] AS project, string_split(object_qn, '/')[2] AS config, string_split(object_qn, '/')[3] AS category FROM {OBJ}")
@@ -410,13 +448,8 @@ def identity_hashes(spark, d):
     return r.select("id", F.sha1(F.concat_ws("|", "module_id", "routine_type", "name", "params_text")).alias("rid"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("body_sha"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) AS plain FROM documents WHERE text LIKE '%<%>%'")
+@query("SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\t\\n\\f\\r\\v]+', ' ', 'g')) AS plain FROM documents")
 def html_to_text(spark, d):
-    return table(spark, d, "documents").where(F.col("text").like("%<%>%")).select("doc_id", X.html_text(F.col("text")).alias("plain"))
-
-
-@query()
-def html_to_text_all(spark, d):
     """Every document as plain text; null for null text."""
     return table(spark, d, "documents").select("doc_id", X.html_text(F.col("text")).alias("plain"))
 
@@ -431,10 +464,16 @@ _BM_CTE = f"""{_TOK_CTE}, {_QRY_CTE}, st AS (SELECT count(*) AS n, avg(length) A
     FROM q JOIN post p USING (token) JOIN df USING (token) JOIN len USING (doc_id) CROSS JOIN st GROUP BY q.qid, p.doc_id)"""
 
 
+def _words():
+    return F.coalesce(X.tokens(F.col("text")), F.array().cast("array<string>"))
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
 def _posted(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = F.coalesce(X.tokens(F.col("text")), F.array().cast("array<string>"))
-    return retrieval.postings(docs, "doc_id", words), docs.select("doc_id", F.size(words).cast("long").alias("length"))
+    return retrieval.postings(_documents(spark, d), "doc_id", _words())
 
 
 def _query_tokens(spark):
@@ -443,19 +482,19 @@ def _query_tokens(spark):
 
 
 def _lexical(spark, d):
-    posted, lengths = _posted(spark, d)
-    return retrieval.bm25(posted, lengths, _query_tokens(spark), "doc_id")
+    return retrieval.bm25(_documents(spark, d), _words(), _query_tokens(spark), "doc_id")
 
 
 @query(f"WITH {_TOK_CTE} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM post GROUP BY token")
 def corpus_df(spark, d):
     """Documents and occurrences of every token."""
-    return _posted(spark, d)[0].groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
+    return _posted(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @query(f"WITH {_TOK_CTE} SELECT count(*) AS documents, CAST(sum(length) AS BIGINT) AS tokens, round(avg(length), 6) AS mean FROM len")
 def corpus_stats(spark, d):
-    return _posted(spark, d)[1].agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean"))
+    lengths = _documents(spark, d).select(F.size(_words()).cast("long").alias("length"))
+    return lengths.agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("tokens"), F.round(F.avg("length"), 6).alias("mean"))
 
 
 @query(f"WITH {_BM_CTE} SELECT CAST(qid AS BIGINT) AS qid, doc_id, round(score, 6) AS score FROM bm")
@@ -464,11 +503,10 @@ def bm25(spark, d):
     return _lexical(spark, d).select(F.col("qid").cast("long").alias("qid"), "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_BM_CTE} SELECT CAST(qid AS BIGINT) AS qid, round(max(score), 6) AS best, count(*) AS hits, round(sum(norm), 4) AS norms FROM (SELECT *, (score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0) AS norm FROM bm WINDOW w AS (PARTITION BY qid)) GROUP BY qid")
+@query(f"WITH {_BM_CTE} SELECT CAST(qid AS BIGINT) AS qid, doc_id, round((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 6) AS norm FROM bm WINDOW w AS (PARTITION BY qid)")
 def minmax_norm(spark, d):
-    w = Window.partitionBy("qid")
-    n = _lexical(spark, d).withColumn("norm", retrieval.minmax(F.col("score"), w, 0.0))
-    return n.groupBy(F.col("qid").cast("long").alias("qid")).agg(F.round(F.max("score"), 6).alias("best"), F.count(F.lit(1)).alias("hits"), F.round(F.sum("norm"), 4).alias("norms"))
+    n = retrieval.minmax(cut(_lexical(spark, d)), ["qid"], 0.0)
+    return n.select(F.col("qid").cast("long").alias("qid"), "doc_id", F.round("norm", 6).alias("norm"))
 
 
 @query(
@@ -476,51 +514,55 @@ def minmax_norm(spark, d):
     SELECT CAST(qid AS BIGINT) AS qid, doc_id, round(CASE WHEN p95 > p50 THEN greatest(0, least(1, (score - p50) / (p95 - p50))) WHEN top > 0 THEN greatest(0, least(1, score / top)) ELSE 0 END, 6) AS norm FROM bm JOIN p USING (qid)"""
 )
 def p95_norm(spark, d):
-    n = retrieval.robust_norm(_lexical(spark, d), ["qid"])
+    n = retrieval.robust_norm(cut(_lexical(spark, d)), ["qid"])
     return n.select(F.col("qid").cast("long").alias("qid"), "doc_id", F.round("norm", 6).alias("norm"))
 
 
 _VEC = "SELECT a.vec_id AS qid, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS cos, b.label FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0"
 
 
-def _cosines(spark, d):
-    """Every vector whose id is divisible by 20 against all others: a stated set of queries in one small broadcast."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
-    pairs = e.join(q, F.col("vec_id") != F.col("qid"))
-    return pairs.select("qid", "vec_id", retrieval.cosine(F.col("qv"), F.col("v")).alias("cos"), "label")
+def _vectors(spark, d):
+    """(queries, base): every vector whose id is divisible by 20 is a query against all vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("long").alias("label"))
+    return e.where("id % 20 = 0").select(F.col("id").alias("qid"), "v"), e
 
 
-@query(f"SELECT qid, vec_id, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id) AS k FROM ({_VEC})) WHERE k <= 10")
+@query(f"SELECT qid, vec_id, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(cos, 12) DESC, vec_id) AS k FROM ({_VEC})) WHERE k <= 10")
 def vector_topk(spark, d):
-    return retrieval.top_k(_cosines(spark, d), 10, ["qid"], "cos", "vec_id").select("qid", "vec_id", F.round("cos", 6).alias("cos"))
+    """The ten nearest of each query."""
+    q, e = _vectors(spark, d)
+    return retrieval.blocked_topk(q, e, 10, DIM).select("qid", F.col("id").alias("vec_id"), F.round("cos", 6).alias("cos"))
 
 
-@query(f"SELECT qid, CAST(label AS BIGINT) AS label, vec_id, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY cos DESC, vec_id) AS k FROM ({_VEC})) WHERE k <= 2")
+@query(f"SELECT qid, CAST(label AS BIGINT) AS label, vec_id, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY round(cos, 12) DESC, vec_id) AS k FROM ({_VEC})) WHERE k <= 2")
 def vector_topk_per_category(spark, d):
-    return retrieval.top_k(_cosines(spark, d), 2, ["qid", "label"], "cos", "vec_id").select("qid", F.col("label").cast("long").alias("label"), "vec_id", F.round("cos", 6).alias("cos"))
+    """The two nearest of each category, so that no category fills the pool."""
+    q, e = _vectors(spark, d)
+    return retrieval.blocked_topk(q, e, 2, DIM, "label").select("qid", "label", F.col("id").alias("vec_id"), F.round("cos", 6).alias("cos"))
 
 
 @query("SELECT CAST(label AS BIGINT) AS label, CAST(i AS BIGINT) AS i, round(sum(x * w) / sum(w), 6) AS x FROM (SELECT label, vec_id % 7 + 1 AS w, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY label, i")
 def mean_pool(spark, d):
-    pooled = retrieval.mean_pool(table(spark, d, "embeddings"), "label", "embedding", F.col("vec_id") % 7 + 1)
+    """The weighted mean vector of each label."""
+    pooled = retrieval.mean_pool(table(spark, d, "embeddings"), "label", "embedding", F.col("vec_id") % 7 + 1, DIM)
     return pooled.select(F.col("label").cast("long").alias("label"), F.posexplode("embedding").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-_LEGS = f"""WITH {_BM_CTE}, lex AS (SELECT qid, doc_id, score / max(score) OVER (PARTITION BY qid) AS norm, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm),
+#: Candidates of each leg of a hybrid search, and elements of a vector.
+POOL, DIM = 200, 64
+_LEGS = f"""WITH {_BM_CTE}, lex AS (SELECT qid, doc_id, score / max(score) OVER (PARTITION BY qid) AS norm, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm) WHERE rank <= {POOL}),
     vec0 AS (SELECT CAST(q.qid AS INTEGER) AS qid, b.vec_id AS doc_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM (SELECT DISTINCT qid FROM q) q JOIN embeddings a ON a.vec_id = q.qid JOIN embeddings b ON a.vec_id <> b.vec_id),
-    vec AS (SELECT qid, doc_id, score / max(score) OVER (PARTITION BY qid) AS norm, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vec0)"""
+    vec AS (SELECT qid, doc_id, score / max(score) OVER (PARTITION BY qid) AS norm, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM vec0) WHERE rank <= {POOL})"""
 
 
 def _legs(spark, d):
-    """Lexical and vector candidates of the queries; query n's vector is embedding n."""
-    w = Window.partitionBy("qid")
-    ranked = w.orderBy(F.round("score", 9).desc(), "doc_id")
-    lex = _lexical(spark, d)
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    q = e.where(F.col("vec_id").isin(*QUERIES)).select(F.col("vec_id").cast("int").alias("qid"), F.col("v").alias("qv"))
-    vec = e.join(F.broadcast(q), F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("doc_id"), retrieval.cosine(F.col("qv"), F.col("v")).alias("score"))
-    return [leg.select("qid", "doc_id", retrieval.max_norm(F.col("score"), w).alias("norm"), F.row_number().over(ranked).alias("rank")) for leg in (lex, vec)]
+    """The best POOL lexical and vector candidates of the queries; query n's vector is embedding n."""
+    order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "doc_id")
+    lex = _lexical(spark, d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= POOL)
+    _, e = _vectors(spark, d)
+    vec = retrieval.blocked_topk(e.where(F.col("id").isin(*QUERIES)).select(F.col("id").alias("qid"), "v"), e, POOL, DIM)
+    vec = vec.select(F.col("qid").cast("int").alias("qid"), F.col("id").alias("doc_id"), F.col("cos").alias("score"), "rank")
+    return [retrieval.max_norm(cut(leg.select("qid", "doc_id", "score", "rank")), ["qid"]) for leg in (lex, vec)]
 
 
 @query(f"{_LEGS} SELECT CAST(coalesce(l.qid, v.qid) AS BIGINT) AS qid, coalesce(l.doc_id, v.doc_id) AS doc_id, round(0.3 * coalesce(l.norm, 0) + 0.7 * coalesce(v.norm, 0), 6) AS score FROM lex l FULL JOIN vec v ON l.qid = v.qid AND l.doc_id = v.doc_id")
@@ -566,8 +608,10 @@ _CALLS = rf"""r AS (SELECT id, name, project_name, owner_qn, body FROM {ROU}), u
 
 
 def _calls(spark, d):
-    r = _routines(spark, d, "name", "project_name", "owner_qn", "body")
-    return graph.recovered_calls(r.select("id", "name", "project_name", "owner_qn", "body"), X.called_names(F.col("body")), ["project_name", "owner_qn"])
+    """Names are taken from the bodies where these are read: no body is shuffled."""
+    named = table(spark, d, "routine").select("id", "loaded_at", "name", "project_name", "owner_qn", X.called_names(F.col("body")).alias("called"))
+    r = R.current_rows(named, "id", ["name", "project_name", "owner_qn", "called"])
+    return graph.recovered_calls(r, F.col("called"), ["project_name", "owner_qn"])
 
 
 @query(f"WITH {_CALLS} SELECT * FROM calls")
@@ -594,71 +638,46 @@ def trails_k(spark, d):
     return graph.trails(edges, starts, 3).select("start", "end", F.col("depth").cast("long").alias("depth"), F.array_join("nodes", ">").alias("path"))
 
 
+def _clean(name):
+    return rf"nfc_normalize(regexp_replace({name}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
+
+
 @query(
-    r"""WITH RECURSIVE n AS (SELECT nfc_normalize(regexp_replace(child_qn, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS c, nfc_normalize(regexp_replace(parent_qn, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS p, loaded_at FROM subsystem_edge),
-    e AS (SELECT c, nullif(p, '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY loaded_at DESC) AS k FROM n WHERE c <> '') WHERE k = 1),
-    s AS (SELECT c AS node FROM e WHERE p IS NULL UNION SELECT p FROM e WHERE p IS NOT NULL AND p NOT IN (SELECT c FROM e)),
-    w AS (SELECT node AS start, node, 0 AS depth FROM s UNION ALL SELECT w.start, e.c, w.depth + 1 FROM w JOIN e ON e.p = w.node)
-    SELECT start, node, CAST(depth AS BIGINT) AS depth FROM w"""
+    f"""WITH RECURSIVE n AS (SELECT 'subsystem_edge' AS t, {_clean("child_qn")} AS c, {_clean("parent_qn")} AS p, loaded_at FROM subsystem_edge UNION ALL SELECT 'child_rel', {_clean("child_qn")}, {_clean("parent_qn")}, loaded_at FROM child_rel),
+    e AS (SELECT t, c, nullif(p, '') AS p FROM (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY loaded_at DESC) AS k FROM n WHERE c <> '') WHERE k = 1),
+    s AS (SELECT t, c AS node FROM e WHERE p IS NULL UNION SELECT t, p FROM e WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e x WHERE x.t = e.t AND x.c = e.p)),
+    w AS (SELECT t, node AS start, node, 0 AS depth FROM s UNION ALL SELECT w.t, w.start, e.c, w.depth + 1 FROM w JOIN e ON e.t = w.t AND e.p = w.node)
+    SELECT t AS edge_table, start, node, CAST(depth AS BIGINT) AS depth FROM w"""
 )
 def closure(spark, d):
-    """All nodes below every subsystem that has no parent, with their distance, from the tours' positions."""
-    forest = hierarchies(current_links(table(spark, d, "subsystem_edge"), "subsystem_edge"))
-    return forest.where("depth >= 0").select(F.col("root_qn").alias("start"), F.col("node_qn").alias("node"), F.col("depth").cast("long").alias("depth"))
-
-
-@query()
-def closure_all(spark, d):
-    """The closure of both link tables: all nodes below every name that has no parent, with their distance."""
+    """All nodes below every name of both link tables that has no parent, with their distance, from the tours' positions."""
     links = [current_links(table(spark, d, t), t) for t in ("subsystem_edge", "child_rel")]
     forest = hierarchies(links[0].unionByName(links[1]))
     return forest.where("depth >= 0").select("edge_table", F.col("root_qn").alias("start"), F.col("node_qn").alias("node"), F.col("depth").cast("long").alias("depth"))
 
 
 @query(
-    f"""WITH RECURSIVE {_CALLS}, e AS (SELECT caller, callee FROM calls UNION SELECT callee, caller FROM calls), s AS (SELECT id FROM r WHERE starts_with(owner_qn, 'sklad_main/')),
-    w AS (SELECT id AS start, id AS node, 0 AS depth FROM s UNION SELECT w.start, e.callee, w.depth + 1 FROM w JOIN e ON e.caller = w.node WHERE w.depth < 4)
+    f"""WITH RECURSIVE {_CALLS}, e AS (SELECT caller, callee FROM calls UNION SELECT callee, caller FROM calls),
+    w AS (SELECT id AS start, id AS node, 0 AS depth FROM r UNION SELECT w.start, e.callee, w.depth + 1 FROM w JOIN e ON e.caller = w.node WHERE w.depth < 4)
     SELECT start, node, CAST(min(depth) AS BIGINT) AS depth FROM w GROUP BY ALL"""
 )
 def call_subtree_depths(spark, d):
-    """Undirected distances over calls, up to four, from the routines of one project."""
-    return _call_depths(spark, d, "sklad_main/")
-
-
-@query()
-def call_subtree_depths_all(spark, d):
     """Undirected distances over calls, up to four, from every routine."""
-    return _call_depths(spark, d, "")
-
-
-def _call_depths(spark, d, prefix):
     c = cut(_calls(spark, d))
     edges = c.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).unionByName(c.select(F.col("callee").alias("src"), F.col("caller").alias("dst")))
-    r = _routines(spark, d, "owner_qn")
-    starts = (r.where(F.col("owner_qn").startswith(prefix)) if prefix else r).select(F.col("id").alias("start"))
+    starts = _routines(spark, d).select(F.col("id").alias("start"))
     return graph.reachable(edges, starts, 4).select("start", "node", F.col("depth").cast("long").alias("depth"))
 
 
 @query(
-    f"""WITH RECURSIVE {_CALLS}, own AS (SELECT id, owner_qn FROM r), e AS (SELECT DISTINCT caller AS src, callee AS dst, 'CALLS' AS rel FROM calls UNION SELECT owner_qn, id, 'HAS_ROUTINE' FROM own WHERE starts_with(owner_qn, 'sklad_main/')),
-    w AS (SELECT o.owner_qn AS start, o.owner_qn AS node, 0 AS depth, [o.owner_qn] AS path, o.owner_qn AS text FROM (SELECT DISTINCT owner_qn FROM own WHERE starts_with(owner_qn, 'sklad_main/')) o
+    f"""WITH RECURSIVE {_CALLS}, e AS (SELECT DISTINCT caller AS src, callee AS dst, 'CALLS' AS rel FROM calls UNION SELECT owner_qn, id, 'HAS_ROUTINE' FROM r WHERE owner_qn IS NOT NULL),
+    w AS (SELECT o.owner_qn AS start, o.owner_qn AS node, 0 AS depth, [o.owner_qn] AS path, o.owner_qn AS text FROM (SELECT DISTINCT owner_qn FROM r WHERE owner_qn IS NOT NULL) o
     UNION ALL SELECT w.start, e.dst, w.depth + 1, list_append(w.path, e.dst), w.text || ' -[' || e.rel || ']-> ' || e.dst FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND NOT list_contains(w.path, e.dst))
     SELECT DISTINCT start, node AS "end", CAST(depth AS BIGINT) AS depth, text AS path FROM w WHERE depth > 0"""
 )
 def dependency_paths(spark, d):
-    """Dependency paths of the objects of one project over routines and calls."""
-    return _paths_of_owners(spark, d, "sklad_main/")
-
-
-@query()
-def dependency_paths_all(spark, d):
     """Dependency paths of the objects of all projects over routines and calls."""
-    return _paths_of_owners(spark, d, "")
-
-
-def _paths_of_owners(spark, d, prefix):
-    r = _routines(spark, d, "owner_qn").where(F.col("owner_qn").startswith(prefix) if prefix else F.col("owner_qn").isNotNull())
-    r = cut(r.select("id", "owner_qn"))
+    r = cut(_routines(spark, d, "owner_qn").where("owner_qn is not null"))
     calls = cut(_calls(spark, d)).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("CALLS").alias("rel"))
     edges = calls.unionByName(r.select(F.col("owner_qn").alias("src"), F.col("id").alias("dst"), F.lit("HAS_ROUTINE").alias("rel")))
     found = graph.dependency_paths(edges, r.select(F.col("owner_qn").alias("start")), "downstream", None, 3)
@@ -699,7 +718,7 @@ def routine_delta_classes(spark, d):
 @query(f"WITH {_TOK_CTE} SELECT token, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS df FROM post GROUP BY token HAVING sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) <> 0")
 def signed_delta(spark, d):
     """Document frequencies as signed contributions: even documents are added, odd ones taken away, zeros left out."""
-    posted, _ = _posted(spark, d)
+    posted = _posted(spark, d)
     signed = posted.groupBy("token").agg(F.sum(F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).alias("df"))
     return signed.where("df <> 0")
 

@@ -6,18 +6,10 @@ import pytest
 
 from graphloom.operators import hierarchy
 from graphloom.plans import problems
-from graphloom.plans.session import build_session
 
 LINKS = [("b", "a"), ("c", "b"), ("d", "b"), ("e", "d"), ("f", None), ("x", "y"), ("y", "x"), ("z", "y"), *((f"n{i}", f"n{i - 1}") for i in range(1, 40)), *((f"m{i}", f"n{i}") for i in range(0, 40, 3))]
 
 
-@pytest.fixture(scope="module")
-def spark():
-    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
-    yield session
-    session.stop()
-
-
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("links")
