@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, normal_source
-from graphloom.llm.conversations import STAND_INS, conversations, with_texts
+from graphloom.llm.conversations import conversations, with_texts
 from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
 from graphloom.llm.routines import documented_routines, with_bodies
@@ -103,16 +103,18 @@ def queries() -> dict:
 def _said(column: str) -> str:
     """SQL of has_content."""
     bare = rf"lower(regexp_replace({column}, '^[\s\x{{A0}}\x{{3000}}]+|[\s\x{{A0}}\x{{3000}}]+$', '', 'g'))"
-    words = ", ".join(f"'{w}'" for w in STAND_INS)
+    words = "'null', 'none', 'nil', 'undefined', 'n/a', 'na', 'nan', 'void', 'empty', 'no answer', 'no reply', 'no response', 'нет ответа', 'нет текста', 'пустой ответ', 'ответ не получен', 'пусто'"
     return rf"coalesce(regexp_matches({column}, '[\p{{L}}\p{{N}}]') AND {bare} NOT IN ({words}) AND NOT regexp_matches({bare}, '^[\[({{<]+[^\[\](){{}}<>]*(null|none|nil|undefined|n/a|empty|missing|blank|no |not |нет |пуст|не получ|отсутств|без )[^\[\](){{}}<>]*[\])}}>]+$'), false)"
 
 
-_P1 = rf"""WITH c AS (SELECT turn_id, chat_id, seq, status, {_said("user_text")} AS u, {_said("assistant_text")} AS a, row_number() OVER (PARTITION BY turn_id ORDER BY loaded_at DESC) AS k FROM agent_turn),
+_CHATS = rf"""WITH c AS (SELECT turn_id, chat_id, seq, status, user_text, assistant_text, {_said("user_text")} AS u, {_said("assistant_text")} AS a, row_number() OVER (PARTITION BY turn_id ORDER BY loaded_at DESC) AS k FROM agent_turn),
     t AS (SELECT * FROM c WHERE k = 1 AND chat_id IS NOT NULL AND regexp_replace(chat_id, '[\s\x{{A0}}\x{{3000}}]+', '', 'g') <> ''),
     m AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS n, lag(a) OVER (PARTITION BY chat_id ORDER BY seq) AS before, lead(seq) OVER (PARTITION BY chat_id ORDER BY seq) AS after FROM t),
     ok AS (SELECT chat_id FROM m GROUP BY chat_id HAVING bool_and(coalesce(seq = n AND status = 'done' AND (u OR a) AND CASE WHEN before IS NULL THEN u ELSE u = before END AND (after IS NOT NULL OR a), false))),
-    x AS (SELECT chat_id, seq, 0 AS part, turn_id FROM t WHERE u UNION ALL SELECT chat_id, seq, 1, turn_id FROM t WHERE a)
-    SELECT chat_id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY seq, part) AS INTEGER) AS msg_no, turn_id FROM x JOIN ok USING (chat_id)"""
+    x AS (SELECT chat_id, seq, 0 AS part, turn_id, 'user' AS role, user_text AS text FROM t WHERE u UNION ALL SELECT chat_id, seq, 1, turn_id, 'assistant', assistant_text FROM t WHERE a)"""
+_NO = "CAST(row_number() OVER (PARTITION BY chat_id ORDER BY seq, part) AS INTEGER) AS msg_no"
+_P1 = f"{_CHATS} SELECT chat_id, {_NO}, turn_id FROM x JOIN ok USING (chat_id)"
+_P1_TEXTS = f"{_CHATS} SELECT chat_id, {_NO}, turn_id, role, text FROM x JOIN ok USING (chat_id)"
 
 
 def _usable(name: str, key: str, field: str) -> str:
@@ -127,4 +129,4 @@ _P5 = f"""WITH v AS ({_usable("routine", "id", "code_embedding")} UNION ALL {_us
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p5_found": _P5}
+    return {"p1_found": _P1, "p1_conversations": _P1_TEXTS, "p5_found": _P5}
