@@ -1,9 +1,10 @@
 """Splitting oversized texts at natural boundaries, with overlap.
 
-Method: a text is read in byte ranges. Workers find the boundaries within their range; what a line's end needs
-from the range before (was the line blank so far, what was its last mark) is carried in a small summary, so the
-boundary tables are stitched exactly. Prefix sums of the ranges' code points turn local offsets into global
-ones, and the pieces are emitted by offset from a sliding window over the tables: no step holds a whole text.
+Method: a text is read in byte ranges with a halo of a few bytes before each; the ranges of a giant text go to
+many tasks. Workers find the boundaries within their range; what a line's end needs from the range before (was the
+line blank so far, what was its last mark) is kept in a small summary, so the boundary tables are stitched exactly.
+Prefix sums of the ranges' code points turn local offsets into global ones, and the pieces are emitted by offset
+from a sliding window over the tables: no Python step holds a whole text.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.plans.session import cut
+
 #: Bytes per range.
 RANGE_BYTES = 256 * 1024
 
@@ -92,18 +95,19 @@ class Walker:
     kind: np.ndarray = field(default_factory=lambda: np.empty(0, np.int8))
     pieces: list[tuple[int, int]] = field(default_factory=list)
 
-    def add(self, points: int, ends: np.ndarray, kinds: np.ndarray, spaces: np.ndarray, head: int, tail: int, has_feed: int) -> None:
+    def add(self, begin: int, points: int, ends: np.ndarray, kinds: np.ndarray, spaces: np.ndarray, head: int, tail: int, has_feed: int) -> None:
+        """The boundary table of the range that begins at code point ``begin``, the prefix sum of the ranges before it."""
         if has_feed:
             kinds = kinds.copy()
             kinds[0] = (BLANK, STATEMENT, LINE)[head or self.carry]
             self.carry = tail
         else:
             self.carry = tail or self.carry
-        new_at = np.r_[ends.astype(np.int64), spaces.astype(np.int64)] + self.done
+        new_at = np.r_[ends.astype(np.int64), spaces.astype(np.int64)] + begin
         order = np.argsort(new_at, kind="stable")
         self.at = np.r_[self.at, new_at[order]]
         self.kind = np.r_[self.kind, np.r_[kinds, np.full(len(spaces), SPACE, np.int8)][order]]
-        self.done += points
+        self.done = begin + points
         self._walk()
 
     def _walk(self) -> None:
@@ -128,50 +132,80 @@ class Walker:
         self.at, self.kind = self.at[keep:], self.kind[keep:]
 
 
-_RANGE = "id string, loaded timestamp_ntz, size long, part int, points int, ends binary, kinds binary, spaces binary, head byte, tail byte, feed byte"
+_RANGE = "id string, loaded timestamp_ntz, size long, mark long, part int, points int, ends binary, kinds binary, spaces binary, head byte, tail byte, feed byte, data binary, lead int, width int"
+_KEY = ["id", "loaded", "size", "mark", "part"]
+_NOTHING = (0, b"", b"", b"", 0, 0, 0)
+
+
+def _batch(b: pa.RecordBatch, rows: list[int], tables: list[tuple], data: list[bytes | None], lead: list[int], width: list[int]) -> pa.RecordBatch:
+    kept = b.select(_KEY).take(pa.array(rows, pa.int64()))
+    columns = list(zip(*tables, strict=True)) if tables else [()] * 7
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int8(), pa.int8(), pa.int8())
+    return pa.RecordBatch.from_arrays(
+        [*kept.columns, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(data, pa.binary()), pa.array(lead, pa.int32()), pa.array(width, pa.int32())],
+        names=[c.split()[0] for c in _RANGE.split(", ")],
+    )
+
+
+def _tables(dense: int, range_bytes: int | None):  # noqa: ANN202
+    """Boundary tables of ranges; with ``range_bytes``, where texts are read, those of texts of several ranges are left to others.
 
+    There, too, a delivery older than one already seen by the task is dropped, so a key with very many rows
+    sends only a few of them on.
+    """
 
-def _tables(dense: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newest: dict[str, tuple] = {}
         for b in batches:
-            out: list[tuple] = []
+            rows, tables, datas, leads, widths = [], [], [], [], []
+            ids, loaded, size, mark = (b.column(n).to_pylist() for n in _KEY[:4])
             data, lead, width = (b.column(n).to_pylist() for n in ("data", "lead", "width"))
-            for d, h, w in zip(data, lead, width, strict=True):
-                if d is None:
-                    out.append((0, b"", b"", b"", 0, 0, 0))
-                    continue
-                points, ends, kinds, spaces, head, tail, feed_ = range_boundaries(d, h, h + w, dense)
-                out.append((points, ends.tobytes(), kinds.tobytes(), spaces.tobytes(), head, tail, feed_))
-            cols = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [b.column(n) for n in ("id", "loaded", "size", "part")]
-                + [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int8(), pa.int8(), pa.int8()), strict=True)],
-                names=["id", "loaded", "size", "part", "points", "ends", "kinds", "spaces", "head", "tail", "feed"],
-            )
+            giant = b.column("giant").to_pylist() if range_bytes else [False] * b.num_rows
+            done = b.column("ready").to_pylist() if not range_bytes else None
+            for i in range(b.num_rows):
+                if range_bytes:
+                    rank = (loaded[i] is not None, loaded[i] or 0, size[i], mark[i])
+                    best = newest.get(ids[i])
+                    if best is not None and rank < best:
+                        continue
+                    newest[ids[i]] = rank
+                rows.append(i)
+                if done is not None and done[i] is not None:
+                    tables.append(tuple(done[i].values()))
+                    datas.append(None)
+                elif data[i] is None or giant[i]:
+                    tables.append(_NOTHING)
+                    datas.append(data[i])
+                else:
+                    points, ends, kinds, spaces, head, tail, feed = range_boundaries(data[i], lead[i], lead[i] + width[i], dense)
+                    tables.append((points, ends.tobytes(), kinds.tobytes(), spaces.tobytes(), head, tail, feed))
+                    datas.append(None)
+                leads.append(lead[i])
+                widths.append(width[i])
+            yield _batch(b, rows, tables, datas, leads, widths)
 
     return run
 
 
 def _emit(limits: Limits):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by id, latest load first, part: emits the pieces of the latest text of each id."""
+        """Rows sorted by id, the current text first, part: emits the pieces of the current text of each id."""
         ident: str | None = None
-        loaded, walker, seen = None, None, -1
-        fresh = object()
-        loaded = fresh
+        text, walker, seen = None, None, -1
         for b in batches:
             ids, indices, starts, ends_ = [], [], [], []
             col = {n: b.column(n).to_pylist() for n in b.schema.names}
             for i, key in enumerate(col["id"]):
+                this = (col["loaded"][i], col["size"][i], col["mark"][i])
                 if key != ident:
-                    ident, loaded, seen = key, col["loaded"][i], -1
+                    ident, text, seen = key, this, -1
                     walker = Walker(limits, col["size"][i]) if col["size"][i] > limits.most else None
-                if walker is None or col["loaded"][i] != loaded or col["part"][i] <= seen or col["size"][i] != walker.size:
+                if walker is None or this != text or col["part"][i] <= seen:
                     continue  # an earlier delivery, or the same one again
                 seen = col["part"][i]
                 before = len(walker.pieces)
                 walker.add(
-                    col["points"][i], np.frombuffer(col["ends"][i], np.int32), np.frombuffer(col["kinds"][i], np.int8), np.frombuffer(col["spaces"][i], np.int32),
+                    col["begin"][i], col["points"][i], np.frombuffer(col["ends"][i], np.int32), np.frombuffer(col["kinds"][i], np.int8), np.frombuffer(col["spaces"][i], np.int32),
                     col["head"][i], col["tail"][i], col["feed"][i],
                 )
                 for k in range(before, len(walker.pieces)):
@@ -180,17 +214,27 @@ def _emit(limits: Limits):  # noqa: ANN202
                     starts.append(walker.pieces[k][0])
                     ends_.append(walker.pieces[k][1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(indices, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends_, pa.int32())],
+                [pa.array(ids, pa.string()), pa.array(indices, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends_, pa.int64())],
                 names=["id", "part_index", "char_start", "char_end"],
             )
 
     return run
 
 
-def _pieces(ranges: DataFrame, limits: Limits) -> DataFrame:
-    tables = ranges.mapInArrow(_tables(limits.most - limits.least), _RANGE)
-    ordered = tables.repartition("id").sortWithinPartitions(F.col("id"), F.col("loaded").desc_nulls_last(), F.col("size").desc(), F.col("part"))
-    return ordered.mapInArrow(_emit(limits), "id string, part_index int, char_start int, char_end int")
+def _stitched(tables: DataFrame, limits: Limits) -> DataFrame:
+    """Prefix sums of the code points of each text's ranges, then the pieces by offset.
+
+    One sort by (id, current text first, part) serves the sums and the emission.
+    """
+    own = tables.select(*_KEY, "points", "ends", "kinds", "spaces", "head", "tail", "feed").repartition("id")
+    order = [F.col("loaded").desc_nulls_last(), F.col("size").desc(), F.col("mark").desc(), F.col("part")]
+    w = Window.partitionBy("id").orderBy(*order)
+    last = lambda c: F.lag(c).over(w)
+    again = last("loaded").eqNullSafe(F.col("loaded")) & (last("size") == F.col("size")) & (last("mark") == F.col("mark")) & (last("part") == F.col("part"))
+    fresh = own.withColumn("fresh", F.when(F.coalesce(again, F.lit(False)), 0).otherwise(F.col("points")).cast("long"))
+    summed = fresh.withColumn("begin", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("points")).drop("fresh")
+    out = summed.sortWithinPartitions(F.col("id"), *order).mapInArrow(_emit(limits), "id string, part_index int, char_start long, char_end long")
+    return out.select("id", "part_index", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
 
 
 def pieces(df: DataFrame, key: str, text: str, loaded: str = "loaded_at", limits: Limits = Limits(), range_bytes: int = RANGE_BYTES) -> DataFrame:  # noqa: B008
@@ -201,55 +245,70 @@ def pieces(df: DataFrame, key: str, text: str, loaded: str = "loaded_at", limits
     blank line, else after a line that ends in ``;``, else after any line, else after a space or tab, else at
     the limit, each as late as possible; the next begins at the first line start ``far`` to ``near`` before
     that end, else exactly ``far`` before. The current row of a key is the latest by ``loaded`` (null is the
-    earliest; of rows loaded at once the longest counts). Null keys are no items; extra columns are ignored.
+    earliest; of rows loaded at once the longest counts, of those the larger hash). Null keys are no items; extra
+    columns are ignored.
 
-    Scale: ranges of one long text go to many tasks; what is shuffled is the tables of boundaries, about a
-    tenth of the long texts, and one small row for each short text that may replace a long one.
+    Scale: a text of one range is turned into its table where it is read; the ranges of a longer one are spread
+    over all tasks first. What is shuffled is the tables, about a tenth of the long texts, twice, the ranges of
+    giant texts once, and a small row for each short text that may replace a long one.
     """
     body = F.col(text).cast("string")
     size = F.coalesce(F.length(body), F.lit(0)).cast("long")
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(loaded).cast("timestamp_ntz").alias("loaded"), size.alias("size"), body.alias("body"))
+    rows = df.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("id"), F.col(loaded).cast("timestamp_ntz").alias("loaded"), size.alias("size"), F.when(size > limits.most, F.xxhash64(body)).otherwise(0).alias("mark"), body.alias("body")
+    )
     # A short text is a row without data: it stands for a body that may replace a long one.
     is_long = F.col("size") > limits.most
-    encoded = rows.select("id", "loaded", "size", F.when(is_long, F.encode("body", "UTF-8")).alias("bytes"))
+    encoded = rows.select("id", "loaded", "size", "mark", F.when(is_long, F.encode("body", "UTF-8")).alias("bytes"))
     last = F.when(is_long, F.floor((F.octet_length("bytes") - 1) / range_bytes)).otherwise(0).cast("int")
-    parts = encoded.select("id", "loaded", "size", "bytes", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    cut = parts.select(
-        "id", "loaded", "size", "part", F.expr(f"substring(bytes, part * {range_bytes} + 1 - if(part > 0, 4, 0), {range_bytes} + if(part > 0, 4, 0))").alias("data"),
-        F.when(F.col("part") > 0, 4).otherwise(0).alias("lead"), F.expr(f"coalesce(least({range_bytes}, octet_length(bytes) - part * {range_bytes}), 0)").cast("int").alias("width"),
+    parts = encoded.select("id", "loaded", "size", "mark", "bytes", (last > 0).alias("giant"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    ranged = parts.select(
+        *_KEY, F.expr(f"substring(bytes, part * {range_bytes} + 1 - if(part > 0, 4, 0), {range_bytes} + if(part > 0, 4, 0))").alias("data"),
+        F.when(F.col("part") > 0, 4).otherwise(0).alias("lead"), F.expr(f"coalesce(least({range_bytes}, octet_length(bytes) - part * {range_bytes}), 0)").cast("int").alias("width"), "giant",
     )
-    return _pieces(cut, limits).withColumnRenamed("id", key)
+    read = ranged.mapInArrow(_tables(limits.most - limits.least, range_bytes), _RANGE)
+    return _stitched(_spread(read, limits), limits).withColumnRenamed("id", key)
+
+
+def _spread(read: DataFrame, limits: Limits) -> DataFrame:
+    """Ranges that still hold their bytes become tables in whatever task they fall to."""
+    table = ("points", "ends", "kinds", "spaces", "head", "tail", "feed")
+    ready = F.when(F.col("data").isNull(), F.struct(*table)).alias("ready")
+    even = read.repartition(F.xxhash64("id", "part")).select(*_KEY, ready, "data", "lead", "width")
+    return even.mapInArrow(_tables(limits.most - limits.least, None), _RANGE)
 
 
 def file_pieces(spark: SparkSession, paths: list[str], limits: Limits = Limits(), range_bytes: int = RANGE_BYTES) -> DataFrame:  # noqa: B008
-    """(path, part_index, char_start, char_end): the same for UTF-8 files on a shared file system.
+    """(path, part_index, char_start, char_end): the same for UTF-8 files on a file system that all executors mount.
 
-    Each task seeks to its byte ranges and reads only those; the number of code points is summed over the
-    ranges first. Missing files are an error, files within the limit have no pieces.
+    Executors look up the sizes; each task seeks to its byte ranges and reads only those; the number of code
+    points is summed over the ranges first. Missing files are an error, files within the limit have no pieces.
     """
-    ranges = [(p, i, os.path.getsize(p)) for p in paths for i in range(-(-os.path.getsize(p) // range_bytes))]
-    listed = spark.createDataFrame(ranges, "id string, part int, bytes long").repartition(max(1, len(ranges)))
+    listed = spark.createDataFrame([(p,) for p in paths], "id string")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [os.path.getsize(p) for p in b.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.int64())], names=["id", "bytes"])
+
+    sized = listed.mapInArrow(sizes, "id string, bytes long").where("bytes > 0")
+    ranges = sized.select("id", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / range_bytes).cast("int"))).alias("part")).repartition(F.xxhash64("id", "part"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, leads, widths = [], [], []
-            for path, part, total in zip(*(b.column(n).to_pylist() for n in ("id", "part", "bytes")), strict=True):
+            for path, total, part in zip(*(b.column(n).to_pylist() for n in ("id", "bytes", "part")), strict=True):
                 lead = 4 if part else 0
                 width = min(range_bytes, total - part * range_bytes)
                 with open(path, "rb") as f:
                     f.seek(part * range_bytes - lead)
-                    data.append(f.read(width + lead))
-                leads.append(lead)
-                widths.append(width)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.nulls(n, pa.timestamp("us")), pa.array([0] * n, pa.int64()), b.column("part"), pa.array(data, pa.binary()), pa.array(leads, pa.int32()), pa.array(widths, pa.int32())],
-                names=["id", "loaded", "size", "part", "data", "lead", "width"],
-            )
-
-    cut = listed.mapInArrow(read, "id string, loaded timestamp_ntz, size long, part int, data binary, lead int, width int")
-    tables = cut.mapInArrow(_tables(limits.most - limits.least), _RANGE)
-    sizes = tables.groupBy("id").agg(F.sum("points").cast("long").alias("size"))
-    sized = tables.drop("size").join(sizes, "id").where(F.col("size") > limits.most)
-    ordered = sized.select("id", "loaded", "size", "part", "points", "ends", "kinds", "spaces", "head", "tail", "feed").repartition("id").sortWithinPartitions("id", "part")
-    return ordered.mapInArrow(_emit(limits), "id string, part_index int, char_start int, char_end int").withColumnRenamed("id", "path")
+                    data = f.read(width + lead)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.nulls(1, pa.timestamp("us")), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.string()), pa.array([data]), pa.array([lead], pa.int32()), pa.array([width], pa.int32())],
+                    names=[*_KEY, "ready", "data", "lead", "width"],
+                )
+
+    raw = ranges.mapInArrow(read, "id string, loaded timestamp_ntz, size long, mark long, part int, ready string, data binary, lead int, width int")
+    # The tables are read for the sizes and for the pieces, the files once.
+    tables = cut(raw.mapInArrow(_tables(limits.most - limits.least, None), _RANGE).drop("data"))
+    whole = tables.groupBy("id").agg(F.sum("points").cast("long").alias("size"))
+    return _stitched(tables.drop("size").join(whole, "id").where(F.col("size") > limits.most), limits).withColumnRenamed("id", "path")
