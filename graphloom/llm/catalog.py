@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, normal_source
+from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, agreement, normal_source, train
 from graphloom.llm.conversations import conversations, with_texts
 from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
@@ -81,23 +81,33 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(mix(documents, plans), documents, plans)
 
 
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return abuse_scores(documents, train(documents, table(spark, folder, "doc_label")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with an abusive, hateful or sexually explicit passage."""
-    return abuse_scores(table(spark, folder, "documents")).where(F.col("score") >= THRESHOLD).select("doc_id")
+    return _abuse(spark, folder).where(F.col("score") >= THRESHOLD).select("doc_id")
 
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Score and kind of the worst passage of every document."""
-    return abuse_scores(table(spark, folder, "documents"))
+    return _abuse(spark, folder)
 
 
 def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Rate of such documents of every source."""
-    return abuse_rates(abuse_scores(table(spark, folder, "documents")))
+    """Rate of such documents of every source, quoted passages apart."""
+    return abuse_rates(_abuse(spark, folder))
+
+
+def p9_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How the scores meet the majority of the raters."""
+    return agreement(_abuse(spark, folder), table(spark, folder, "doc_label"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids, p7_counts, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pairs, p4_found, p5_found, p7_ids, p7_counts, p8_mix, p8_shares, p9_found, p9_scores, p9_rates, p9_agreement)}
 
 
 def _said(column: str) -> str:
