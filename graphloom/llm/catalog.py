@@ -9,7 +9,7 @@ from graphloom.llm.abuse import THRESHOLD, abuse_rates, abuse_scores, agreement,
 from graphloom.llm.conversations import conversations, with_texts
 from graphloom.llm.mixing import mix, shares
 from graphloom.llm.pieces import pieces
-from graphloom.llm.routines import documented_routines, with_bodies
+from graphloom.llm.routines import documented_routines
 from graphloom.llm.tokens import encode
 from graphloom.llm.vectors import VectorTable, similar_pairs
 from graphloom.plans.session import cut
@@ -34,8 +34,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Description and body of every documented routine."""
-    modules = table(spark, folder, "module_source")
-    return with_bodies(documented_routines(modules, full=True), modules).select("module_id", "line_no", "name", "kind", "description", F.length("body").alias("body_chars"), "body")
+    pairs = documented_routines(table(spark, folder, "module_source"), full=True)
+    return pairs.select("module_id", "line_no", "name", "kind", "description", F.length("body").alias("body_chars"), "body")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,20 +52,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode(table(spark, folder, "documents"), keep=["doc_id"])
 
 
 def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and tokens of every source."""
     documents = table(spark, folder, "documents").select(normal_source(F.col("source")).alias("source"), "text")
-    counted = encode(documents, ids="tokens", count_only=True)
+    counted = encode(documents, ids="tokens", keep=["source"], count_only=True)
     return counted.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
 
 
 def _sized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents").select("doc_id", normal_source(F.col("source")).alias("source"), "text")
     plans = table(spark, folder, "mix_target").withColumn("source", normal_source(F.col("source")))
-    return encode(documents, ids="tokens", count_only=True).drop("text"), plans
+    return encode(documents, ids="tokens", keep=["doc_id", "source"], count_only=True), plans
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,8 +16,9 @@ from graphloom.plans.session import cut
 ITERATIONS = 60
 #: Relative error of a source's expected tokens at which its tilt is final.
 TOLERANCE = 1e-9
-#: For the rounding, documents are ordered by size in bands of this many to a factor of e, each split by hash.
-BANDS, SPLIT = 32, 64
+#: For the rounding, documents are ordered by size in bands of this many to a factor of e, each split by hash into
+#: at least SPLIT buckets, and so many that a bucket of one size has about PER_BUCKET documents.
+BANDS, SPLIT, PER_BUCKET = 32, 64, 20_000
 
 
 def _rate(tilt: Column, size: Column, most: Column) -> Column:
@@ -73,6 +74,9 @@ def balance(sizes: DataFrame, budgets: list[dict]) -> list[dict]:
             if step is None or (low is not None and step <= low) or (high is not None and step >= high) or abs(step - s["tilt"]) > 4:
                 step = (low + high) / 2 if low is not None and high is not None else s["tilt"] + (2 if gap > 0 else -2)
             s["tilt"] = step
+    open_ends = [(s["plan_id"], s["source"]) for s in state if not s["done"]]
+    if open_ends:
+        raise RuntimeError(f"no tilt within {TOLERANCE} after {ITERATIONS} iterations for {open_ends}")
     return state
 
 
@@ -80,8 +84,9 @@ def mix(documents: DataFrame, plans: DataFrame, key: str = "doc_id") -> DataFram
     """(plan_id, source, key, tokens, copies) of the documents each plan uses.
 
     ``documents`` has ``key`` (unique), ``source`` in its normal form and ``tokens``; ``plans`` has plan_id,
-    source, target_share, max_repeats. Documents without tokens or of sources no plan names are not used.
-    Copies never exceed max_repeats; null shares or repeats count as 0. Empty tables give no rows.
+    source, target_share, max_repeats, a small table (its rows are broadcast and solved on the driver). Documents without tokens or of sources no plan names are not used.
+    Copies never exceed max_repeats; null shares or repeats count as 0. Empty tables give no rows. A plan whose
+    tilts do not converge is an error, never a silent result.
 
     Scale: the solver works on counts by size. For the rounding, rates are summed in many buckets of each
     source, then over buckets, so a source with a third of all documents is never in one task.
@@ -99,7 +104,9 @@ def mix(documents: DataFrame, plans: DataFrame, key: str = "doc_id") -> DataFram
     tilts = spark.createDataFrame(rows, "plan_id string, source string, tilt double, mean double, most int, full boolean")
     rate = F.when(F.col("full"), F.col("most").cast("double")).otherwise(_rate(F.col("tilt"), F.col("tokens") / F.col("mean"), F.col("most").cast("double")))
     band = F.floor(-F.log("tokens") * BANDS).cast("long")
-    rated = used.join(F.broadcast(tilts), "source").withColumn("rate", rate).withColumn("bucket", band * SPLIT + F.pmod(F.xxhash64(key), F.lit(SPLIT)))
+    crowd = sizes.groupBy("source", F.floor(-F.log("tokens") * BANDS)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    split = max(SPLIT, -(-crowd // PER_BUCKET))
+    rated = used.join(F.broadcast(tilts), "source").withColumn("rate", rate).withColumn("bucket", band * split + F.pmod(F.xxhash64(key), F.lit(split)))
     whole = F.floor("rate")
     broken = F.col("rate") - whole
     # The broken parts are laid end to end, large documents first; a document is used once more where the

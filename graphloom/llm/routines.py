@@ -197,7 +197,7 @@ def description(doc: list[str], name: str) -> str | None:
 
 
 _PAIR = "array<struct<line_no: int, name: string>>"
-_FULL = "array<struct<line_no: int, name: string, kind: string, description: string, char_start: int, char_end: int>>"
+_FULL = "array<struct<line_no: int, name: string, kind: string, description: string, char_start: int, char_end: int, body: string>>"
 
 
 def _documented(text: str | None, language: str, full: bool) -> list[dict]:
@@ -206,18 +206,18 @@ def _documented(text: str | None, language: str, full: bool) -> list[dict]:
         told = description(r.doc, r.name) if r.doc else None
         if told is not None:
             row = {"line_no": r.line_no, "name": r.name}
-            out.append(row | {"kind": r.kind, "description": told, "char_start": r.start, "char_end": r.end} if full else row)
+            out.append(row | {"kind": r.kind, "description": told, "char_start": r.start, "char_end": r.end, "body": text[r.start : r.end]} if full else row)
     return out
 
 
 def documented_routines(df: DataFrame, key: str = "module_id", text: str = "source_text", loaded: str = "loaded_at", language: str = "bsl", full: bool = False) -> DataFrame:
-    """(key, line_no, name[, kind, description, char_start, char_end]) of each documented routine of the current modules.
+    """(key, line_no, name[, kind, description, char_start, char_end, body]) of each documented routine of the current modules.
 
     The current row of a key has the latest ``loaded``; a null time is the earliest, ties take the larger
     result. Offsets count code points of the text, ``char_end`` exclusive. Null or empty texts and texts
     without documented routines give no rows; rows with a null key are no module; extra columns are ignored.
 
-    Scale: texts are parsed where they are read; only the pairs are shuffled, never the texts.
+    Scale: texts are parsed where they are read; only the pairs are shuffled, never whole modules.
     """
     kind = _FULL if full else _PAIR
 
@@ -229,10 +229,3 @@ def documented_routines(df: DataFrame, key: str = "module_id", text: str = "sour
     parsed = rows.mapInPandas(parse, f"key string, loaded timestamp_ntz, pairs {kind}")
     current = parsed.groupBy("key").agg(F.max(F.struct("loaded", "pairs")).alias("v"))
     return current.select(F.col("key").alias(key), F.explode("v.pairs").alias("p")).select(key, "p.*")
-
-
-def with_bodies(pairs: DataFrame, df: DataFrame, key: str = "module_id", text: str = "source_text", loaded: str = "loaded_at") -> DataFrame:
-    """Adds ``body`` to full pairs, cut by their offsets from the current texts."""
-    latest = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(loaded).alias("at"))
-    texts = df.join(latest, key).where(F.col(loaded).eqNullSafe(F.col("at"))).select(key, F.col(text).alias("text")).dropDuplicates([key])
-    return pairs.join(texts, key).withColumn("body", F.expr("substring(text, char_start + 1, char_end - char_start)")).drop("text")

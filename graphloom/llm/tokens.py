@@ -173,28 +173,30 @@ def _send(spark: SparkSession, vocabulary: str, tokenizers: str) -> str:
     return split_pattern(tokenizers)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, tokenizers: str = VOCABULARIES, count_only: bool = False) -> DataFrame:
-    """``df`` with the token ids of ``text`` in a new column, an empty list for null and empty texts.
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", keep: list[str] | None = None, vocabulary: str = VOCABULARY, tokenizers: str = VOCABULARIES, count_only: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all by default) with the token ids of ``text``, an empty list for null and empty texts.
 
-    With ``count_only`` the column holds their number instead. A column named ``ids`` before is replaced.
-    No shuffle: the vocabulary goes to each executor once, texts stay where they are read.
+    With ``count_only`` the new column holds their number instead. A column named ``ids`` before is replaced.
+    No shuffle: the vocabulary goes to each executor once, texts stay where they are read, and a text goes to
+    Python once and comes back only if it is kept.
     """
     pattern = _send(df.sparkSession, vocabulary, tokenizers)
-    kept = df.drop(ids)
-    kind = "int" if count_only else "array<int>"
+    kept = [c for c in (df.columns if keep is None else keep) if c != ids]
     arrow = pa.int32() if count_only else pa.list_(pa.int32())
+    whole = text in kept and df.schema[text].dataType.simpleString() == "string"
+    place = kept.index(text) if whole else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, pattern)
         for b in batches:
-            lists = [encoder.encode(t) for t in b.column(b.schema.get_field_index("__text")).to_pylist()]
+            lists = [encoder.encode(t) for t in b.column(place).to_pylist()]
             values = pa.array([len(x) for x in lists] if count_only else lists, arrow)
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, values], names=[*b.schema.names[:-1], "__ids"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], values], names=[*[f"c{i}" for i in range(len(kept))], "ids"])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("__ids", T.IntegerType() if count_only else T.ArrayType(T.IntegerType()))])
-    rows = kept.withColumn("__text", F.col(text).cast("string"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("__ids", ids)
+    fields = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(kept)]
+    schema = T.StructType([*fields, T.StructField("ids", T.IntegerType() if count_only else T.ArrayType(T.IntegerType()))])
+    rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], *([] if whole else [F.col(text).cast("string").alias("text")]))
+    return rows.mapInArrow(run, schema).toDF(*kept, ids)
 
 
 def decoder(vocabulary: str = VOCABULARY, tokenizers: str = VOCABULARIES) -> dict[int, bytes]:

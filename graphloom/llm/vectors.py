@@ -26,6 +26,8 @@ SAMPLE = 20_000
 BOOKS, ENTRIES, BEAM = 12, 64, 4
 #: Cells that hold each code, candidates kept for the exact ranking, and how far a code's score may fall short.
 PROBES, KEPT, SLACK = 10, 12, 0.26
+#: Entries of the two levels of the coarse codebook, at most: together enough cells for some 4 * 10^9 vectors.
+FIRST_CELLS, SECOND_CELLS = 8_192, 32
 #: Vectors that look up one cell in one task; a cell with more is split.
 LOOKUPS = 4_096
 ROWS_PER_TASK = 300_000
@@ -39,10 +41,15 @@ class Books:
     residual: np.ndarray  # books x entries x dim
 
 
-def cells_for(vectors: int, sampled: int) -> int:
-    """About four times the square root of the vectors, a power of two; no more than half of the sample."""
+def cells_for(vectors: int, sampled: int) -> tuple[int, int]:
+    """(first, second) numbers of coarse entries, whose product, the cells, is about four times the root of the vectors.
+
+    The first level is a power of two of at most half of the sample; beyond it a second level, of the residuals
+    that all first entries share, lets the cells grow on with the vectors.
+    """
     want = 1 << max(0, round(np.log2(4 * np.sqrt(max(1, vectors)))))
-    return int(max(1, min(want, 16_384, sampled // 2)))
+    first = int(max(1, min(want, FIRST_CELLS, sampled // 2)))
+    return first, int(min(-(-want // first), SECOND_CELLS)) if want > first else 1
 
 
 def _means(x: np.ndarray, label: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -59,11 +66,18 @@ def train(sample: np.ndarray, vectors: int, seed: int = 7) -> Books:
     dim = sample.shape[1]
     if not len(sample):
         return Books(np.zeros((1, dim), np.float32), np.zeros((BOOKS, 1, dim), np.float32))
-    k = cells_for(vectors, len(sample))
+    k, second = cells_for(vectors, len(sample))
     coarse = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(3):
         coarse = _means(sample, (sample @ coarse.T).argmax(1), coarse)
         coarse /= np.maximum(np.linalg.norm(coarse, axis=1, keepdims=True), 1e-12)
+    if second > 1:
+        off = sample - coarse[(sample @ coarse.T).argmax(1)]
+        fine = off[rng.choice(len(off), min(second, len(off)), replace=False)]
+        for _ in range(4):
+            fine = _means(off, (off @ fine.T - 0.5 * (fine * fine).sum(1)).argmax(1), fine)
+        coarse = (coarse[:, None, :] + fine[None, :, :]).reshape(-1, sample.shape[1])
+        coarse /= np.maximum(np.linalg.norm(coarse, axis=1, keepdims=True), 1e-12)
     rest = sample[:10_000]
     rest = rest - coarse[(rest @ coarse.T).argmax(1)]
     books = []
@@ -79,7 +93,7 @@ def train(sample: np.ndarray, vectors: int, seed: int = 7) -> Books:
 def encode_vectors(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, nearest first; code; norm of the decoded vector) of unit vectors, the code by beam search."""
     n = len(x)
-    near = x @ books.coarse.T
+    near = x @ books.coarse.T  # blocks of x keep this small
     probes = min(PROBES, near.shape[1])
     cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
     cells = np.take_along_axis(cells, np.argsort(-np.take_along_axis(near, cells, 1), axis=1, kind="stable"), 1).astype(np.int32)
@@ -174,7 +188,7 @@ def _members(t: VectorTable, first: int, dim: int) -> DataFrame:
 
 
 # A slot is the field, cell, part of the cell and kind of a row in one number.
-_CELL_BITS, _PART_BITS = 14, 22
+_CELL_BITS, _PART_BITS = 22, 22
 _FILED = np.dtype([("coarse", np.int32), ("norm", np.float32), ("code", np.uint8, (BOOKS,))])
 
 
@@ -420,11 +434,12 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     Usable is a vector of ``dim`` finite elements that are not all zero; its length as a vector is ignored.
     The smaller id, in UTF-8 byte order, comes first. Vectors that agree to 1/4096 in every element of their
     unit vectors are copies: one of them is searched for, and the copies share its neighbours; equal
-    similarities rank by id, so each of many copies is paired with the first ids of its group. Only the
-    search for candidates is approximate; cosines are exact. No candidate is lost for want of room: lookups with
+    similarities rank by id, so each of many copies is paired with the first ids of its group; the cosine of
+    copies, which differs from 1 by less than 1e-6, is taken as 1. Only the search for candidates is approximate;
+    all other cosines are exact. No candidate is lost for want of room: lookups with
     more than KEPT that codes cannot tell apart are answered by ``_crowded``. Empty tables give no rows.
 
-    Scale: codebooks (at most about 5 MB a field) are broadcast, their sample is bounded by SAMPLE. A code is
+    Scale: codebooks (at most FIRST_CELLS * SECOND_CELLS entries, 70 MB, a field) are broadcast, their sample is bounded by SAMPLE. A code is
     filed in PROBES cells, whose number grows with the square root of the vectors; a cell's lookups are split
     at LOOKUPS. Hot copies are reduced to one by a partial aggregation before any search. Vectors are shuffled
     three times in all: by their mark, to their cells, and for the exact ranking. The exact search of a dense
@@ -441,17 +456,16 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     members = cut(members)
     sized = members.groupBy("field", "mark").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     counts = {r["field"]: r["n"] for r in sized.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Marks are hashes: a slice of their range is a random sample, cut to its first SAMPLE on the driver.
+    # Marks are hashes: a slice of their range is a random sample. Superseded vectors fall into it too, so each
+    # field's is ordered and cut to SAMPLE rows before it is collected.
     share = F.lit(0)
     for field, n in counts.items():
         share = F.when(F.col("field") == field, int(min(1.0, 1.1 * SAMPLE / n) * 1_000_000)).otherwise(share)
-    got = scans.where(F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < share).groupBy("field", "mark").agg(F.min("vec").alias("vec")).toArrow()
+    sampled = cut(scans.where(F.pmod(F.xxhash64("mark"), F.lit(1_000_000)) < share).groupBy("field", "mark").agg(F.min("vec").alias("vec")))
     books: dict[int, Books] = {}
-    of, marks = got.column("field").to_numpy(), got.column("mark").to_numpy()
     for field, n in counts.items():
-        rows = np.flatnonzero(of == field)
-        rows = rows[np.argsort(marks[rows])][:SAMPLE]
-        books[field] = train(_matrix(got.column("vec").take(pa.array(rows)), dim), n)
+        got = sampled.where(F.col("field") == field).orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE).select("vec").toArrow()
+        books[field] = train(_matrix(got.column("vec"), dim), n)
     sent = spark.sparkContext.broadcast(books)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,8 +478,9 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
             filed = np.zeros(len(x), _FILED)
             for f in np.unique(fields):
                 rows = np.flatnonzero(fields == f)
-                for k in range(0, len(rows), 2048):
-                    at = rows[k : k + 2048]
+                step = max(64, min(2_048, 32_000_000 // len(sent.value[int(f)].coarse)))
+                for k in range(0, len(rows), step):
+                    at = rows[k : k + step]
                     c, filed["code"][at], filed["norm"][at] = encode_vectors(x[at], sent.value[int(f)])
                     filed["coarse"][at] = c[:, 0]
                     for i, row in enumerate(at):

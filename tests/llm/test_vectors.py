@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pytest
 
+from graphloom.llm import vectors
 from graphloom.llm.vectors import VectorTable, similar_pairs
 
 
@@ -30,3 +31,40 @@ def test_dense_group_of_near_copies(spark, group):
     assert len(want) > 2 * group
     assert len(found & want) >= 0.999 * len(want)
     assert len(found & want) >= 0.999 * len(found)
+
+
+def usable(rows: list, key: str, field: str) -> tuple[list[str], np.ndarray]:
+    latest: dict = {}
+    for r in rows:
+        if r[key] not in latest or r["loaded_at"] > latest[r[key]][0]:
+            latest[r[key]] = r["loaded_at"], r[field]
+    held = {k: v for k, (_, v) in latest.items() if v is not None and len(v) == 64 and all(e is not None and np.isfinite(e) for e in v) and any(v)}
+    return list(held), np.array(list(held.values()), np.float64)
+
+
+@pytest.mark.parametrize("first_cells", [vectors.FIRST_CELLS, 32])
+def test_recall_on_the_test_tables(spark, monkeypatch, first_cells):
+    """All pairs of sf0.01, with one level of cells and with two."""
+    monkeypatch.setattr(vectors, "FIRST_CELLS", first_cells)
+    folder = "/root/testdata/sf0.01"
+    routines = spark.read.parquet(f"{folder}/routine.parquet").select("id", "loaded_at", "code_embedding", "description_embedding")
+    rows = routines.collect()
+    found = {(r["field_name"], r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(routines, "id", ["code_embedding", "description_embedding"])]).collect()}
+    want = set()
+    for field in ("code_embedding", "description_embedding"):
+        ids, x = usable(rows, "id", field)
+        want |= {(field, *p) for p in brute_force(ids, x)}
+    assert len(want) > 100
+    print("recall", len(found & want) / len(want), "of", len(want))
+    assert len(found & want) >= 0.98 * len(want)
+    assert len(found & want) >= 0.98 * len(found)
+
+
+def test_unusable_vectors_and_copies(spark):
+    at = datetime.datetime(2024, 1, 1)
+    v = [float(i % 7) for i in range(64)]
+    rows = [("a", v, at, 1), ("b", [2 * e for e in v], at, 1), ("c", None, at, 1), ("d", [0.0] * 64, at, 1), ("e", v[:63], at, 1), ("f", [float("nan"), *v[1:]], at, 1), (None, v, at, 1)]
+    rows += [("g", v, at, 1), ("g", [-e for e in v], at + datetime.timedelta(days=1), 1)]
+    df = spark.createDataFrame(rows, "id string, v array<float>, loaded_at timestamp_ntz, field int")
+    assert {(r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(df, "id", ["v"])]).collect()} == {("a", "b")}
+    assert similar_pairs([VectorTable(df.where("false"), "id", ["v"])]).collect() == []
