@@ -81,17 +81,18 @@ def _cycle_names(nodes: DataFrame, state: DataFrame) -> DataFrame:
 def rank_lists(succ: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pointer doubling over many linked lists: (last element, steps to it, weight of it and all before it from here).
 
-    ``succ`` of a last element is itself.
+    ``succ`` of a last element is itself. Lists that run in a circle are an error.
     """
     ptr, steps = succ.copy(), (succ != np.arange(len(succ))).astype(np.int64)
     total = np.where(steps > 0, weight, 0).astype(np.int64)
-    while True:
+    for _ in range(len(succ).bit_length() + 1):
         ahead = ptr[ptr]
         if np.array_equal(ahead, ptr):
             return ptr, steps, total + weight[ptr]
         total += np.where(ahead != ptr, total[ptr], 0)
         steps += np.where(ahead != ptr, steps[ptr], 0)
         ptr = ahead
+    raise ValueError("a list runs in a circle")
 
 
 def _tours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

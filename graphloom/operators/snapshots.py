@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.names import composed
-from graphloom.plans.session import tasks_for
+from graphloom.plans.session import cut, tasks_for
 
 #: Keys of a snapshot's JSON that never count as a change.
 IGNORED_KEYS = ("meta_uuid", "description_embedding", "description_embedding_model", "description_embedding_updated_at")
@@ -25,6 +25,8 @@ IGNORED_KEYS = ("meta_uuid", "description_embedding", "description_embedding_mod
 #: Rows of the snapshot calendar (scope, snapshot) that may be broadcast, about 8 MB; beyond it is joined by shuffle.
 CALENDAR_BROADCAST_ROWS = 200_000
 ROWS_PER_BUCKET = 250_000
+#: Changes whose hashes (24 bytes each, about 12 MB as a table) may be broadcast to fetch names and values.
+CHANGES_BROADCAST_ROWS = 200_000
 
 
 def _number(text: str) -> int | float:
@@ -75,7 +77,10 @@ def _key(parts: tuple[str | None, ...]) -> tuple[int, int]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], scope: int, width: int, ignored: frozenset[str], values: bool) -> Iterator[pa.RecordBatch]:
-    """Columns 0..width-1 are the key (the first ``scope`` of them the scope), then snapshot and, with ``values``, delivered, JSON, hash."""
+    """Columns 0..width-1 are the key (the first ``scope`` of them the scope), then snapshot, the row's hash and, with ``values``, delivered, JSON, hash.
+
+    Without ``values`` the rows are those of changes: their names come out normalised, other columns as they are.
+    """
     for batch in batches:
         cache: dict[str | None, str | None] = {}
         names = []
@@ -95,18 +100,23 @@ def _keyed(batches: Iterator[pa.RecordBatch], scope: int, width: int, ignored: f
                 scopes[s] = _key(s)[0]
             out["scope"] = pa.array([scopes[s] for s in zip(*names[:scope], strict=True)], pa.int64())
             out["snapshot"] = batch.column(width).cast(pa.int64())
-            out["delivered"] = batch.column(width + 1)
-            out["jh"] = pa.array([json_digest(x, ignored) for x in batch.column(width + 2).to_pylist()], pa.int64())
-            out["oh"] = pa.array([None if x is None else _signed(xxhash.xxh3_64_intdigest(x.strip().lower())) for x in batch.column(width + 3).to_pylist()], pa.int64())
+            out["row"] = batch.column(width + 1)
+            out["delivered"] = batch.column(width + 2)
+            out["jh"] = pa.array([json_digest(x, ignored) for x in batch.column(width + 3).to_pylist()], pa.int64())
+            out["oh"] = pa.array([None if x is None else _signed(xxhash.xxh3_64_intdigest(x.strip().lower())) for x in batch.column(width + 4).to_pylist()], pa.int64())
         else:
-            out["snapshot"] = batch.column(width).cast(pa.int64())
+            for i in range(width, batch.num_columns):
+                out[batch.schema.names[i]] = batch.column(i)
             for i in range(width):
                 out[f"n{i}"] = pa.array(names[i], pa.string())
         yield pa.RecordBatch.from_pydict(out)
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One bucket: rows (k1, k2, rank, snapshot, later, jh, oh), one per key and snapshot; yields its changes."""
+    """One bucket: rows (k1, k2, rank, snapshot, later, jh, oh, row), one per key and snapshot; yields its changes.
+
+    ``row`` of a change is the hash of the row it is seen in, ``before`` that of the row a changed one replaces.
+    """
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return
@@ -117,9 +127,10 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     has_later = col["later"].is_valid().to_numpy()
     jh, oh = (col[n].fill_null(0).to_numpy() for n in ("jh", "oh"))
     jv, ov = (col[n].is_valid().to_numpy() for n in ("jh", "oh"))
+    row = col["row"].to_numpy()
 
     order = np.lexsort((rank, k2, k1))
-    k1, k2, rank, snap, later, has_later, jh, oh, jv, ov = (a[order] for a in (k1, k2, rank, snap, later, has_later, jh, oh, jv, ov))
+    k1, k2, rank, snap, later, has_later, jh, oh, jv, ov, row = (a[order] for a in (k1, k2, rank, snap, later, has_later, jh, oh, jv, ov, row))
     fresh = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
     stride = int(rank.max()) + 3
     at = (np.cumsum(fresh) - 1) * stride + rank + 1  # sorted: key ordinal and rank in one number
@@ -141,7 +152,8 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mask.any():
             yield pa.RecordBatch.from_pydict(
                 {
-                    "k1": pa.array(k1[mask]), "k2": pa.array(k2[mask]), "source_snapshot": pa.array(snap[mask]),
+                    "k1": pa.array(k1[mask]), "k2": pa.array(k2[mask]), "row": pa.array(row[mask]),
+                    "before": pa.array(row[before[mask]]) if kind == "changed" else pa.nulls(int(mask.sum()), pa.int64()),
                     "snapshot": pa.array(number[mask]), "change_kind": pa.array([kind] * int(mask.sum()), pa.string()),
                 }
             )
@@ -156,29 +168,34 @@ def snapshot_changes(
     value: str = "object_snapshot_json",
     digest: str = "object_hash",
     ignored: tuple[str, ...] = IGNORED_KEYS,
+    values: bool = False,
 ) -> DataFrame:
-    """Rows (scope…, keys…, snapshot, change_kind) that differ between consecutive snapshots of a scope.
+    """Rows (scope…, keys…, snapshot, change_kind[, old_value, new_value]) that differ between consecutive snapshots of a scope.
 
     ``scope`` (a project, say) has its own calendar: its snapshots are those in which it has any row, and
     its first has no changes. Of rows with the same scope, keys and snapshot the latest delivery counts;
     equal deliveries tie by the larger hashes. Names are compared and returned trimmed and composed.
     Values differ as JSON; if either is missing or unreadable, ``digest`` decides, letter case aside, where
-    two missing digests are equal. Rows without a snapshot number are void; a null key is a key of its own,
-    a null delivery is the earliest. An empty table gives no rows, other columns are ignored.
-
-    Scale: what is shuffled is five numbers a row, after map-side aggregation, spread by the hash of the
-    whole key, so a scope with a third of all rows is spread too. The calendar is broadcast only below
-    CALENDAR_BROADCAST_ROWS.
+    two missing digests are equal. With ``values`` the JSON texts of both sides come out, null where there is
+    none. Rows without a snapshot number are void; a null key is a key of its own, a null delivery is the
+    earliest. An empty table gives no rows, other columns are ignored.
+
+    Scale: what is shuffled is six numbers a row, after map-side aggregation, spread by the hash of the
+    whole key, so a scope with a third of all rows is spread too. Names and values are fetched by the rows' hashes
+    for the differing keys only: these are broadcast up to CHANGES_BROADCAST_ROWS; beyond it the join is a
+    shuffle, before which the engine's run-time Bloom filter drops rows that did not change. The calendar is
+    broadcast only below CALENDAR_BROADCAST_ROWS.
     """
     spark = df.sparkSession
     width, fixed = len(scope) + len(keys), frozenset(ignored)
     names = [*scope, *keys]
     n_scope = len(scope)
+    texts = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]
     rows = df.where(F.col(snapshot).isNotNull()).select(
-        *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)],
-        F.col(snapshot).cast("long").alias("s"), F.col(delivered).cast("timestamp_ntz").alias("d"),
+        *texts, F.col(snapshot).cast("long").alias("s"), F.col(delivered).cast("timestamp_ntz").alias("d"),
         F.col(value).cast("string").alias("j"), F.col(digest).cast("string").alias("h"),
     )
+    marked = rows.withColumn("row", F.xxhash64(*[f"c{i}" for i in range(width)], "s", "d", "j", "h"))
 
     def scopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,29 +204,41 @@ def snapshot_changes(
             yield pa.RecordBatch.from_pydict({"scope": pa.array(ids, pa.int64()), "snapshot": b.column(n_scope), "n": b.column(n_scope + 1)})
 
     counted = rows.groupBy(*[f"c{i}" for i in range(n_scope)], "s").agg(F.count(F.lit(1)).alias("n"))
-    calendar = counted.mapInArrow(scopes, "scope long, snapshot long, n long").groupBy("scope", "snapshot").agg(F.sum("n").alias("n")).persist()
+    calendar = cut(counted.mapInArrow(scopes, "scope long, snapshot long, n long").groupBy("scope", "snapshot").agg(F.sum("n").alias("n")))
     entries, total = calendar.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     by_scope = Window.partitionBy("scope").orderBy("snapshot")
     calendar = calendar.select("scope", "snapshot", (F.row_number().over(by_scope) - 1).alias("rank"), F.lead("snapshot").over(by_scope).alias("later"))
-    if entries <= CALENDAR_BROADCAST_ROWS:
-        calendar = F.broadcast(calendar)
+    calendar = F.broadcast(calendar) if entries <= CALENDAR_BROADCAST_ROWS else calendar.hint("merge")
 
     compact = (
-        rows.mapInArrow(lambda it: _keyed(it, n_scope, width, fixed, True), "k1 long, k2 long, scope long, snapshot long, delivered timestamp_ntz, jh long, oh long")
+        marked.select(*[f"c{i}" for i in range(width)], "s", "row", "d", "j", "h")
+        .mapInArrow(lambda it: _keyed(it, n_scope, width, fixed, True), "k1 long, k2 long, scope long, snapshot long, row long, delivered timestamp_ntz, jh long, oh long")
         .groupBy("k1", "k2", "scope", "snapshot")
-        .agg(F.max(F.struct("delivered", "jh", "oh")).alias("v"))
-    )
-    ranked = compact.join(calendar, ["scope", "snapshot"]).select("k1", "k2", "rank", "snapshot", "later", "v.jh", "v.oh")
-    found = ranked.repartition(tasks_for(spark, total, ROWS_PER_BUCKET), "k1", "k2").mapInArrow(
-        _differences, "k1 long, k2 long, source_snapshot long, snapshot long, change_kind string"
-    )
-    named = (
-        rows.select(*[f"c{i}" for i in range(width)], "s")
-        .mapInArrow(lambda it: _keyed(it, n_scope, width, fixed, False), "k1 long, k2 long, snapshot long, " + ", ".join(f"n{i} string" for i in range(width)))
-        .withColumnRenamed("snapshot", "source_snapshot")
-        .dropDuplicates(["k1", "k2", "source_snapshot"])
-    )
-    kind = df.schema[snapshot].dataType
-    return found.join(named, ["k1", "k2", "source_snapshot"]).select(
-        *[F.col(f"n{i}").alias(c) for i, c in enumerate(names)], F.col("snapshot").cast(kind).alias(snapshot), "change_kind"
+        .agg(F.max(F.struct("delivered", "jh", "oh", "row")).alias("v"))
     )
+    ranked = compact.join(calendar, ["scope", "snapshot"]).select("k1", "k2", "rank", "snapshot", "later", "v.jh", "v.oh", "v.row")
+    found = cut(ranked.repartition(tasks_for(spark, total, ROWS_PER_BUCKET), "k1", "k2").mapInArrow(_differences, "k1 long, k2 long, row long, before long, snapshot long, change_kind string"))
+    few = found.count() <= CHANGES_BROADCAST_ROWS
+    kept = [F.col(f"c{i}") for i in range(width)]
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """The rows of ``marked`` with the wanted hashes; the keys' own hashes are compared too, so no other row slips in."""
+        near = marked.join(F.broadcast(wanted) if few else wanted.hint("merge"), "row")
+        extra = ["row", "w1", "w2", "d", "j"] if values else ["row", "w1", "w2"]
+        types = {"row": "long", "w1": "long", "w2": "long", "d": "timestamp_ntz", "j": "string"}
+        schema = "k1 long, k2 long, " + ", ".join(f"{c} {types[c]}" for c in extra) + ", " + ", ".join(f"n{i} string" for i in range(width))
+        full = near.select(*kept, *extra).mapInArrow(lambda it: _keyed(it, n_scope, width, fixed, False), schema)
+        return full.where("k1 = w1 and k2 = w2").drop("w1", "w2").dropDuplicates(["k1", "k2", "row"])
+
+    wanted = found.select("row", F.col("k1").alias("w1"), F.col("k2").alias("w2"))
+    if values:
+        wanted = wanted.unionByName(found.where("before is not null").select(F.col("before").alias("row"), F.col("k1").alias("w1"), F.col("k2").alias("w2")))
+    named = fetched(wanted.distinct())
+    joined = found.join(named, ["k1", "k2", "row"])
+    columns = [*[F.col(f"n{i}").alias(c) for i, c in enumerate(names)], F.col("snapshot").cast(df.schema[snapshot].dataType).alias(snapshot), "change_kind"]
+    if values:
+        old = named.select("k1", "k2", F.col("row").alias("before"), F.col("j").alias("old"))
+        joined = joined.join(old, ["k1", "k2", "before"], "left")
+        gone = F.col("change_kind") == "removed"
+        columns += [F.when(gone, F.col("j")).otherwise(F.col("old")).alias("old_value"), F.when(~gone, F.col("j")).alias("new_value")]
+    return joined.select(*columns)

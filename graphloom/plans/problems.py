@@ -16,6 +16,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(rows, ["object_qn"], ["project_name", "source_type"]).select("project_name", "source_type", "object_qn", "snapshot_no", "change_kind")
 
 
+def p3_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the JSON before and after."""
+    rows = table(spark, folder, "metadata_object_hashes")
+    return snapshot_changes(rows, ["object_qn"], ["project_name", "source_type"], values=True).select("project_name", "source_type", "object_qn", "snapshot_no", "change_kind", "old_value", "new_value")
+
+
 def p3_change_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Changes by project, source type, snapshot and kind."""
     found = p3_found(spark, folder)
@@ -65,7 +71,7 @@ def p6_control_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_change_counts, p6_found, p6_descendants, p6_subsystem_members, p6_subsystem_paths, p6_control_members, p6_control_paths)}
+    return {f.__name__: f for f in (p3_found, p3_changes, p3_change_counts, p6_found, p6_descendants, p6_subsystem_members, p6_subsystem_paths, p6_control_members, p6_control_paths)}
 
 
 def _links_sql(name: str) -> str:
