@@ -86,3 +86,30 @@ def after_key(columns: list[str], last: tuple) -> Column:
             same = same & (F.col(columns[j]) == F.lit(last[j]))
         condition = condition | (same & (F.col(columns[i]) > F.lit(last[i])))
     return condition
+
+
+def visible(category: Column, hidden: list[str], flag: Column) -> Column:
+    """Whether a row is shown: its category isn't hidden and its flag isn't set; unknown ones are shown."""
+    return F.coalesce(~category.isin(*hidden), F.lit(True)) & ~F.coalesce(flag, F.lit(False))
+
+
+def covered(category: Column, wanted: list[str] | None, hidden: list[str], regulated: Column, with_regulated: bool = False) -> Column:
+    """Whether a search covers a row: wanted categories put the hidden ones out of force, regulated rows are left out either way unless asked for."""
+    rule = category.isin(*wanted) if wanted else F.coalesce(~category.isin(*hidden), F.lit(True)) if hidden else F.lit(True)
+    return rule if with_regulated else rule & ~F.coalesce(regulated, F.lit(False))
+
+
+# Categories with their singular and English names.
+CATEGORY_NAMES = {
+    "Справочники": ("Справочник", "Catalogs", "Catalog"), "Документы": ("Документ", "Documents", "Document"), "Отчеты": ("Отчет", "Reports", "Report"), "Обработки": ("Обработка", "DataProcessors", "DataProcessor"),
+    "Перечисления": ("Перечисление", "Enums", "Enum"), "ОбщиеМодули": ("ОбщийМодуль", "CommonModules", "CommonModule"), "РегистрыСведений": ("РегистрСведений", "InformationRegisters", "InformationRegister"),
+    "РегистрыНакопления": ("РегистрНакопления", "AccumulationRegisters", "AccumulationRegister"), "ПланыВидовХарактеристик": ("ПланВидовХарактеристик", "ChartsOfCharacteristicTypes", "ChartOfCharacteristicTypes"),
+}
+#: Names that mean several categories.
+CATEGORY_GROUPS = {"регистры": ("РегистрыСведений", "РегистрыНакопления"), "registers": ("РегистрыСведений", "РегистрыНакопления")}
+
+
+def canonical_categories(names: Iterable[str]) -> list[str]:
+    """The categories that names in either number or language, in any case and with or without blanks, mean; unknown names are left out."""
+    table = {n.lower(): (c,) for c, more in CATEGORY_NAMES.items() for n in (c, *more)} | CATEGORY_GROUPS
+    return list(dict.fromkeys(c for n in names for c in table.get(n.lower().replace(" ", "").replace("_", ""), ())))
