@@ -91,9 +91,9 @@ def synonym_tokens(words: Column, synonyms: dict[str, list[str]], weight: int =
     return F.concat(words, F.flatten(F.transform(more, lambda s: F.array_repeat(s, weight))))
 
 
-def fts_terms(query: Column, most: int = 32) -> Column:
-    """Terms of a full-text query: split at blanks, freed from operators, lower case, of three letters and more, distinct, at most ``most``."""
-    bare = F.transform(F.split(F.trim(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^A-Za-zА-Яа-яЁё0-9_]", "")))
+def fts_terms(query: Column, most: int = 12) -> Column:
+    """Terms of a full-text query: split at blanks, operators in them as blanks, lower case, of three letters and more, distinct, at most ``most``."""
+    bare = F.transform(F.split(F.trim(F.coalesce(query, F.lit(""))), r"\s+"), lambda w: F.lower(F.trim(F.translate(w, "\"'()[]{}:^*+-", " " * 13))))
     return F.slice(F.array_distinct(F.filter(bare, lambda w: F.length(w) >= 3)), 1, most)
 
 
@@ -110,7 +110,7 @@ def trigrams(text: Column) -> Column:
 
 def split_params(params: Column) -> Column:
     """A parameter list split at its commas, those in strings and brackets left alone, each part trimmed; no parts of an empty list."""
-    parts = F.regexp_extract_all(params, F.lit(r'((?:"(?:[^"]|"")*"|\((?:[^()"]|"(?:[^"]|"")*")*\)|[^,"()])+)'), F.lit(1))
+    parts = F.regexp_extract_all(params, F.lit(r'((?:"[^"]*+"|\((?:[^()"]*+|"[^"]*+")*+\)|[^,"()]++)++)'), F.lit(1))
     return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
 
 
@@ -140,7 +140,7 @@ def doc_sections(doc: Column) -> Column:
 
 def code_facts(code: Column) -> Column:
     """Counts of what a body does: (lines, branches, loops, tries, returns, queries, calls)."""
-    bare = F.regexp_replace(F.coalesce(code, F.lit("")), r'"(?:[^"]|"")*"|//[^\r\n]*', "")
+    bare = F.regexp_replace(F.coalesce(code, F.lit("")), r'"[^"]*+(?:""[^"]*+)*+"|//[^\r\n]*+', "")
     word = lambda pattern: F.size(F.regexp_extract_all(bare, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_.])({pattern})(?![\p{{L}}\p{{N}}_])"), F.lit(1)))
     lines = F.when(F.coalesce(code, F.lit("")) == "", 0).otherwise(F.size(F.split(code, "\n")))
     return F.struct(
@@ -168,7 +168,7 @@ def called_names(code: Column) -> Column:
 
 def assigned_names(code: Column) -> Column:
     """Names on the left of an assignment at the start of a line."""
-    return F.regexp_extract_all(code, F.lit(r"(?m)^\s*([A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*)\s*="), F.lit(1))
+    return F.regexp_extract_all(code, F.lit(r"(?m)^[ \t]*([A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*)[ \t]*="), F.lit(1))
 
 
 def string_literals(code: Column) -> Column:
@@ -194,11 +194,11 @@ def windows(text: Column, size: int, step: int) -> Column:
 
 
 def number_ranges(numbers: Column) -> Column:
-    """Sorted distinct integers as text: runs of three or more as ``1..5``, others single, joined by ``|``."""
+    """Sorted distinct integers as text: runs as ``1..5``, single ones as they are, joined by ``|``."""
     start = F.struct(F.lit("").alias("done"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
 
     def shown(s: Column) -> Column:
-        run = F.when(s["a"] == s["b"], s["a"].cast("string")).when(s["b"] == s["a"] + 1, F.concat_ws("|", s["a"].cast("string"), s["b"].cast("string"))).otherwise(F.concat(s["a"].cast("string"), F.lit(".."), s["b"].cast("string")))
+        run = F.when(s["a"] == s["b"], s["a"].cast("string")).otherwise(F.concat(s["a"].cast("string"), F.lit(".."), s["b"].cast("string")))
         return F.when(s["a"].isNull(), s["done"]).when(s["done"] == "", run).otherwise(F.concat_ws("|", s["done"], run))
 
     def step(s: Column, x: Column) -> Column:
@@ -215,3 +215,91 @@ def html_text(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def clean(text: Column) -> Column:
+    """A text on one line: line ends and runs of blanks as one blank, none at its ends; null as empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+
+
+def same_words(a: Column, b: Column) -> Column:
+    """Whether two names are the same but for case, ё, blanks and signs: a synonym that repeats its name."""
+    key = lambda c: F.lower(F.translate(F.regexp_replace(clean(c), "[^0-9A-Za-zА-Яа-яЁё]+", ""), "ёЁ", "еЕ"))
+    return (key(a) != "") & (key(a) == key(b))
+
+
+# Short forms of types.
+TYPE_ALIASES = {
+    "Число": "Ч", "Строка": "С", "Дата": "Д", "Булево": "Б", "СправочникСсылка": "СС", "ДокументСсылка": "ДС", "ПеречислениеСсылка": "ПС",
+    "ПланВидовРасчетаСсылка": "ПВРС", "ПланВидовХарактеристикСсылка": "ПВХС", "ОпределяемыйТип": "ОТ",
+}
+
+
+def short_type(literal: Column) -> Column:
+    """A type literal with its first part in short form."""
+    table = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+    head = F.substring_index(literal, ".", 1)
+    return F.concat(F.coalesce(F.element_at(table, head), head), F.substr(literal, F.length(head) + 1))
+
+
+def short_union(types: Column) -> Column:
+    """A list of types as one text: those of one kind in brackets behind its short form, plain ones after them, joined by ``|``."""
+    named = F.filter(types, lambda t: t.contains("."))
+    heads = F.array_distinct(F.transform(named, lambda t: F.substring_index(t, ".", 1)))
+    table = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+
+    def group(h: Column) -> Column:
+        names = F.array_distinct(F.transform(F.filter(named, lambda t: F.substring_index(t, ".", 1) == h), lambda t: F.substr(t, F.length(h) + 2)))
+        short = F.coalesce(F.element_at(table, h), h)
+        return F.when(F.size(names) == 1, F.concat(short, F.lit("."), F.element_at(names, 1))).otherwise(F.concat(short, F.lit(".("), F.array_join(names, "|"), F.lit(")")))
+
+    plain = F.transform(F.filter(types, lambda t: ~t.contains(".")), lambda t: F.coalesce(F.element_at(table, t), t))
+    return F.array_join(F.concat(F.transform(heads, group), plain), "|")
+
+
+def numbered(name: Column) -> Column:
+    """(prefix, number, suffix) of a name with exactly one run of digits, null otherwise."""
+    parts = F.regexp_extract_all(name, F.lit(r"\d+"), F.lit(0))
+    return F.when(
+        F.size(parts) == 1,
+        F.struct(F.regexp_extract(name, r"^(\D*)\d+", 1).alias("prefix"), F.element_at(parts, 1).cast("long").alias("number"), F.regexp_extract(name, r"\d+(\D*)$", 1).alias("suffix")),
+    )
+
+
+def segments(code: Column) -> Column:
+    """(regions, comments, headers, directives) of a module's text, each as a list in order."""
+    all_of = lambda pattern, group=1: F.regexp_extract_all(code, F.lit(pattern), F.lit(group))
+    return F.struct(
+        all_of(r"(?imu)^[ \t]*#(?:область|region)[ \t]+([\p{L}_][\p{L}\p{N}_]*)").alias("regions"), all_of(r"(?m)//[ \t]*([^\r\n]*)").alias("comments"),
+        all_of(r"(?imu)^[ \t]*((?:процедура|функция|procedure|function)[ \t]+[\p{L}_][\p{L}\p{N}_]*)").alias("headers"), all_of(r"(?mu)^[ \t]*(&[\p{L}]+)").alias("directives"),
+    )
+
+
+def weighted_text(parts: list[tuple[Column, int]]) -> Column:
+    """Texts laid one after another, each as often as its weight says, empty ones left out."""
+    whole = [F.array_join(F.array_repeat(c, w), " ") for c, w in parts]
+    return F.array_join(F.filter(F.array(*whole), lambda t: t.isNotNull() & (F.trim(t) != "")), " ")
+
+
+def context_prefix(kind: Column, object_name: Column, form: Column, symbol: Column) -> Column:
+    """Comment lines that tell where code stands: ``//Kind.Object[.Form]`` and ``//Symbol``; empty parts are left out."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    place = F.when((text(kind) != "") & (text(object_name) != ""), F.concat(F.lit("//"), text(kind), F.lit("."), text(object_name), F.when(text(form) != "", F.concat(F.lit("."), text(form))).otherwise("")))
+    lines = F.filter(F.array(place, F.when(text(symbol) != "", F.concat(F.lit("//"), text(symbol)))), lambda x: x.isNotNull())
+    return F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+
+
+def qualified(*parts: Column | str) -> Column:
+    """A qualified name of its parts, null if any is missing."""
+    columns = [F.lit(p) if isinstance(p, str) else p for p in parts]
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | c.isNull()
+    return F.when(~missing, F.concat_ws("/", *columns))
+
+
+def unwrapped(literal: Column) -> Column:
+    """The type literals inside containers like ``Массив<Тип>`` or ``Array of T``, qualifiers in brackets taken off; a plain literal gives itself."""
+    bare = F.regexp_replace(literal, r"\([^()]*\)", "")
+    inner = F.regexp_replace(bare, r"(?iu)^\s*(?:массив|список|array|list)\s*(?:<\s*|\s+(?:из|of)\s+)(.*?)>?\s*$", "$1")
+    return F.filter(F.transform(F.split(inner, r"[|,;]"), lambda t: F.trim(t)), lambda t: t != "")

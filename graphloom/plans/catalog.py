@@ -319,7 +319,7 @@ def rights_deny_wins(spark, d):
     return R.effective_rights(rows, ["role", "target"], "right_name", "ok", "cond")
 
 
-@query("SELECT user_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) WHEN b = a + 1 THEN a || '|' || b ELSE a || '..' || b END, '|' ORDER BY a) AS ranges FROM (SELECT user_id, min(n) AS a, max(n) AS b FROM (SELECT user_id, n, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS g FROM (SELECT DISTINCT user_id, event_id // 40 AS n FROM events)) GROUP BY user_id, g) GROUP BY user_id")
+@query("SELECT user_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '..' || b END, '|' ORDER BY a) AS ranges FROM (SELECT user_id, min(n) AS a, max(n) AS b FROM (SELECT user_id, n, n - row_number() OVER (PARTITION BY user_id ORDER BY n) AS g FROM (SELECT DISTINCT user_id, event_id // 40 AS n FROM events)) GROUP BY user_id, g) GROUP BY user_id")
 def numbered_collapse(spark, d):
     """Numbers of each user as ranges."""
     e = table(spark, d, "events").select("user_id", F.expr("event_id div 40").alias("n"))

@@ -51,6 +51,7 @@ _SIZES = r"[0-9a-fA-F]{8}\s+[0-9a-fA-F]{8}\s+7fffffff[ \t]*"
 def container_code(text: Column) -> Column:
     """The code inside a form container: what follows a line that ends in ``module`` and a line of sizes, up to the next line of sizes or that opens a brace; null if there is none."""
     flat = F.regexp_replace(text, r"\r\n?", "\n")
-    code = F.regexp_extract(flat, rf"(?i)(?:^|\n)[^\n]*m\x00?\s*o\x00?\s*d\x00?\s*u\x00?\s*l\x00?\s*e[\x00 \t]*\n{_SIZES}\n((?:(?!{_SIZES}(?:\n|$)|\{{)[^\n]*(?:\n|$))*+)", 1)
+    head = rf"(?im)^[^\n]*m\x00?[ \t]*o\x00?[ \t]*d\x00?[ \t]*u\x00?[ \t]*l\x00?[ \t]*e[\x00 \t]*\n{_SIZES}$\n?"
+    code = F.get(F.split(F.get(F.split(flat, head, 2), F.lit(1)), rf"(?im)^(?:{_SIZES}$|\{{)", 2), F.lit(0))
     clean = F.regexp_replace(F.regexp_replace(code, "[\\x00﻿​‌‍⁠]", ""), r"\s+$", "")
     return F.when(F.trim(clean) != "", clean)
