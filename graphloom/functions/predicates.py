@@ -59,7 +59,7 @@ def all_in_scope(nodes: Column, root: str) -> Column:
 
 def first_of(labels: Column, preferred: list[str]) -> Column:
     """The first of the preferred labels that a node has."""
-    return F.element_at(F.filter(F.array(*[F.lit(p) for p in preferred]), lambda p: F.array_contains(labels, p)), 1)
+    return F.get(F.filter(F.array(*[F.lit(p) for p in preferred]), lambda p: F.array_contains(labels, p)), F.lit(0))
 
 
 def pruned(properties: Column, excluded: list[str]) -> Column:

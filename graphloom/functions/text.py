@@ -303,3 +303,31 @@ def unwrapped(literal: Column) -> Column:
     bare = F.regexp_replace(literal, r"\([^()]*\)", "")
     inner = F.regexp_replace(bare, r"(?iu)^\s*(?:массив|список|array|list)\s*(?:<\s*|\s+(?:из|of)\s+)(.*?)>?\s*$", "$1")
     return F.filter(F.transform(F.split(inner, r"[|,;]"), lambda t: F.trim(t)), lambda t: t != "")
+
+
+# English heads of type literals and their Russian forms.
+TYPE_HEADS = {
+    "Catalog": "Справочник", "Document": "Документ", "Enum": "Перечисление", "ChartOfCharacteristicTypes": "ПланВидовХарактеристик", "ChartOfAccounts": "ПланСчетов", "BusinessProcess": "БизнесПроцесс", "Task": "Задача",
+    "ExchangePlan": "ПланОбмена", "InformationRegister": "РегистрСведений", "AccumulationRegister": "РегистрНакопления", "Report": "Отчет", "DataProcessor": "Обработка", "DefinedType": "ОпределяемыйТип",
+}
+TYPE_TAILS = {"Ref": "Ссылка", "Object": "Объект", "RecordSet": "НаборЗаписей", "Manager": "Менеджер"}
+PLAIN_TYPES = {"string": "Строка", "decimal": "Число", "boolean": "Булево", "dateTime": "Дата", "ValueStorage": "ХранилищеЗначения"}
+
+
+def russian_type(literal: Column) -> Column:
+    """A type literal with its English parts in Russian; Russian and unknown ones stay as they are."""
+    names = {h + t: r + q for h, r in TYPE_HEADS.items() for t, q in {**TYPE_TAILS, "": ""}.items()} | PLAIN_TYPES
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    head = F.substring_index(literal, ".", 1)
+    return F.concat(F.coalesce(F.element_at(table, head), head), F.substr(literal, F.length(head) + 1))
+
+
+def embedded_queries(code: Column) -> Column:
+    """The query texts in the literals of code: line continuations and doubled quotes taken back, literals that start with no query left out."""
+    found = F.regexp_extract_all(code, F.lit(r'"((?iu:[\s|]*+(?:выбрать|select)\b)[^"]*+(?:""[^"]*+)*+)"'), F.lit(1))
+    return F.transform(found, lambda q: F.trim(F.replace(F.regexp_replace(q, r"(?m)^[ \t]*\|", ""), F.lit('""'), F.lit('"'))))
+
+
+def query_parts(query: Column) -> Column:
+    """The parts of a query text, cut at its statements and unions."""
+    return F.filter(F.transform(F.split(query, r"(?iu);|\b(?:объединить(?:\s+все)?|union(?:\s+all)?)\b"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")

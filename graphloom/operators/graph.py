@@ -90,9 +90,23 @@ def dependency_paths(edges: DataFrame, starts: DataFrame, direction: str = "down
 
 
 def page_of_paths(paths: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One page of paths by (depth, path) with its number; a path is the unit of the page."""
-    ranked = paths.withColumn("path_no", F.row_number().over(Window.orderBy("depth", "path")))
-    return ranked.where((F.col("path_no") > offset) & (F.col("path_no") <= offset + limit))
+    """One page of paths by (depth, path) with its number from 1; a path is the unit of the page.
+
+    Only the rows up to the page's end leave the tasks; the numbers are given to those few.
+    """
+    head = paths.orderBy("depth", "path").limit(offset + limit)
+    ranked = head.withColumn("path_no", F.row_number().over(Window.orderBy("depth", "path")))
+    return ranked.where(F.col("path_no") > offset)
+
+
+def first_by_signature(lists: list[DataFrame], by: list[str], order: list[str]) -> DataFrame:
+    """Several lists laid one after another, of rows with the same signature (``by``) the first; ``source`` tells the list."""
+    out = None
+    for i, rows in enumerate(lists):
+        marked = rows.withColumn("source", F.lit(i))
+        out = marked if out is None else out.unionByName(marked)
+    ranked = out.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("source", *order)))
+    return ranked.where("_k = 1").drop("_k")
 
 
 def recovered_calls(routines: DataFrame, called: Column, scope: list[str]) -> DataFrame:
