@@ -56,7 +56,62 @@ class _Bsl:
     may_open = re.compile(rf"{_BLANK}*(?://|&|{_OPEN}|{_ASYNC})", re.I).match
 
 
-GRAMMARS = {"bsl": _Bsl}
+    #: What stands before the words of a documentation line; None: where a routine ends is told by its end keyword.
+    margin = re.compile(rf"^{_BLANK}*/+")
+    body = None
+
+
+def _block(p: Parser, at: int) -> int:
+    """The end of the braces that open after the rest of a parameter list; literals and comments hide braces. No recursion, whatever the depth."""
+    depth, opened = 1, ["("]
+    for m in _SCRIPT_PART.finditer(p.text, at):
+        mark = m.group()
+        if mark in "([{":
+            opened.append(mark)
+        elif mark in ")]}" and opened:
+            was = opened.pop()
+            if not opened:
+                if was == "{":
+                    return m.end()
+                depth = 0
+        elif mark == ";" and not opened and depth == 0:
+            return m.end()
+    return -1
+
+
+_SCRIPT_TEXT = r"""(?:"(?:[^"\\\r\n]|\\.)*"?|'(?:[^'\\\r\n]|\\.)*'?|`(?:[^`\\]|\\.)*`?)"""
+_SCRIPT_COMMENT = r"(?://[^\r\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?)"
+_SCRIPT_PART = re.compile(rf"{_SCRIPT_TEXT}|{_SCRIPT_COMMENT}|[()\[\]{{}};]", re.S)
+
+
+class _Script:
+    """The grammar of scripts with braces, as far as named functions, their comments and what may hide them need it."""
+
+    newline = rx(_NEWLINE)
+    comment = rx(_SCRIPT_COMMENT, re.S)
+    string = rule(rx(_SCRIPT_TEXT, re.S))
+    comment_line = rx(rf"{_BLANK}*//[^\r\n]*{_NEWLINE}", 0)
+    doc_block = rx(rf"{_BLANK}*/\*\*(?:[^*]|\*(?!/))*\*/{_BLANK}*{_NEWLINE}", re.S)
+    directive = rx(rf"{_BLANK}*@{_WORD}(?:\.{_WORD})*(?:\([^()\r\n]*\))?{_BLANK}*{_NEWLINE}", 0)
+    run = rule(choice(doc_block, plus(comment_line)))
+    directives = rule(plus(directive))
+    lead = rx(rf"{_BLANK}*(?:export{_BLANK}+)?(?:default{_BLANK}+)?(?:async{_BLANK}+)?(?=function\b)", 0)
+    kind = rx(r"function\b", 0)
+    gap = rx(rf"(?:{_BLANK}|{_NEWLINE}|\*|{_SCRIPT_COMMENT})+", re.S)
+    name = rx(r"[^\W\d][\w$]*", 0)
+    params = rx(rf"{_BLANK}*\(", 0)
+    header = rule(seq(lead, kind, gap, name, params))
+    documented = seq(opt(run), opt(directives), header)
+    close = rx(r"(?!)")
+    code = rx(r"(?:(?!function\b|export\b|async\b)[^\W\d][\w$]*|\d\w*|[^\w\"'`/\r\n]|/(?![/*]))+", 0)
+    plain = choice(comment, string, code, newline)
+    at_line = choice(run, directives)
+    may_open = re.compile(rf"{_BLANK}*(?://|/\*\*|@|export\b|default\b|async\b|function\b)").match
+    margin = re.compile(rf"^{_BLANK}*(?:/\*\*+|\*+/|\*+|/+)|\*+/{_BLANK}*$")
+    body = staticmethod(_block)
+
+
+GRAMMARS = {"bsl": _Bsl, "script": _Script}
 
 
 @dataclass
@@ -102,7 +157,10 @@ def parse_routines(text: str | None, language: str = "bsl") -> list[Routine]:
         if found and found[-1].end < 0:
             found[-1].end = begin
         found.append(Routine(text[kind_at:kind_end], text[name_at:name_end], kind_at, lines.number(kind_at), doc))
-        return g.header(p, head)
+        end = g.header(p, head)
+        if g.body is not None:
+            found[-1].end = g.body(p, end)
+        return end
 
     while at < size:
         if line_start:
@@ -136,7 +194,7 @@ def parse_routines(text: str | None, language: str = "bsl") -> list[Routine]:
 
 
 # Headings that end the description.
-_SECTION = re.compile(r"(?i)^(?:параметры|возвращаемое\s+значение)\s*:")
+_SECTION = re.compile(r"(?i)^(?:(?:параметры|возвращаемое\s+значение)\s*:|@(?:param|returns?|throws|type)\b)")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{2,4}")
 _TODO = re.compile(r"(?i)^\W*(?:todo|to\s?do|fixme|xxx|hack|тудо|доделать|дописать|переделать)\b")
 _CODE = re.compile(
@@ -182,11 +240,11 @@ def _tells_nothing(line: str, name: str) -> bool:
     return all(w in _STUB_WORDS for w in words)
 
 
-def description(doc: list[str], name: str) -> str | None:
+def description(doc: list[str], name: str, language: str = "bsl") -> str | None:
     """The telling lines before the sections; None if there are none."""
     told = []
     for raw in doc:
-        line = re.sub(rf"^{_BLANK}*/+", "", raw)
+        line = GRAMMARS[language].margin.sub("", raw)
         line = re.sub(rf"^{_BLANK}+|{_BLANK}+$", "", line)
         line = re.sub(r"[​-‏⁠-⁤­﻿]", "", line)
         if _SECTION.match(line):
@@ -203,7 +261,7 @@ _FULL = "array<struct<line_no: int, name: string, kind: string, description: str
 def _documented(text: str | None, language: str, full: bool) -> list[dict]:
     out = []
     for r in parse_routines(text, language):
-        told = description(r.doc, r.name) if r.doc else None
+        told = description(r.doc, r.name, language) if r.doc else None
         if told is not None:
             row = {"line_no": r.line_no, "name": r.name}
             out.append(row | {"kind": r.kind, "description": told, "char_start": r.start, "char_end": r.end, "body": text[r.start : r.end]} if full else row)

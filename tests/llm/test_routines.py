@@ -57,3 +57,39 @@ def test_current_rows_nulls_and_ties(spark):
     full = {r["name"]: r for r in documented_routines(df, full=True).where("module_id = 'm'").collect()}
     assert full["Курсы"]["body"] == "Функция Курсы() КонецФункции"
     assert documented_routines(df.where("false")).collect() == []
+
+
+SCRIPT = """import x from "y"; // function hidden(
+/**
+ * Adds two prices with their taxes.
+ * @param {number} a the first
+ */
+@cached("k")
+export async function addPrices(a, b = ")", {c} = {}) {
+  const f = `function no( {`; /* function never() { */
+  if (a) { return "}"; }
+  function inner(z) { return z; }
+}
+
+// TODO: describe
+function stub() {}
+// Formats the number of a ticket
+// for letters.
+function* tickets$(n) { yield n }
+function open(
+"""
+
+
+def test_scripts():
+    found = parse_routines(SCRIPT, "script")
+    assert [(r.name, r.line_no, description(r.doc, r.name, "script")) for r in found] == [
+        ("addPrices", 7, "Adds two prices with their taxes."), ("inner", 10, None), ("stub", 14, None), ("tickets$", 17, "Formats the number of a ticket\nfor letters."), ("open", 18, None),
+    ]
+    bodies = [SCRIPT[r.start : r.end] for r in found]
+    assert bodies[0].startswith("function addPrices(") and bodies[0].endswith("return z; }\n}") and bodies[1] == "function inner(z) { return z; }" and bodies[3] == "function* tickets$(n) { yield n }"
+
+
+@pytest.mark.parametrize("text", ["{" * 50_000, "/*" * 50_000, "function f(" * 5_000, "`" + "x" * 100_000, "@a\n" * 20_000])
+@pytest.mark.parametrize("language", ["bsl", "script"])
+def test_any_text_ends(text, language):
+    parse_routines(text, language)
