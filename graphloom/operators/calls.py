@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.functions import text as X
 from graphloom.operators.relations import best_candidates, first_of_each
@@ -26,8 +28,6 @@ _DECLARE, _MAKE = frozenset(("процедура", "функция", "procedure"
 _CALLBACK = frozenset(("описаниеоповещения", "notifydescription"))
 LINES_KEPT = 50
 
-SITES = "id string, kind string, name string, qualifier string, args int, line int"
-
 
 def sites_of(body: str | None) -> list[tuple[str, str, str | None, int | None, int]]:
     """(kind, name, qualifier, arguments, line from 1) of every call in a body, in the order of their names."""
@@ -93,18 +93,28 @@ def sites_of(body: str | None) -> list[tuple[str, str, str | None, int | None, i
     return [tuple(f) for f in found if f[0] != "callback"]
 
 
-def call_sites(routines: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """(id, kind, name, qualifier, args, line) of every call; bodies are scanned where they are read, null ones have none."""
+def with_sites(rows: DataFrame, keep: list[str], body: str = "body") -> DataFrame:
+    """The columns ``keep`` and ``sites``, the calls of each body, found where the bodies are read: what follows moves names, never bodies."""
+    fields = [rows.schema[c] for c in keep]
+    item = T._parse_datatype_string("array<struct<kind: string, name: string, qualifier: string, args: int, line: int>>")
+    arrow = to_arrow_type(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SITES.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for b in batches:
-            rows = [(i, *site) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for site in sites_of(t)]
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            found = [[dict(zip(("kind", "name", "qualifier", "args", "line"), site)) for site in sites_of(t)] for t in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(found, arrow)], names=[*keep, "sites"])
+
+    return rows.select(*keep, F.col(body).cast("string").alias("_body")).mapInArrow(run, T.StructType([*fields, T.StructField("sites", item)]))
+
+
+def call_sites(routines: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
+    """(id, kind, name, qualifier, args, line) of every call; null bodies have none."""
+    return flat_sites(with_sites(routines.select(F.col(key).cast("string").alias("id"), F.col(body).alias("body")), ["id"]))
+
 
-    return routines.select(F.col(key).cast("string").alias("id"), F.col(body).alias("body")).mapInArrow(run, SITES)
+def flat_sites(held: DataFrame) -> DataFrame:
+    """The same of rows (id, sites)."""
+    return held.select("id", F.inline("sites"))
 
 
 def contexts(directives: Column) -> Column:

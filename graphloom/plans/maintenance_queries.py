@@ -216,20 +216,19 @@ _FIRST = K._sql_current("routine", "id").replace("DESC", "ASC")
 @query(f"WITH {RQ._LOCAL} SELECT caller, callee, calls FROM edges")
 def scoped_calls(spark, d):
     """Call edges of the first deliveries brought up to date for the affected callers only: the same as all resolved anew."""
-    rows = table(spark, d, "routine")
-    v = F.struct("loaded_at", *RQ._SIG[1:], "body", "body_hash")
-    both = cut(rows.groupBy("id").agg(F.min(v).alias("o"), F.max(v).alias("n")))
-    side = lambda s: both.select("id", *[F.col(f"{s}.{c}").alias(c) for c in (*RQ._SIG[1:], "body", "body_hash")])
-    edges = lambda r: cut(C.call_edges(C.resolve_calls(C.call_sites(r), r.drop("body")).where("kind = 'direct'")))
-    old, new = side("o"), side("n")
+    rows = table(spark, d, "routine").withColumn("digest", F.xxhash64("body"))
+    kept = [*RQ._SIG[1:], "body_hash", "digest", "sites"]
+    v = F.struct("loaded_at", *kept)
+    both = cut(C.with_sites(rows, ["id", "loaded_at", *kept[:-1]]).groupBy("id").agg(F.min(v).alias("o"), F.max(v).alias("n")))
+    side = lambda s: both.select("id", *[F.col(f"{s}.{c}").alias(c) for c in kept])
+    edges = lambda r: cut(C.call_edges(C.resolve_calls(C.flat_sites(r), r.drop("sites")).where("kind = 'direct'")))
     signature = lambda s: F.concat_ws("(", f"{s}.name", f"{s}.params_text", F.array_join(f"{s}.directives", ","), f"{s}.module_id")
-    changed = F.when(~signature("o").eqNullSafe(signature("n")), "signature_changed").when(~F.col("o.body_hash").eqNullSafe(F.col("n.body_hash")) | ~F.col("o.body").eqNullSafe(F.col("n.body")), "body_changed")
+    changed = F.when(~signature("o").eqNullSafe(signature("n")), "signature_changed").when(~F.col("o.body_hash").eqNullSafe(F.col("n.body_hash")) | ~F.col("o.digest").eqNullSafe(F.col("n.digest")), "body_changed")
     marks = both.withColumn("change", changed).where("change is not null")
     changes = marks.select("id", F.col("o.name").alias("name"), "change").unionByName(marks.select("id", F.col("n.name").alias("name"), "change")).distinct()
-    sites = C.call_sites(new)
-    before = edges(old)
-    callers = C.invalidated_callers(before, sites, changes)
-    return C.rebuilt(before, callers, edges(new)).select("caller", "callee", "calls")
+    before = edges(side("o"))
+    callers = C.invalidated_callers(before, C.flat_sites(side("n")), changes)
+    return C.rebuilt(before, callers, edges(side("n"))).select("caller", "callee", "calls")
 
 
 @query(f"WITH {K._TOK_CTE} SELECT token, count(*) AS df FROM post GROUP BY token")

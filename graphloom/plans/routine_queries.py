@@ -58,21 +58,21 @@ _SITES = rf"""x AS (SELECT id, unnest(regexp_extract_all(regexp_replace({_BARE},
 
 def _sites(spark, d):
     """Sites of the current bodies, found where the bodies are read."""
-    rows = table(spark, d, "routine")
-    return C.call_sites(_routines(spark, d, "body")), rows
+    held = C.with_sites(table(spark, d, "routine"), ["id", "loaded_at"])
+    return C.flat_sites(R.current_rows(held, "id", ["sites"]))
 
 
 @query(f"WITH {_SITES} SELECT id, name, qualifier, count(*) AS sites FROM named GROUP BY ALL")
 def call_sites(spark, d):
     """Calls by routine and name, literals, comments, declarations and constructors left out."""
-    found = _sites(spark, d)[0].where(F.col("kind").isin("direct", "qualified"))
+    found = _sites(spark, d).where(F.col("kind").isin("direct", "qualified"))
     return found.groupBy("id", "name", "qualifier").agg(F.count(F.lit(1)).alias("sites"))
 
 
 @query()
 def call_site_lines(spark, d):
     """Every call with its kind, number of arguments and line."""
-    return _sites(spark, d)[0]
+    return _sites(spark, d)
 
 
 _SIG = "id", "module_id", "owner_qn", "module_type", "params_text", "name", "directives"
@@ -86,7 +86,7 @@ _LOCAL = rf"""{_SITES}, sig AS (SELECT id, module_id, lower(name) AS lname, {_CL
 
 
 def _resolved(spark, d):
-    return C.resolve_calls(_sites(spark, d)[0], _routines(spark, d, *_SIG))
+    return C.resolve_calls(_sites(spark, d), _routines(spark, d, *_SIG))
 
 
 def _edges(spark, d):
