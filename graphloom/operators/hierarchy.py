@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies.
 
-Method: cycles are exposed by peeling leaves. After t peelings the survivors are the image of the t-th power
-of the parent function, so the peelings are done by repeated squaring, in logarithmically many rounds. The
-remaining forest becomes Euler tours, ranked by parallel list ranking: trees up to ``LOCAL_TREE`` nodes whole,
-many per task, as numpy arrays; larger ones by distributed pointer doubling. A node's entry and exit positions
-give depth, root, ancestors and descendants.
+Method: pointers to parents are first shortened within ranges of names, where most of a tree lies together, then
+squared over all ranges until every node that hangs in a tree knows its root. What is left hangs on cycles; its
+leaves are peeled until only the cycles stand. The forest becomes Euler tours, ranked by parallel list ranking:
+trees up to ``LOCAL_TREE`` nodes whole, many per task, as numpy arrays; larger ones by distributed pointer
+doubling. A node's entry and exit positions give depth, root, ancestors and descendants.
 """
 
 from __future__ import annotations
@@ -40,29 +40,113 @@ def current_links(df: DataFrame, table: str, child: str = "child_qn", parent: st
     return latest.select(F.lit(table).alias("edge_table"), "name", F.col("v.parent").alias("parent"))
 
 
+#: Bits of an id below the number of its range.
+_RANGE_BITS = 33
+
+
 def _numbered(links: DataFrame) -> DataFrame:
-    """(id, pid, edge_table, name, o): all names of the links; pid null for a root. Written, so ids stay."""
+    """(id, pid, edge_table, name, o): all names of the links; pid null for a root. Written, so ids stay.
+
+    Ids are given in ranges of names: the high bits tell the range.
+    """
     ends = links.select("edge_table", "name", "parent").unionByName(
         links.where(F.col("parent").isNotNull()).select("edge_table", F.col("parent").alias("name"), F.lit(None).cast("string").alias("parent"))
     )
-    nodes = cut(ends.groupBy("edge_table", "name").agg(F.max("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()))
+    named = ends.groupBy("edge_table", "name").agg(F.max("parent").alias("parent")).repartitionByRange("edge_table", "name")
+    nodes = cut(named.withColumn("id", F.monotonically_increasing_id()))
     up = nodes.select("edge_table", F.col("name").alias("parent"), F.col("id").alias("pid"))
     return cut(nodes.join(up, ["edge_table", "parent"], "left").select("id", "pid", "edge_table", "name", F.xxhash64("name").alias("o")))
 
 
-def _peel(nodes: DataFrame) -> DataFrame:
-    """(id, ptr, ends): ``ends`` if the node hangs in a tree, with its root as ptr; else ptr is a cycle's node."""
-    state = nodes.select("id", F.coalesce("pid", "id").alias("ptr"), F.col("pid").isNull().alias("ends"))
-    # One step only leads to the parent: a child of a root ends too, which the first squaring finds.
-    state, survivors = cut(state), -1
-    while True:
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pid) of whole ranges: pointers (id, ptr, ends) to the root if the way to it stays among them, else to the first node outside; on a cycle inside to any node ahead."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ids, pids = table.column("id").to_numpy(), table.column("pid").fill_null(-1).to_numpy()
+    order = np.argsort(ids)
+    n = len(ids)
+    at = np.minimum(np.searchsorted(ids, pids, sorter=order), n - 1)
+    inside = (pids >= 0) & (ids[order[at]] == pids)
+    ptr = np.where(inside, order[at], np.arange(n))
+    for _ in range(n.bit_length() + 1):
+        ahead = ptr[ptr]
+        if np.array_equal(ahead, ptr):
+            break
+        ptr = ahead
+    stop = ptr  # the last node of the way that lies inside; itself on a cycle inside
+    root = (pids[stop] < 0) & ~inside[stop]
+    to = np.where(root, ids[stop], np.where(inside[stop], ids[stop], pids[stop]))
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "ptr": pa.array(to), "ends": pa.array(root)})
+
+
+def _peel(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """((id, ptr, ends), number without an end): ``ends`` if the node hangs in a tree, with its root as ptr; the others hang on cycles.
+
+    A round doubles the reach of all pointers. If it brings no further node to its root, none is left that has one:
+    such nodes would stand at every distance up to the largest.
+    """
+    state = cut(nodes.select("id", "pid").repartition(F.shiftright("id", _RANGE_BITS)).mapInArrow(_shortened, "id long, ptr long, ends boolean"))
+    left = state.where(~F.col("ends")).count()
+    while left:
         jumps = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("to"), F.col("ends").alias("to_ends"))
         moved = state.where(~F.col("ends")).join(jumps, "ptr").select("id", F.col("to").alias("ptr"), F.col("to_ends").alias("ends"))
         state = cut(state.where("ends").unionByName(moved))
-        image = state.where(~F.col("ends")).agg(F.count_distinct("ptr")).first()[0]
-        if image == 0 or image == survivors:
-            return state
+        before, left = left, state.where(~F.col("ends")).count()
+        if left == before:
+            break
+    return state, left
+
+
+def _rings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, pid, name) of all nodes on and below cycles: (id, cycle_name), by peeling leaves and then going around each cycle."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    ids, names = table.column("id").to_numpy(), table.column("name").to_pylist()
+    order = np.argsort(ids)
+    parent = order[np.searchsorted(ids, table.column("pid").to_numpy(), sorter=order)]
+    children = np.bincount(parent, minlength=len(ids))
+    peeled: list[int] = list(np.flatnonzero(children == 0))
+    for node in peeled:
+        up = parent[node]
+        children[up] -= 1
+        if children[up] == 0:
+            peeled.append(int(up))
+    least: list[str | None] = [None] * len(ids)
+    for start in np.flatnonzero(children):
+        if least[start] is None:
+            around, node = [int(start)], int(parent[start])
+            while node != start:
+                around.append(node)
+                node = int(parent[node])
+            name = min((names[i] for i in around), key=lambda x: x.encode("utf-8", "surrogatepass"))
+            for i in around:
+                least[i] = name
+    # Peeled last is nearest to the cycle.
+    for node in reversed(peeled):
+        least[node] = least[parent[node]]
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "cycle_name": pa.array(least, pa.string())})
+
+
+def _caught(nodes: DataFrame, state: DataFrame, number: int, local: int) -> DataFrame:
+    """(id, cycle_name) of the nodes on and below cycles: the smallest name around the cycle; beyond ``local`` of them by squaring."""
+    held = nodes.join(state.where(~F.col("ends")).select("id"), "id", "left_semi").select("id", "pid", "name")
+    if number <= local:
+        return held.repartition(1).mapInArrow(_rings, "id long, cycle_name string")
+    held = cut(held)
+    # After t peelings the survivors are the image of the t-th power of the parent function, here a power of two.
+    powers, survivors = cut(held.select("id", F.col("pid").alias("ptr"))), -1
+    while True:
+        image = powers.agg(F.count_distinct("ptr")).first()[0]
+        if image == survivors:
+            break
         survivors = image
+        powers = cut(powers.join(powers.select(F.col("id").alias("ptr"), F.col("ptr").alias("to")), "ptr").select("id", F.col("to").alias("ptr")))
+    rings = _cycle_names(held, powers.withColumn("ends", F.lit(False)))
+    return powers.join(rings.select(F.col("id").alias("ptr"), "cycle_name"), "ptr").select("id", "cycle_name")
 
 
 def _cycle_names(nodes: DataFrame, state: DataFrame) -> DataFrame:
@@ -183,7 +267,7 @@ def hierarchies(links: DataFrame, local_tree: int = LOCAL_TREE) -> DataFrame:
     """
     spark = links.sparkSession
     nodes = _numbered(links)
-    state = _peel(nodes)
+    state, bound = _peel(nodes)
     trees = nodes.join(state.where("ends").select("id", F.col("ptr").alias("root")), "id").select("id", "pid", "root", "o")
     sizes = cut(trees.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     total, giants = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") > local_tree)).first()
@@ -203,10 +287,9 @@ def hierarchies(links: DataFrame, local_tree: int = LOCAL_TREE) -> DataFrame:
         "edge_table", F.col("name").alias("node_qn"), "root_qn", F.col("depth").cast("int").alias("depth"), "entry", "exit",
         F.expr("(exit - entry - 1) div 2").alias("descendants"),
     )
-    if total == nodes.count():
+    if not bound:
         return forest
-    rings = _cycle_names(nodes, state)
-    caught = state.where(~F.col("ends")).join(rings.select(F.col("id").alias("ptr"), "cycle_name"), "ptr").join(names, "id")
+    caught = _caught(nodes, state, bound, local_tree).join(names, "id")
     none = F.lit(None).cast("long")
     return forest.unionByName(
         caught.select("edge_table", F.col("name").alias("node_qn"), F.col("cycle_name").alias("root_qn"), F.lit(-1).alias("depth"), none.alias("entry"), none.alias("exit"), none.alias("descendants"))

@@ -1,6 +1,7 @@
 """Paths and descendants of every node of both link tables against brute force."""
 
 import datetime
+import random
 
 import pytest
 
@@ -48,3 +49,45 @@ def test_intervals_give_all_descendants(spark, folder):
     rows = [r for r in problems.queries()["p6_descendants"](spark, folder).collect()]
     got = {(u["edge_table"], u["node_qn"], v["node_qn"]) for u in rows for v in rows if u["entry"] is not None and v["entry"] is not None and (u["edge_table"], u["root_qn"]) == (v["edge_table"], v["root_qn"]) and u["entry"] < v["entry"] < u["exit"]}
     assert got == {(t, above, n) for t in ("subsystem_edge", "child_rel") for n, x in lines().items() if x for above in x[:-1]}
+
+
+def many_links(seed):
+    """Trees, deep lines, cycles of several lengths with tails, self loops and repeated names over both tables."""
+    rng = random.Random(seed)
+    rows = [(f"t{i:04d}", f"t{rng.randrange(max(0, i - 30), i):04d}" if i % 97 else None) for i in range(1, 1500)]
+    rows += [(f"z{rng.random()}-{i}", None) for i in range(5)]
+    deep = [f"d{rng.random():.6f}" for _ in range(600)]
+    rows += list(zip(deep[1:], deep))
+    for c in range(12):
+        ring = [f"r{rng.random():.6f}" for _ in range(rng.choice([1, 1, 2, 3, 40]))]
+        rows += [(ring[i], ring[i - 1]) for i in range(len(ring))]
+        tail = ring[0]
+        for _ in range(rng.choice([0, 1, 25])):
+            new = f"q{rng.random():.6f}"
+            rows.append((new, tail))
+            tail = new
+    return rows
+
+
+@pytest.mark.parametrize("local", [10, 100_000])
+def test_roots_depths_and_cycles(spark, local):
+    rows = many_links(local)
+    links = spark.createDataFrame([("e", c, p) for c, p in rows], "edge_table string, name string, parent string").repartition(7)
+    parent = dict(rows)
+    want = {}
+    for node in {*parent, *parent.values()} - {None}:
+        seen, at = [node], node
+        while parent.get(at) is not None and parent[at] not in seen:
+            at = parent[at]
+            seen.append(at)
+        if parent.get(at) is None:
+            want[node] = (at, len(seen) - 1)
+        else:
+            want[node] = (min(seen[seen.index(parent[at]) :]), -1)
+    found = hierarchy.hierarchies(links, local_tree=local).collect()
+    assert len(found) == len(want)
+    assert {r["node_qn"]: (r["root_qn"], r["depth"]) for r in found} == want
+
+
+def test_no_links(spark):
+    assert hierarchy.hierarchies(spark.createDataFrame([], "edge_table string, name string, parent string")).collect() == []
