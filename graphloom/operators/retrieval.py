@@ -335,6 +335,44 @@ def slots(hits: DataFrame, by: list[str], parent: str, quota: tuple[int, ...], l
     return filled.where(F.col("slot") <= limit).select(*by, "slot", parent, "part", "score")
 
 
+# Parents looked at, weights of their hits' number and mean, and parts given by each of the best windows.
+SELECTIONS = {"vector": (5, 0.0, 0.0, (2, 2, 1)), "lexical": (5, 0.05, 0.0, None), "lexical_small": (1, 0.0, 0.0, (3, 1, 1))}
+
+
+def window_selection(hits: DataFrame, sizes: DataFrame, profile: str, k: int, outside: float = 0.0, span: float = 0.0) -> DataFrame:
+    """(qid, slot, parent, part): ``k`` parts of each query, the first of the best windows of its best parents, then the best of the rest.
+
+    ``hits`` (qid, parent, part, score) is a pool bounded by its top k; ``sizes`` (parent, total) tells how many parts
+    a parent has. A window is a run of ``k`` parts that holds a hit; its score sums the hits' min-max normalised
+    scores less ``span`` for each step from its middle and ``outside`` for each part without a hit. Windows rank by it
+    and their parent's score; each gives as many of its first parts as the profile says, one where it says none.
+    """
+    parents_kept, per_hit, top_mean, quota = SELECTIONS[profile]
+    quota = quota or (1,) * k
+    pool = cut(minmax(cut(hits.select("qid", "parent", "part", "score")), ["qid"], 1.0))
+    best = F.slice(F.reverse(F.array_sort(F.collect_list("norm"))), 1, 3)
+    scored = pool.groupBy("qid", "parent").agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("n"), best.alias("best"))
+    value = F.col("top") + per_hit * F.col("n") + top_mean * F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")
+    chosen = top_k(scored.select("qid", "parent", value.alias("parent_score")), parents_kept, ["qid"], "parent_score", "parent").drop("rank")
+    inside = pool.join(chosen, ["qid", "parent"]).join(sizes.select("parent", "total"), "parent")
+    shifts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.greatest(F.lit(0), F.least(F.col("total") - k, F.col("part") - s)))
+    starts = inside.select("qid", "parent", "total", "parent_score", F.explode(shifts).alias("start")).distinct()
+    met = starts.join(pool.select("qid", "parent", "part", "norm"), ["qid", "parent"]).where((F.col("part") >= F.col("start")) & (F.col("part") < F.col("start") + k))
+    length = F.least(F.lit(k), F.col("total") - F.col("start"))
+    worth = F.sum(F.col("norm") - span * F.abs(F.col("part") - F.col("start") - k // 2)) - outside * (F.max(length) - F.count(F.lit(1)))
+    windows = met.groupBy("qid", "parent", "start", "total", "parent_score").agg(worth.alias("worth"))
+    one = windows.withColumn("_k", F.row_number().over(Window.partitionBy("qid", "parent").orderBy(F.round("worth", 9).desc(), "start"))).where("_k = 1")
+    order = Window.partitionBy("qid").orderBy(F.round(F.col("parent_score") + F.col("worth"), 9).desc(), "parent")
+    ranked = one.withColumn("w", F.row_number().over(order)).where(F.col("w") <= len(quota))
+    share = F.get(F.array(*[F.lit(q) for q in quota]), F.col("w") - 1)
+    own = ranked.select("qid", "parent", "w", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + share, F.col("total")) - 1)).alias("part"))
+    first = own.select("qid", "parent", "part", F.lit(0).alias("group"), F.struct(F.col("w").cast("double").alias("a"), F.col("part").cast("double").alias("b")).alias("order"))
+    rest = pool.select("qid", "parent", "part", F.lit(1).alias("group"), F.struct((-F.col("norm")).alias("a"), F.lit(0.0).alias("b")).alias("order"))
+    both = first.unionByName(rest).groupBy("qid", "parent", "part").agg(F.min(F.struct("group", "order")).alias("v"))
+    slot = F.row_number().over(Window.partitionBy("qid").orderBy("v", "parent", "part"))
+    return both.withColumn("slot", slot).where(F.col("slot") <= k).select("qid", "slot", "parent", "part")
+
+
 def capped_by_top(score: Column, over: Window) -> Column:
     """Scores divided by the best if that exceeds 1."""
     top = F.max(score).over(over)

@@ -132,6 +132,18 @@ def leg(scored: DataFrame, weight: float, k: int, key: str = "id") -> DataFrame:
     return retrieval.minmax(best, ["qid"], 1.0).select("qid", key, (F.col("norm") * weight).alias("part"))
 
 
+def safe_legs(makers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(legs, failures): each leg computed and cut by itself, so one that fails leaves the others standing; failures by name with their reason."""
+    done: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, make in makers.items():
+        try:
+            done[name] = cut(make())
+        except Exception as problem:  # noqa: BLE001 - whatever stops a leg must not stop the search
+            failed[name] = f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
+    return done, failed
+
+
 def combined(legs: list[DataFrame], k: int, key: str = "id") -> DataFrame:
     """(qid, key, score, rank): the sums over legs, the best k of each query."""
     out = legs[0]

@@ -91,6 +91,48 @@ class Epochs:
         return sorted(gone)
 
 
+class Lease:
+    """One writer at a time over a shared folder: a file that only one can make, kept alive by its maker and taken over once it is stale."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str = "lease"):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.json")
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._spark = spark
+
+    def holder(self) -> tuple[str, float] | None:
+        """(owner, time of the last sign of life), none if nobody holds it."""
+        if not self._fs.exists(self._path):
+            return None
+        held = json.loads(self._spark.read.text(self._path.toString(), wholetext=True).first()[0])
+        return held["owner"], held["at"]
+
+    def _write(self, owner: str, now: float, over: bool) -> bool:
+        try:
+            out = self._fs.create(self._path, over)
+        except Exception:  # noqa: BLE001 - another has made it in between
+            return False
+        out.write(bytearray(json.dumps({"owner": owner, "at": now}).encode()))
+        out.close()
+        return True
+
+    def take(self, owner: str, now: float, patience: float) -> bool:
+        """Whether ``owner`` holds the lease now: it was free, already theirs, or its holder showed no life for ``patience`` seconds."""
+        held = self.holder()
+        if held is None:
+            return self._write(owner, now, False)
+        if held[0] == owner:
+            return self._write(owner, now, True)
+        if now - held[1] < patience:
+            return False
+        self._fs.delete(self._path, False)
+        return self._write(owner, now, False)
+
+    def release(self, owner: str) -> bool:
+        """Gives the lease up; only its holder can."""
+        held = self.holder()
+        return bool(held and held[0] == owner and self._fs.delete(self._path, False))
+
+
 def accumulated(old: DataFrame, delta: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
     """Counters after a delta, summed by keys; null keys are keys of their own, a counter missing on both sides stays null."""
     rows = old.select(*keys, *counters).unionByName(delta.select(*keys, *counters))
@@ -149,6 +191,28 @@ def interned(rows: list[dict], columns: list[str], least: int = 2) -> tuple[dict
     return {name: v for (_, v), name in names.items()}, [{k: names.get((k, v), v) if isinstance(v, str) else v for k, v in r.items()} for r in rows]
 
 
+def prefixed(values: list[str], separator: str = "/", most: int = 5) -> tuple[dict[str, str], list[str]]:
+    """(names, values) of a page: the prefix up to a separator that saves most is named, again and again up to ``most`` times while it saves anything."""
+    names: dict[str, str] = {}
+    left = list(values)
+    for i in range(1, most + 1):
+        counts: dict[str, int] = {}
+        for v in left:
+            if not v.startswith("@"):
+                parts = v.split(separator)
+                for n in range(1, len(parts)):
+                    head = separator.join(parts[:n]) + separator
+                    counts[head] = counts.get(head, 0) + 1
+        short = f"@{i}{separator}"
+        gains = {h: c * (len(h) - len(short)) - len(h) - len(short) for h, c in counts.items() if c > 1}
+        if not gains or max(gains.values()) <= 0:
+            break
+        head = min(h for h, g in gains.items() if g == max(gains.values()))
+        names[short[:-1]] = head[: -len(separator)]
+        left = [short + v[len(head) :] if v.startswith(head) else v for v in left]
+    return names, left
+
+
 def hashed_vectors(texts: DataFrame, key: str, words: Column, dim: int = 64) -> DataFrame:
     """(key, vector): a deterministic stand-in for an embedding source: token counts in ``dim`` hashed places with hashed signs, of unit length; no tokens give null."""
     flat = texts.select(key, F.explode(words).alias("token"))

@@ -406,3 +406,19 @@ def label_counts(spark, d):
     o = cut(MQ._objects(spark, d))
     rows = M.elements(o).select(F.col("kind").alias("label")).unionByName(o.select(F.lit("object").alias("label"))).unionByName(_r(spark, d, "name").select(F.lit("routine").alias("label")))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def window_selection(spark, d):
+    """Eight parts of each query (first letters stand for queries) from the best windows of its best routines."""
+    hits = K._hits(spark, d).select(F.substring("routine_id", 1, 1).alias("qid"), F.col("routine_id").alias("parent"), F.col("part").cast("int").alias("part"), "score")
+    sizes = hits.groupBy("parent").agg((F.max("part") + 1).alias("total"))
+    return retrieval.window_selection(hits, sizes, "vector", 8)
+
+
+@query()
+def tool_return_schema(spark, d):
+    """Parameters and columns of every tool."""
+    from graphloom.tools.schema import schema_rows
+
+    return spark.createDataFrame(schema_rows(), "tool string, parameters string, columns string")

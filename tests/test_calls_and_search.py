@@ -1,9 +1,13 @@
 """Call sites and their resolution; fuzzy likeness, routing and selection of search results."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import calls as C
+from graphloom.operators import retrieval
 from graphloom.operators import search as S
 
 BODY = '''Процедура Главная(А) Экспорт
@@ -94,3 +98,83 @@ def test_rerank_keeps_the_tail_and_pages_go_on(spark):
 
 def test_budgets():
     assert S.per_leg_budget(10, 5, 4, 20, 200) == 60 and S.per_leg_budget(1, 0, 4, 20, 200, 3) == 7 and S.per_leg_budget(1000, 0, 4, 20, 200) == 200
+
+
+def selected(hits, sizes, k, parents_kept, per_hit, top_mean, quota):
+    """The parts of one query, step by step: hits are {(parent, part): score}."""
+    lo, hi = min(hits.values()), max(hits.values())
+    norm = {h: (s - lo) / (hi - lo) if hi > lo else 1.0 for h, s in hits.items()}
+    scores = {}
+    for p in {p for p, _ in hits}:
+        own = sorted((n for (q, _), n in norm.items() if q == p), reverse=True)
+        scores[p] = own[0] + per_hit * len(own) + top_mean * sum(own[:3]) / len(own[:3])
+    windows = []
+    for p in sorted(scores, key=lambda p: (-scores[p], p))[:parents_kept]:
+        starts = {max(0, min(sizes[p] - k, i - shift)) for q, i in hits if q == p for shift in range(k)}
+        worth = {s: round(sum(norm.get((p, i), 0.0) for i in range(s, min(s + k, sizes[p]))), 9) for s in starts}
+        start = min(starts, key=lambda s: (-worth[s], s))
+        windows.append((-round(scores[p] + worth[start], 9), p, [(p, i) for i in range(start, min(start + k, sizes[p]))]))
+    out = []
+    for (_, _, parts), share in zip(sorted(windows), quota or (1,) * k):
+        out += parts[:share]
+    out += sorted((h for h in hits if h not in out), key=lambda h: (-norm[h], h))
+    return out[:k]
+
+
+@pytest.mark.parametrize("profile", list(retrieval.SELECTIONS))
+def test_window_selection(spark, profile):
+    rng = random.Random(7)
+    sizes = {f"p{i}": rng.randrange(1, 15) for i in range(9)}
+    pools = {q: {(p, rng.randrange(sizes[p])): round(rng.random(), 3) for p in rng.choices(list(sizes), k=14)} for q in range(6)}
+    rows = [(q, p, i, s) for q, pool in pools.items() for (p, i), s in pool.items()]
+    found = retrieval.window_selection(spark.createDataFrame(rows, "qid int, parent string, part int, score double"), spark.createDataFrame(list(sizes.items()), "parent string, total int"), profile, 5).collect()
+    kept, per_hit, top_mean, quota = retrieval.SELECTIONS[profile]
+    for q, pool in pools.items():
+        got = [(r["parent"], r["part"]) for r in sorted(found, key=lambda r: r["slot"]) if r["qid"] == q]
+        assert got == selected(pool, sizes, 5, kept, per_hit, top_mean, quota)
+
+
+def test_legs_fail_alone(spark):
+    legs, failed = S.safe_legs({"good": lambda: spark.range(3), "bad": lambda: spark.table("nowhere"), "late": lambda: spark.range(1).select(F.raise_error(F.lit("late")))})
+    assert legs["good"].count() == 3 and set(failed) == {"bad", "late"}
+
+
+def test_dynamic_weights():
+    assert retrieval.dynamic_alpha(0.5, 2, 10, 10, 10) == 0.7 and retrieval.dynamic_alpha(0.5, 5, 0, 9, 10) == 1.0 and retrieval.dynamic_alpha(0.5, 5, 9, 0, 10) == 0.0
+    assert retrieval.dynamic_alpha(0.75, 5, 1, 9, 10) == 0.8 and retrieval.dynamic_alpha(0.25, 5, 9, 1, 10) == 0.2 and retrieval.dynamic_alpha(0.4, 5, 0, 0, 10) == 0.4
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_percentiles_and_blocked_search_at_any_block_size(spark, monkeypatch, size):
+    rng = np.random.default_rng(size)
+    rows = [(int(q), float(round(s, 2))) for q in range(3) for s in rng.normal(size=[1, 2, 200][q])]
+    df = spark.createDataFrame(rows, "qid int, score double")
+    got = {r["qid"]: (r["p0"], r["p1"]) for r in retrieval.percentiles(df, ["qid"], "score", [0.5, 0.95], bins=[1, 0, 0, 64][size]).collect()}
+    for q in range(3):
+        assert got[q] == pytest.approx(tuple(np.percentile([s for i, s in rows if i == q], [50, 95])))
+    monkeypatch.setattr(retrieval, "BLOCK", 10 * size)
+    x = rng.normal(size=(120, 8))
+    x[5] = x[6] = x[7] * 3
+    e = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, v array<double>, label int").repartition(5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 12)
+    for most in (1_000, 10):
+        monkeypatch.setattr(retrieval, "SMALL_QUERIES", most)
+        found = {(r["qid"], r["id"]) for r in retrieval.blocked_topk(e.where("id % 5 = 0").select(F.col("id").alias("qid"), "v"), e, 4, 8).collect()}
+        assert found == {(q, j) for q in range(0, 120, 5) for j in sorted((j for j in range(120) if j != q), key=lambda j: (-cos[q, j], j))[:4]}
+
+
+def test_lease(spark, tmp_path):
+    from graphloom.operators.sinks import Lease
+
+    lease = Lease(spark, str(tmp_path))
+    assert lease.take("a", 100.0, 30) and not lease.take("b", 110.0, 30) and lease.take("a", 120.0, 30) and not lease.take("b", 145.0, 30) and lease.take("b", 151.0, 30)
+    assert lease.holder() == ("b", 151.0) and not lease.release("a") and lease.release("b") and lease.holder() is None
+
+
+def test_page_prefixes():
+    from graphloom.operators.sinks import prefixed
+
+    names, short = prefixed(["project/config/docs/a", "project/config/docs/b", "project/config/x", "y"])
+    back = [names[v.split("/")[0]] + v[len(v.split("/")[0]) :] if v.startswith("@") else v for v in short]
+    assert back == ["project/config/docs/a", "project/config/docs/b", "project/config/x", "y"] and sum(map(len, short)) < 50
