@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,16 @@ def kind_of(path: Column) -> Column:
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, length, modified) of all files below a folder; contents are never opened."""
+    """(path, kind, length, modified) of all files below a folder; contents are never opened.
+
+    A scan passes over empty files, so these are added from the listing it was made from, with length 0 and no time.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select("path", kind_of(F.col("path")).alias("kind"), "length", F.col("modificationTime").alias("modified"))
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()]
+    plain = found.select("path", "length", F.col("modificationTime").alias("modified")).withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
+    empty = spark.createDataFrame(listed, "path string").join(plain.select("path"), "path", "left_anti")
+    both = plain.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified")))
+    return both.select("path", kind_of(F.col("path")).alias("kind"), "length", "modified")
 
 
 def decoded(content: Column) -> Column:
