@@ -89,6 +89,29 @@ def dependency_paths(edges: DataFrame, starts: DataFrame, direction: str = "down
     return walked.select("start", "end", "depth", signature(F.col("nodes"), F.col("rels")).alias("path")).distinct()
 
 
+def bridged_paths(edges: DataFrame, starts: DataFrame, owners: DataFrame, depth: int = 3) -> DataFrame:
+    """(start, end, depth, path): node-simple paths on which an element may hand over to its owner for free.
+
+    ``owners`` is (element, owner, itself): after a hop to an element the path goes on from its owner and, where
+    ``itself`` holds, from the element too. A hand-over adds no depth and ends no path, but its owner counts as
+    visited. Paths of the same text come out once.
+    """
+    steps = edges.select("src", "dst", "rel").distinct()
+    own = owners.select(F.col("element").alias("end"), "owner", "itself").distinct()
+    front = starts.select("start").distinct().select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), F.col("start").alias("path"))
+    found: DataFrame | None = None
+    for level in range(1, clamp(depth) + 1):
+        hop = front.join(steps, F.col("end") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        hop = cut(hop.select("start", F.col("dst").alias("end"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("path", F.lit(" -["), "rel", F.lit("]-> "), "dst").alias("path")))
+        rows = hop.select("start", "end", F.lit(level).alias("depth"), "path").distinct()
+        found = rows if found is None else found.unionByName(rows)
+        handed = hop.join(own, "end", "left")
+        alone = handed.where(F.col("owner").isNull() | F.col("itself")).select("start", "end", "nodes", "path")
+        over = handed.where(F.col("owner").isNotNull() & ~F.array_contains("nodes", F.col("owner"))).select("start", F.col("owner").alias("end"), F.concat("nodes", F.array("owner")).alias("nodes"), F.concat("path", F.lit(" => "), "owner").alias("path"))
+        front = alone.unionByName(over)
+    return found.distinct()
+
+
 def page_of_paths(paths: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of paths by (depth, path) with its number from 1; a path is the unit of the page.
 

@@ -130,6 +130,32 @@ def tool_dependency_paths(spark, d):
     return signed.groupBy("rels").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("start").alias("starts"))
 
 
+_BRIDGE = f"""WITH RECURSIVE {MQ._U.removeprefix("WITH ")}, {K._CALLS}, o AS (SELECT project, category, object_name, object_qn FROM m),
+    e AS (SELECT DISTINCT us.object_qn AS src, o.object_qn AS dst, 'USED_IN' AS rel FROM us JOIN o ON o.project = split_part(us.object_qn, '/', 1) AND o.category = us.target_category AND o.object_name = us.target_name WHERE us.object_qn <> o.object_qn
+        UNION SELECT caller, callee, 'CALLS' FROM calls UNION SELECT owner_qn, callee, 'OWNS_CALL' FROM calls JOIN r ON r.id = calls.caller WHERE owner_qn IS NOT NULL),
+    ow AS (SELECT id AS element, owner_qn AS owner FROM r WHERE owner_qn IS NOT NULL), ways AS (SELECT unnest([0, 1]) AS way),
+    w AS (SELECT src AS start, src AS node, [src] AS nodes, src AS path, 0 AS depth, 0 AS way FROM (SELECT DISTINCT src FROM e)
+        UNION ALL SELECT w.start, CASE WHEN ways.way = 1 THEN ow.owner ELSE e.dst END, CASE WHEN ways.way = 1 THEN list_append(list_append(w.nodes, e.dst), ow.owner) ELSE list_append(w.nodes, e.dst) END,
+            w.path || ' -[' || e.rel || ']-> ' || e.dst || CASE WHEN ways.way = 1 THEN ' => ' || ow.owner ELSE '' END, w.depth + 1, ways.way
+        FROM w JOIN e ON e.src = w.node CROSS JOIN ways LEFT JOIN ow ON ow.element = e.dst WHERE w.depth < 3 AND NOT list_contains(w.nodes, e.dst) AND (ways.way = 0 OR (ow.owner IS NOT NULL AND NOT list_contains(w.nodes, ow.owner))))"""
+
+
+@query(f'{_BRIDGE} SELECT DISTINCT start, node AS "end", CAST(depth AS BIGINT) AS depth, path FROM w WHERE depth > 0 AND way = 0')
+def bridged_paths(spark, d):
+    """Paths of up to three hops from everything that uses or calls; a routine hands over to its owner for free."""
+    o = cut(MQ._objects(spark, d))
+    u = M.usages(M.elements(o)).withColumn("project", F.get(F.split("object_qn", "/"), F.lit(0)))
+    target = o.select(F.col("object_qn").alias("dst"), "project", F.col("category").alias("target_category"), F.col("object_name").alias("target_name"))
+    used = u.join(target, ["project", "target_category", "target_name"]).select(F.col("object_qn").alias("src"), "dst", F.lit("USED_IN").alias("rel")).where("src <> dst")
+    r = cut(K._routines(spark, d, "owner_qn"))
+    calls = cut(K._calls(spark, d)).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("CALLS").alias("rel"))
+    owned = calls.join(r.select(F.col("id").alias("src"), "owner_qn"), "src").where("owner_qn is not null").select(F.col("owner_qn").alias("src"), "dst", F.lit("OWNS_CALL").alias("rel"))
+    edges = cut(used.unionByName(calls).unionByName(owned).distinct())
+    owners = r.where("owner_qn is not null").select(F.col("id").alias("element"), F.col("owner_qn").alias("owner"), F.lit(True).alias("itself"))
+    found = graph.bridged_paths(edges, edges.select(F.col("src").alias("start")), owners, 3)
+    return found.select("start", "end", F.col("depth").cast("long").alias("depth"), "path")
+
+
 # --- sinks
 
 
