@@ -22,7 +22,7 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int, node_simple: bool =
     ``edges`` are (src, dst, rel), of ``starts`` (start). Paths come out once; their number is bounded only
     by the depth, which is at most MAX_DEPTH.
     """
-    steps = edges.select("src", "dst", "rel").distinct()
+    steps = cut(edges.select("src", "dst", "rel").distinct())
     empty = F.array().cast("array<string>")
     front = starts.select("start").distinct().select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), empty.alias("rels"), empty.alias("used"))
     found: DataFrame | None = None
@@ -32,7 +32,7 @@ def trails(edges: DataFrame, starts: DataFrame, depth: int, node_simple: bool =
         front = front.join(steps, F.col("end") == F.col("src")).where(free).select(
             "start", F.col("dst").alias("end"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"), F.concat("used", F.array(edge)).alias("used")
         )
-        if level > 2:
+        if level > 1:
             front = cut(front)
         rows = front.select("start", "end", F.lit(level).alias("depth"), "nodes", "rels")
         found = rows if found is None else found.unionByName(rows)
@@ -44,7 +44,7 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int | None = None) ->
 
     Level by level with an anti join against what is known, so cycles end; without ``depth`` to the fixpoint.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     known = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
     front, level = known, 0
     while depth is None or level < depth:
@@ -96,7 +96,7 @@ def bridged_paths(edges: DataFrame, starts: DataFrame, owners: DataFrame, depth:
     ``itself`` holds, from the element too. A hand-over adds no depth and ends no path, but its owner counts as
     visited. Paths of the same text come out once.
     """
-    steps = edges.select("src", "dst", "rel").distinct()
+    steps = cut(edges.select("src", "dst", "rel").distinct())
     own = owners.select(F.col("element").alias("end"), "owner", "itself").distinct()
     front = starts.select("start").distinct().select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), F.col("start").alias("path"))
     found: DataFrame | None = None

@@ -195,7 +195,7 @@ def tool_between_owners(spark, d):
 )
 def tool_call_subtree(spark, d):
     """The first five paths of up to three calls from and to every routine, edge by edge."""
-    return T.subtree(_edges(spark, d), _routines(spark, d, "name").select(F.col("id").alias("start")), "both", 3, 5)
+    return T.subtree(_edges(spark, d), _routines(spark, d, "name").select(F.col("id").alias("start")), "both", 3, 5).withColumn("path_no", F.col("path_no").cast("long"))
 
 
 # --- search of code
