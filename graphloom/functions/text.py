@@ -208,12 +208,33 @@ def number_ranges(numbers: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(numbers)), start, step, shown)
 
 
+# Named characters of HTML that texts in Russian, English and German use.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "laquo": "«", "raquo": "»", "ldquo": "“", "rdquo": "”", "bdquo": "„", "lsquo": "‘", "rsquo": "’", "mdash": "—", "ndash": "–", "hellip": "…", "bull": "•",
+    "sect": "§", "copy": "©", "reg": "®", "deg": "°", "times": "×", "plusmn": "±", "euro": "€", "shy": "", "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é",
+}
+
+
+def characters(text: Column) -> Column:
+    """A text with its character references, named or numbered, taken back; unknown ones stay, ``&amp;`` is the last."""
+    table = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit("(&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});)"), F.lit(1))), lambda e: e != "&amp;")
+
+    def meant(e: Column) -> Column:
+        name = F.regexp_replace(e, "[&;]", "")
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).try_cast("int")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        numbered = F.when(name.startswith("#") & valid, F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32"))
+        return F.coalesce(numbered, F.element_at(table, name), e)
+
+    plain = F.aggregate(found, text, lambda t, e: F.replace(t, e, meant(e)))
+    return F.when(text.contains("&"), F.replace(plain, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text of HTML: scripts, styles, comments and tags out, entities back, blanks joined."""
+    """Visible text of HTML: scripts, styles, comments and tags out, character references back, blanks joined."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    bare = characters(F.regexp_replace(bare, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -25,6 +25,47 @@ def merged_nodes(old: DataFrame, new: DataFrame, key: str, identity: list[str],
     return first.join(props, key, "left").select(key, *identity, F.coalesce(properties, empty).alias(properties))
 
 
+def load(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], folder: str, key: str = "id") -> dict[str, int]:
+    """Writes a model: all node tables first, once for each key, then each edge table without the links that lack an end; gives the rows of each table.
+
+    Ends are looked up in what was written, so the order of the edge tables does not matter.
+    """
+    written: dict[str, int] = {}
+    known: DataFrame | None = None
+    for name, rows in nodes.items():
+        rows.dropDuplicates([key]).write.mode("overwrite").parquet(f"{folder}/nodes/{name}")
+        back = rows.sparkSession.read.parquet(f"{folder}/nodes/{name}")
+        written[name] = back.count()
+        ids = back.select(F.col(key).alias("id"))
+        known = ids if known is None else known.unionByName(ids)
+    for name, rows in edges.items():
+        kept = rows
+        for end in ("src", "dst"):
+            kept = kept.join(known.withColumnRenamed("id", end), end, "left_semi")
+        kept.dropDuplicates(["src", "dst"]).write.mode("overwrite").parquet(f"{folder}/edges/{name}")
+        written[name] = rows.sparkSession.read.parquet(f"{folder}/edges/{name}").count()
+    return written
+
+
+def write_text(spark: SparkSession, path: str, text: str, archive: str | None = None) -> None:
+    """A small artifact in one piece: written beside its place and renamed into it; what was there before goes to ``archive`` if one is named."""
+    jvm = spark.sparkContext._jvm
+    final, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(final):
+        if archive is not None:
+            target = jvm.org.apache.hadoop.fs.Path(archive)
+            if target.getParent() is not None:
+                fs.mkdirs(target.getParent())
+            fs.rename(final, target)
+        else:
+            fs.delete(final, False)
+    fs.rename(fresh, final)
+
+
 def write_index(docs: DataFrame, key: str, words: Column, folder: str, epoch: int) -> None:
     """The inverted index of one epoch as three tables: postings by token range, document frequencies, corpus statistics."""
     posted = retrieval.postings(docs, key, words)

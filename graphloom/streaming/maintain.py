@@ -8,10 +8,12 @@ compared by their load time, never dropped by a watermark.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from graphloom.operators import incremental, retrieval
 
@@ -101,3 +103,25 @@ def manifest(stream: DataFrame, folder: str, key: str = "path", stamps: tuple[st
 
     run(stream, f"{folder}/checkpoint", step)
     return versions.last()
+
+
+def confirmed_removals(stream: DataFrame, needed: int = 1, needed_malformed: int = 2) -> DataFrame:
+    """(scope, cycle, misses, remove) after each batch of (scope, cycle, present, malformed): how often in a row a scope was missing.
+
+    The counter of each scope is the stream's keyed state. A scope seen again starts at 0; one whose source could not be
+    read must be missing ``needed_malformed`` times. Cycles of a batch are taken in their order; one that is not later
+    than the last is passed over, so a repeated listing counts once.
+    """
+
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, misses = state.get if state.exists else (-1, 0)
+        remove = False
+        for row in pd.concat(list(batches)).sort_values("cycle").itertuples():
+            if row.cycle > last:
+                last, misses = int(row.cycle), 0 if row.present else misses + 1
+                remove = misses >= (needed_malformed if row.malformed else needed)
+        state.update((last, misses))
+        yield pd.DataFrame({"scope": [key[0]], "cycle": [last], "misses": [misses], "remove": [remove]})
+
+    rows = stream.select("scope", F.col("cycle").cast("long").alias("cycle"), "present", "malformed")
+    return rows.groupBy("scope").applyInPandasWithState(count, "scope string, cycle long, misses int, remove boolean", "last long, misses int", "update", GroupStateTimeout.NoTimeout)

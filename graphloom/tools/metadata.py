@@ -102,19 +102,40 @@ def details(objects: DataFrame, mode: str, ref: str, excluded: tuple[str, ...] =
     return objects.where(rule).select("object_qn", F.explode(kept).alias("key", "value"))
 
 
-def resolve(objects: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref, tier, object_qn, candidates): what each reference means, by the first rule that finds anything.
+def resolved(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, tier, target, candidates): what each reference means, by the first rule that finds anything.
 
-    The rules: the whole qualified name, the name within any project (configuration/category/name), Category.Name,
-    the plain name. More than one object of that rule is ambiguous: the reference is then unresolved, with their number.
+    ``names`` is (tier, k, target): under which lower-case names each rule knows each target. More than one target of
+    that rule is ambiguous: the reference is then unresolved, with their number.
     """
-    rules = [F.col("object_qn"), F.concat_ws("/", "config", "category", "object_name"), F.concat_ws(".", "category", "object_name"), F.col("object_name")]
-    keys = F.array(*[F.struct(F.lit(i).alias("tier"), F.lower(r).alias("k")) for i, r in enumerate(rules)])
-    named = objects.select("object_qn", F.inline(keys))
-    counted = named.groupBy("tier", "k").agg(F.count(F.lit(1)).alias("candidates"), F.min("object_qn").alias("object_qn"))
+    counted = names.groupBy("tier", "k").agg(F.count_distinct("target").alias("candidates"), F.min("target").alias("target"))
     met = refs.select("ref").distinct().withColumn("k", F.lower(F.trim("ref"))).join(counted, "k", "left")
-    first = met.groupBy("ref").agg(F.min(F.struct("tier", "candidates", "object_qn")).alias("v"))
-    return first.select("ref", "v.tier", F.when(F.col("v.candidates") == 1, F.col("v.object_qn")).alias("object_qn"), F.coalesce("v.candidates", F.lit(0)).alias("candidates"))
+    first = met.groupBy("ref").agg(F.min(F.struct("tier", "candidates", "target")).alias("v"))
+    return first.select("ref", "v.tier", F.when(F.col("v.candidates") == 1, F.col("v.target")).alias("target"), F.coalesce("v.candidates", F.lit(0)).alias("candidates"))
+
+
+def _named(rows: DataFrame, target: str, rules: list[Column], first: int = 0) -> DataFrame:
+    keys = F.array(*[F.struct(F.lit(first + i).alias("tier"), F.lower(r).alias("k")) for i, r in enumerate(rules)])
+    return rows.select(F.col(target).alias("target"), F.inline(keys)).where("k is not null").select("tier", "k", "target")
+
+
+def resolve(objects: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, tier, object_qn, candidates): objects by the whole qualified name, the name within any project (configuration/category/name), Category.Name or the plain name."""
+    rules = [F.col("object_qn"), F.concat_ws("/", "config", "category", "object_name"), F.concat_ws(".", "category", "object_name"), F.col("object_name")]
+    return resolved(_named(objects, "object_qn", rules), refs).withColumnRenamed("target", "object_qn")
+
+
+def start_nodes(objects: DataFrame, routines: DataFrame, forms: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, tier, target, candidates): where a traversal begins, by seven rules in order.
+
+    The id of a routine; the qualified name of an object; that of a form; a name within any project; Category.Name;
+    Object.Routine; the plain name of an object. ``routines`` has id, owner_qn and name, ``forms`` form_qn.
+    """
+    owner = F.get(F.split("owner_qn", "/"), F.lit(3))
+    names = _named(routines, "id", [F.col("id")], 0).unionByName(_named(objects, "object_qn", [F.col("object_qn")], 1)).unionByName(_named(forms, "form_qn", [F.col("form_qn")], 2))
+    names = names.unionByName(_named(objects, "object_qn", [F.concat_ws("/", "config", "category", "object_name"), F.concat_ws(".", "category", "object_name")], 3))
+    names = names.unionByName(_named(routines, "id", [F.concat_ws(".", owner, F.col("name"))], 5)).unionByName(_named(objects, "object_qn", [F.col("object_name")], 6))
+    return resolved(names, refs)
 
 
 def card(objects: DataFrame, routines: DataFrame | None = None) -> DataFrame:

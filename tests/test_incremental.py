@@ -112,3 +112,44 @@ def test_safe_ranges_end_outside_of_blocks():
 def test_compression():
     assert chunks.compressed("Если А Тогда\n\tБ.В(А); // Г\nКонецЕсли;\nБ.В(А, Д)") == "А\nБ.В\nД"
     assert chunks.compressed(None) is None and chunks.compressed("") == "" and chunks.compressed("А") == "А"
+
+
+def test_load_and_artifacts(spark, tmp_path):
+    nodes = {"a": spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "id string, v int"), "b": spark.createDataFrame([("z", 3)], "id string, v int")}
+    edges = {"e": spark.createDataFrame([("x", "z"), ("x", "z"), ("x", "gone"), ("none", "y")], "src string, dst string"), "f": spark.createDataFrame([("z", "y")], "src string, dst string")}
+    assert sinks.load(nodes, edges, str(tmp_path / "m")) == {"a": 2, "b": 1, "e": 1, "f": 1}
+    path = str(tmp_path / "s.txt")
+    sinks.write_text(spark, path, "один")
+    sinks.write_text(spark, path, "два", str(tmp_path / "old" / "s1.txt"))
+    assert (tmp_path / "s.txt").read_text() == "два" and (tmp_path / "old" / "s1.txt").read_text() == "один" and not (tmp_path / "s.txt.new").exists()
+
+
+def test_start_nodes(spark):
+    from graphloom.tools import metadata as T
+
+    objects = spark.createDataFrame([("p/c/Документы/Заказ", "p", "c", "Документы", "Заказ"), ("q/c/Документы/Заказ", "q", "c", "Документы", "Заказ"), ("p/c/Отчеты/Итог", "p", "c", "Отчеты", "Итог")], "object_qn string, project string, config string, category string, object_name string")
+    routines = spark.createDataFrame([("r1", "p/c/Отчеты/Итог", "Собрать"), ("r2", None, "Без")], "id string, owner_qn string, name string")
+    forms = spark.createDataFrame([("p/c/Отчеты/Итог/Form/Ф",)], "form_qn string")
+    refs = spark.createDataFrame([(r,) for r in ("R1", "p/c/отчеты/итог", "p/c/Отчеты/Итог/Form/Ф", "c/Отчеты/Итог", "Отчеты.Итог", "Итог.Собрать", " итог ", "Заказ", "Документы.Заказ", "нет")], "ref string")
+    found = {r["ref"]: (r["tier"], r["target"], r["candidates"]) for r in T.start_nodes(objects, routines, forms, refs).collect()}
+    assert found == {
+        "R1": (0, "r1", 1), "p/c/отчеты/итог": (1, "p/c/Отчеты/Итог", 1), "p/c/Отчеты/Итог/Form/Ф": (2, "p/c/Отчеты/Итог/Form/Ф", 1), "c/Отчеты/Итог": (3, "p/c/Отчеты/Итог", 1), "Отчеты.Итог": (4, "p/c/Отчеты/Итог", 1),
+        "Итог.Собрать": (5, "r1", 1), " итог ": (6, "p/c/Отчеты/Итог", 1), "Заказ": (6, None, 2), "Документы.Заказ": (4, None, 2), "нет": (None, None, 0),
+    }
+
+
+def test_removals_are_confirmed_over_cycles(spark, tmp_path):
+    source = str(tmp_path / "cycles")
+    schema = "scope string, cycle long, present boolean, malformed boolean"
+    got = {}
+
+    def keep(batch, number):
+        got.update({r["scope"]: (r["cycle"], r["misses"], r["remove"]) for r in batch.collect()})
+
+    cycles = [[("a", 1, True, False), ("b", 1, False, False), ("c", 1, False, True)], [("a", 2, False, False), ("c", 2, False, True), ("c", 1, False, True)], [("a", 3, True, False), ("b", 3, True, False)]]
+    want = [{"a": (1, 0, False), "b": (1, 1, True), "c": (1, 1, False)}, {"a": (2, 1, True), "b": (1, 1, True), "c": (2, 2, True)}, {"a": (3, 0, False), "b": (3, 0, False), "c": (2, 2, True)}]
+    for rows, after in zip(cycles, want):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = maintain.confirmed_removals(spark.readStream.schema(schema).parquet(source))
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        assert got == after
