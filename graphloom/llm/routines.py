@@ -31,7 +31,7 @@ _LINE_END = re.compile(_NEWLINE)
 
 
 class _Bsl:
-    """The grammar of 1C modules, as far as routines and what may hide them need it."""
+    """The grammar of modules with Russian or English keywords, as far as routines and what may hide them need it."""
 
     newline = rx(_NEWLINE)
     comment = rx(r"//[^\r\n]*")
