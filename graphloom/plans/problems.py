@@ -91,5 +91,37 @@ _P6 = f"""WITH RECURSIVE e AS ({_links_sql("subsystem_edge")} UNION ALL {_links_
     UNION ALL SELECT u.t, u.node, min(r.node), -1 FROM up u JOIN ring r ON r.t = u.t AND r.node = u.above GROUP BY u.t, u.node"""
 
 
+_TRIM = r"nfc_normalize(regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
+_IGNORED = r'\."?(meta_uuid|description_embedding|description_embedding_model|description_embedding_updated_at)"?(\.|\[|$)'
+# Values as the sorted list of their nodes: path, kind and, of leaves, the value; numbers compare as such.
+_P3 = rf"""WITH r AS (SELECT row_number() OVER () AS i, {_TRIM.format("project_name")} AS p, {_TRIM.format("source_type")} AS t, {_TRIM.format("object_qn")} AS q, snapshot_no AS s, lower(trim(object_hash)) AS h, object_snapshot_json AS j, delivered_at AS d FROM metadata_object_hashes WHERE snapshot_no IS NOT NULL),
+    u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, t, q, s ORDER BY d DESC NULLS LAST, i) AS k FROM r) WHERE k = 1),
+    c AS (SELECT i, string_agg(n, chr(1) ORDER BY n) AS v FROM (SELECT u.i, x.fullkey || '=' || CASE WHEN x.type IN ('OBJECT', 'ARRAY', 'NULL') THEN x.type WHEN x.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(x.atom AS DOUBLE) AS VARCHAR) ELSE x.type || ':' || CAST(x.atom AS VARCHAR) END AS n
+        FROM u, json_tree(CASE WHEN json_valid(u.j) THEN u.j END) x WHERE json_valid(u.j) AND NOT regexp_matches(x.fullkey, '{_IGNORED}')) GROUP BY i),
+    w AS (SELECT u.*, c.v FROM u LEFT JOIN c USING (i)), cal AS (SELECT p, t, s, lag(s) OVER (PARTITION BY p, t ORDER BY s) AS before, lead(s) OVER (PARTITION BY p, t ORDER BY s) AS after FROM (SELECT DISTINCT p, t, s FROM u)),
+    ch AS (SELECT n.p, n.t, n.q, n.s, CASE WHEN o.q IS NULL THEN 'added' ELSE 'changed' END AS kind, o.j AS oj, n.j AS nj FROM w n JOIN cal ON cal.p = n.p AND cal.t = n.t AND cal.s = n.s LEFT JOIN w o ON o.p = n.p AND o.t = n.t AND o.q = n.q AND o.s = cal.before
+            WHERE cal.before IS NOT NULL AND (o.q IS NULL OR CASE WHEN o.v IS NOT NULL AND n.v IS NOT NULL THEN o.v <> n.v ELSE o.h IS DISTINCT FROM n.h END)
+        UNION ALL SELECT o.p, o.t, o.q, cal.after, 'removed', o.j, NULL FROM w o JOIN cal ON cal.p = o.p AND cal.t = o.t AND cal.s = o.s LEFT JOIN w n ON n.p = o.p AND n.t = o.t AND n.q = o.q AND n.s = cal.after WHERE cal.after IS NOT NULL AND n.q IS NULL)"""
+_NAMES = "p AS project_name, t AS source_type, q AS object_qn, s AS snapshot_no, kind AS change_kind"
+
+
+def _paths_sql(name: str) -> str:
+    return f"""WITH RECURSIVE e AS ({_links_sql(name)}), nodes AS (SELECT c AS node FROM e UNION SELECT p FROM e WHERE p IS NOT NULL),
+    w AS (SELECT node, [node] AS line FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.c = n.node AND e.p IS NOT NULL) UNION ALL SELECT e.c, list_append(w.line, e.c) FROM w JOIN e ON e.p = w.node)"""
+
+
+def _path_rows(name: str) -> str:
+    return f"""{_paths_sql(name)} SELECT '{name}' AS edge_table, node AS node_qn, array_to_string(line, ' > ') AS path, CAST(len(line) - 1 AS INTEGER) AS depth FROM w
+    UNION ALL SELECT '{name}', node, NULL, -1 FROM nodes ANTI JOIN w USING (node)"""
+
+
+def _member_rows(name: str) -> str:
+    return f"{_paths_sql(name)} SELECT '{name}' AS edge_table, line[i] AS ancestor_qn, node AS node_qn, CAST(len(line) - i AS INTEGER) AS distance FROM (SELECT node, line, unnest(range(1, len(line))) AS i FROM w)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": _P6}
+    return {
+        "p3_found": f"{_P3} SELECT {_NAMES} FROM ch", "p3_changes": f"{_P3} SELECT {_NAMES}, oj AS old_value, nj AS new_value FROM ch",
+        "p3_change_counts": f"{_P3} SELECT p AS project_name, t AS source_type, s AS snapshot_no, kind AS change_kind, count(*) AS objects FROM ch GROUP BY ALL",
+        "p6_found": _P6, "p6_subsystem_paths": _path_rows("subsystem_edge"), "p6_control_paths": _path_rows("child_rel"), "p6_subsystem_members": _member_rows("subsystem_edge"), "p6_control_members": _member_rows("child_rel"),
+    }
