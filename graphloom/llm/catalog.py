@@ -138,5 +138,18 @@ _P5 = f"""WITH v AS ({_usable("routine", "id", "code_embedding")} UNION ALL {_us
     SELECT DISTINCT f AS field_name, least(a, b) AS id_a, greatest(a, b) AS id_b FROM n"""
 
 
+# The greedy walk of p4: line ends with their kinds are listed once a body, blanks are looked for only where no line ends.
+_P4 = r"""WITH RECURSIVE b AS (SELECT id, body, length(body) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS k FROM routine) WHERE k = 1 AND length(body) > 3600),
+    l AS (SELECT id, line, i, count(*) OVER (PARTITION BY id) AS m, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY i) AS z FROM (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b)),
+    e AS (SELECT id, list(struct_pack(z := z, kind := CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 0 WHEN ends_with(rtrim(line, ' ' || chr(9) || chr(13)), ';') THEN 1 ELSE 2 END) ORDER BY z) AS ends FROM l WHERE i < m GROUP BY id),
+    t AS (SELECT b.id, b.body, b.n, coalesce(e.ends, []) AS ends FROM b LEFT JOIN e USING (id)),
+    w AS (SELECT id, -1 AS part, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS till, CAST(0 AS BIGINT) AS nxt FROM t
+        UNION ALL SELECT id, part + 1, s, till, CASE WHEN till = n THEN NULL ELSE coalesce(list_min(list_transform(list_filter(ends, lambda x: x.z BETWEEN till - 720 AND till - 480), lambda x: x.z)), till - 720) END FROM (
+            SELECT id, part, s, n, ends, CAST(CASE WHEN n - s <= 3600 THEN n WHEN len(can) > 0 THEN list_max(list_transform(list_filter(can, lambda x: x.kind = list_min(list_transform(can, lambda y: y.kind))), lambda x: x.z))
+                ELSE s + coalesce(nullif(3100 + length(regexp_extract(substring(body, s + 3101, 500), '(?s)^.*[ \t]')), 3100), 3600) END AS BIGINT) AS till
+            FROM (SELECT t.id, w.part, w.nxt AS s, t.n, t.body, t.ends, list_filter(t.ends, lambda x: x.z BETWEEN w.nxt + 3101 AND w.nxt + 3600) AS can FROM w JOIN t USING (id) WHERE w.nxt IS NOT NULL)))
+    SELECT id AS routine_id, CAST(part AS INTEGER) AS part_index, CAST(s AS INTEGER) AS char_start, CAST(till AS INTEGER) AS char_end FROM w WHERE part >= 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_conversations": _P1_TEXTS, "p5_found": _P5}
+    return {"p1_found": _P1, "p1_conversations": _P1_TEXTS, "p4_found": _P4, "p5_found": _P5}
