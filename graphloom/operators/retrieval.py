@@ -22,8 +22,9 @@ BINS = 4_096
 BLOCK = 4_096
 
 
-def small(df: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``most`` rows and for a merge join otherwise; call it on cheap or cut rows."""
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``most`` rows (SMALL_SIDE by default) and for a merge join otherwise; call it on cheap or cut rows."""
+    most = SMALL_SIDE if most is None else most
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
 
 

@@ -178,3 +178,27 @@ def test_page_prefixes():
     names, short = prefixed(["project/config/docs/a", "project/config/docs/b", "project/config/x", "y"])
     back = [names[v.split("/")[0]] + v[len(v.split("/")[0]) :] if v.startswith("@") else v for v in short]
     assert back == ["project/config/docs/a", "project/config/docs/b", "project/config/x", "y"] and sum(map(len, short)) < 50
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_scores_equal_the_formula_on_both_sides_of_the_switch(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "SMALL_SIDE", most)
+    rng = random.Random(3)
+    docs = {i: [rng.choice("abcdefg") * 3 for _ in range(rng.randrange(9))] for i in range(40)} | {90: []}
+    queries = {1: ["aaa", "bbb", "aaa"], 2: ["ggg", "zzz"], 3: ["zzz"]}
+    df = spark.createDataFrame(list(docs.items()), "id long, w array<string>")
+    asked = spark.createDataFrame([(q, t, ts.count(t)) for q, ts in queries.items() for t in set(ts)], "qid int, token string, qtf long")
+    found = {(r["qid"], r["id"]): r["score"] for r in retrieval.bm25(df, F.col("w"), asked, "id").collect()}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df_of = {t: sum(t in d for d in docs.values()) for t in "aaa bbb ggg zzz".split()}
+    want = {}
+    for q, ts in queries.items():
+        for i, d in docs.items():
+            parts = [np.log(1 + (len(docs) - df_of[t] + 0.5) / (df_of[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in ts if t in d]
+            if parts:
+                want[q, i] = sum(parts)
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+    normed = {(r["qid"], r["id"]): r["norm"] for r in retrieval.minmax(spark.createDataFrame([(*k, v) for k, v in want.items()], "qid int, id long, score double"), ["qid"], 1.0).collect()}
+    for q in (1, 2):
+        values = [v for (k, _), v in want.items() if k == q]
+        assert all(normed[q, i] == pytest.approx((v - min(values)) / (max(values) - min(values))) for (k, i), v in want.items() if k == q)
