@@ -198,7 +198,7 @@ def test_scores_equal_the_formula_on_both_sides_of_the_switch(spark, monkeypatch
             if parts:
                 want[q, i] = sum(parts)
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
-    normed = {(r["qid"], r["id"]): r["norm"] for r in retrieval.minmax(spark.createDataFrame([(*k, v) for k, v in want.items()], "qid int, id long, score double"), ["qid"], 1.0).collect()}
+    normed = {(r["qid"], r["id"]): r["norm"] for r in retrieval.minmax(spark.createDataFrame([(*k, float(v)) for k, v in want.items()], "qid int, id long, score double"), ["qid"], 1.0).collect()}
     for q in (1, 2):
         values = [v for (k, _), v in want.items() if k == q]
         assert all(normed[q, i] == pytest.approx((v - min(values)) / (max(values) - min(values))) for (k, i), v in want.items() if k == q)
