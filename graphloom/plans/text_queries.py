@@ -62,7 +62,7 @@ def synonym_expand(spark, d):
     return _r(spark, d, "name").select("id", F.array_join(X.synonym_tokens(X.tokens(F.col("name")), _SYN, 2), " ").alias("words"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(trim(coalesce(text, ''), ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: lower(trim(translate(w, '"''()[]{}:^*+-', '             '), ' '))), lambda w: length(w) >= 3)[1:200000], ' ') AS words FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(trim(coalesce(text, ''), ' '), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: lower(trim(translate(w, '"''()[]{}:^*+-', '             '), ' '))), lambda w: length(w) >= 3), ' ') AS words FROM documents""")
 def fts_words(spark, d):
     """Every document as terms of a full-text query, repeated ones and all."""
     bare = F.transform(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.lower(F.trim(F.translate(w, "\"'()[]{}:^*+-", " " * 13))))
@@ -184,9 +184,10 @@ def redundant_synonyms(spark, d):
 @query(f"SELECT category_name, c FROM (SELECT DISTINCT category_name, unnest([category_name, upper(category_name), lower(category_name)]) AS c FROM {OBJ}) WHERE category_name IS NOT NULL")
 def canonical_categories(spark, d):
     """Categories by names in any case: each name leads to its category."""
-    names = K._objects(spark, d, "category_name").select("category_name").where("category_name is not null").distinct().limit(1_000).collect()
-    rows = [(c, n) for r in names for n in {r[0], r[0].upper(), r[0].lower()} for c in P.canonical_categories([n])]
-    return spark.createDataFrame(rows, "category_name string, c string")
+    known = spark.createDataFrame([(n.lower(), c) for c in P.CATEGORY_NAMES for n in (c, *P.CATEGORY_NAMES[c])], "k string, c string")
+    o = K._objects(spark, d, "category_name").where("category_name is not null").select("category_name").distinct()
+    asked = o.select("category_name", F.explode(F.array("category_name", F.upper("category_name"), F.lower("category_name"))).alias("n")).distinct()
+    return asked.join(F.broadcast(known), F.lower("n") == F.col("k")).select(F.col("c").alias("category_name"), F.col("n").alias("c"))
 
 
 @query()
