@@ -205,7 +205,7 @@ def number_ranges(numbers: Column) -> Column:
         goes_on = s["b"].isNotNull() & (x == s["b"] + 1)
         return F.struct(F.when(goes_on, s["done"]).otherwise(shown(s)).alias("done"), F.when(goes_on, s["a"]).otherwise(x).alias("a"), x.alias("b"))
 
-    return F.aggregate(F.array_sort(F.array_distinct(numbers)), start, step, shown)
+    return F.aggregate(F.array_sort(F.array_distinct(numbers.cast("array<bigint>"))), start, step, shown)
 
 
 # Named characters of HTML that texts in Russian, English and German use.

@@ -105,3 +105,31 @@ def map_changes(before: Column, after: Column, excluded: list[str]) -> Column:
     """The keys of two property maps whose values differ, those on one side only included, sorted."""
     both = F.map_zip_with(before, after, lambda k, x, y: ~x.eqNullSafe(y) & ~k.isin(*excluded))
     return F.array_sort(F.map_keys(F.map_filter(both, lambda k, v: v)))
+
+
+#: Numbers of one piece of a group when its runs are looked for.
+RUN_PIECE = 4_096
+
+
+def number_runs(rows: DataFrame, by: list[str], number: str) -> DataFrame:
+    """(by…, a, b): the runs of consecutive integers of each group, repeated and null ones aside.
+
+    A group is cut into pieces of RUN_PIECE neighbouring numbers; runs are found piece by piece and then joined
+    where one ends next to another's start, so a large group costs a task only its runs.
+    """
+
+    def joined(d: DataFrame, within: list[str], a: str, b: str) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(a)
+        fresh = F.when(F.col(a) > F.lag(b).over(order) + 1, 1).otherwise(0)
+        marked = d.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(order))
+        return marked.groupBy(*within, "_g").agg(F.min(a).alias("a"), F.max(b).alias("b")).drop("_g")
+
+    n = rows.where(F.col(number).isNotNull()).select(*by, F.col(number).cast("long").alias("n"))
+    pieces = n.withColumn("_p", F.floor(F.col("n") / RUN_PIECE)).distinct().withColumn("m", F.col("n"))
+    return joined(joined(pieces, [*by, "_p"], "n", "m").drop("_p"), by, "a", "b")
+
+
+def runs_text(runs: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by…, name): the runs of each group as text in order: ``1..5`` or a single number, joined by ``|``."""
+    one = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat(F.col("a").cast("string"), F.lit(".."), F.col("b").cast("string")))
+    return runs.withColumn("_t", one).groupBy(*by).agg(F.expr("listagg(_t, '|') within group (order by a)").alias(name))

@@ -323,7 +323,7 @@ def rights_deny_wins(spark, d):
 def numbered_collapse(spark, d):
     """Numbers of each user as ranges."""
     e = table(spark, d, "events").select("user_id", F.expr("event_id div 40").alias("n"))
-    return e.groupBy("user_id").agg(X.number_ranges(F.collect_set("n")).alias("ranges"))
+    return R.runs_text(R.number_runs(e, ["user_id"], "n"), ["user_id"], "ranges")
 
 
 @query(

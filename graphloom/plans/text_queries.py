@@ -172,7 +172,9 @@ def short_unions(spark, d):
 def name_series(spark, d):
     """Attributes whose names differ by a number only, as one name with ranges."""
     e = M.elements(MQ._objects(spark, d)).where("kind = 'attribute'").select("object_qn", X.numbered(F.col("name")).alias("p")).where("p is not null")
-    return e.groupBy("object_qn", F.col("p.prefix").alias("prefix"), F.col("p.suffix").alias("suffix")).agg(X.number_ranges(F.collect_set("p.number")).alias("r")).select("object_qn", F.concat("prefix", F.lit("["), "r", F.lit("]"), "suffix").alias("series"))
+    group = ["object_qn", "prefix", "suffix"]
+    runs = R.number_runs(e.select("object_qn", "p.prefix", "p.suffix", "p.number"), group, "number")
+    return R.runs_text(runs, group, "r").select("object_qn", F.concat("prefix", F.lit("["), "r", F.lit("]"), "suffix").alias("series"))
 
 
 @query(f"SELECT object_qn, a = b AND a <> '' AS redundant FROM (SELECT object_qn, lower(translate(regexp_replace(coalesce(object_name, ''), '[^0-9A-Za-zА-Яа-яЁё]+', '', 'g'), 'ёЁ', 'еЕ')) AS a, lower(translate(regexp_replace(coalesce(json_extract_string(j, '$.properties.\"Синоним\"'), ''), '[^0-9A-Za-zА-Яа-яЁё]+', '', 'g'), 'ёЁ', 'еЕ')) AS b FROM m)".join((MQ._M + " ", "")))

@@ -61,3 +61,15 @@ def test_long_texts_do_not_overflow(spark, size):
 
 def test_categories_and_policies():
     assert P.canonical_categories(["catalogs", "Общий модуль", "регистры", "нет", "Document"]) == ["Справочники", "ОбщиеМодули", "РегистрыСведений", "РегистрыНакопления", "Документы"]
+
+
+@pytest.mark.parametrize("piece", [1, 3, 4_096])
+def test_number_runs_at_any_piece(spark, monkeypatch, piece):
+    from graphloom.operators import relations as R
+
+    monkeypatch.setattr(R, "RUN_PIECE", piece)
+    rows = [("a", n) for n in (1, 2, 3, 3, 5, 7, 8, -1, 0, 10_000, 10_001, None)] + [("b", 4)]
+    df = spark.createDataFrame(rows, "g string, n int")
+    found = {r["g"]: r["t"] for r in R.runs_text(R.number_runs(df, ["g"], "n"), ["g"], "t").collect()}
+    assert found == {"a": "-1..3|5|7..8|10000..10001", "b": "4"}
+    assert values(spark, ["x"], lambda c: X.number_ranges(F.array(F.lit(3), F.lit(1), F.lit(2), F.lit(7)))) == ["1..3|7"]
