@@ -22,8 +22,8 @@ from graphloom.plans.session import cut, tasks_for
 #: Nodes of a tree that one task may hold; larger trees are ranked by distributed doubling.
 LOCAL_TREE = 100_000
 NODES_PER_TASK = 400_000
-#: First split of the children of one parent when they are chained as siblings.
-SIBLING_SPLIT = 256
+#: Children of one parent are chained as siblings in stretches of this many bits of their ids.
+SIBLING_BITS = 16
 #: Tour positions walked in one piece when lines of names are written, and characters of a batch of them.
 TOUR_BLOCK, BATCH_CHARS = 100_000, 8_000_000
 
@@ -45,17 +45,17 @@ _RANGE_BITS = 33
 
 
 def _numbered(links: DataFrame) -> DataFrame:
-    """(id, pid, edge_table, name, o): all names of the links; pid null for a root. Written, so ids stay.
+    """(id, pid, edge_table, name): all names of the links; pid null for a root. Written, so ids stay.
 
-    Ids are given in ranges of names: the high bits tell the range.
+    Ids follow the names, in UTF-8 byte order, table by table; their high bits tell the range of names.
     """
     ends = links.select("edge_table", "name", "parent").unionByName(
         links.where(F.col("parent").isNotNull()).select("edge_table", F.col("parent").alias("name"), F.lit(None).cast("string").alias("parent"))
     )
-    named = ends.groupBy("edge_table", "name").agg(F.max("parent").alias("parent")).repartitionByRange("edge_table", "name")
+    named = ends.groupBy("edge_table", "name").agg(F.max("parent").alias("parent")).repartitionByRange("edge_table", "name").sortWithinPartitions("edge_table", "name")
     nodes = cut(named.withColumn("id", F.monotonically_increasing_id()))
     up = nodes.select("edge_table", F.col("name").alias("parent"), F.col("id").alias("pid"))
-    return cut(nodes.join(up, ["edge_table", "parent"], "left").select("id", "pid", "edge_table", "name", F.xxhash64("name").alias("o")))
+    return cut(nodes.join(up, ["edge_table", "parent"], "left").select("id", "pid", "edge_table", "name"))
 
 
 def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +180,7 @@ def rank_lists(succ: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _tours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole trees (id, pid, root, o) of one task, toured together; arcs 2i enter node i and 2i+1 leave it."""
+    """Whole trees (id, pid, root) of one task, toured together, siblings by id; arcs 2i enter node i and 2i+1 leave it."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -189,7 +189,7 @@ def _tours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids)
     n = len(ids)
     parent = np.where(pids < 0, -1, order[np.searchsorted(ids, np.where(pids < 0, ids, pids), sorter=order)])
-    siblings = np.lexsort((ids, table.column("o").to_numpy(), parent))
+    siblings = np.lexsort((ids, parent))
     siblings = siblings[parent[siblings] >= 0]
     leave = np.arange(n) * 2 + 1
     succ = np.empty(2 * n, np.int64)
@@ -211,13 +211,13 @@ def _tours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _arcs(tree: DataFrame) -> DataFrame:
-    """(arc, ptr, w) of the Euler tours of (id, pid, o); the last arc of a tour has no ptr.
+    """(arc, ptr, w) of the Euler tours of (id, pid); the last arc of a tour has no ptr.
 
-    Siblings are chained within splits of a parent's children and then split by split, so no window holds
-    all children of one parent.
+    Siblings are chained by id, within stretches of ids and then stretch by stretch, so no window holds all children
+    of one parent.
     """
-    kids = tree.where(F.col("pid").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SIBLING_SPLIT)))
-    inner = Window.partitionBy("pid", "part").orderBy("o", "id")
+    kids = tree.where(F.col("pid").isNotNull()).withColumn("part", F.shiftright("id", SIBLING_BITS))
+    inner = Window.partitionBy("pid", "part").orderBy("id")
     chained = kids.select("id", "pid", "part", F.lead("id").over(inner).alias("next"), F.row_number().over(inner).alias("k"))
     heads = chained.where("k = 1").select("pid", "part", F.col("id").alias("head"))
     outer = Window.partitionBy("pid").orderBy("part")
@@ -262,13 +262,14 @@ def hierarchies(links: DataFrame, local_tree: int = LOCAL_TREE) -> DataFrame:
 
     A root has depth 0 and itself as root. A node on a cycle or below one has depth -1, the cycle's smallest
     name (UTF-8 byte order) as root and no positions. v is below u in a tree exactly if they have the same
-    root and entry(u) < entry(v) < exit(u); ``descendants`` counts them. Several tables may be mixed, each
+    root and entry(u) < entry(v) < exit(u); ``descendants`` counts them. Siblings follow each other by name in UTF-8
+    byte order. Several tables may be mixed, each
     is its own forest. No links give no rows.
     """
     spark = links.sparkSession
     nodes = _numbered(links)
     state, bound = _peel(nodes)
-    trees = nodes.join(state.where("ends").select("id", F.col("ptr").alias("root")), "id").select("id", "pid", "root", "o")
+    trees = nodes.join(state.where("ends").select("id", F.col("ptr").alias("root")), "id").select("id", "pid", "root")
     sizes = cut(trees.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     total, giants = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("size") > local_tree)).first()
     schema = "id long, root long, depth long, entry long, exit long"

@@ -119,8 +119,20 @@ def _member_rows(name: str) -> str:
     return f"{_paths_sql(name)} SELECT '{name}' AS edge_table, line[i] AS ancestor_qn, node AS node_qn, CAST(len(line) - i AS INTEGER) AS distance FROM (SELECT node, line, unnest(range(1, len(line))) AS i FROM w)"
 
 
+# Tours by name: before a node's entry stand two steps for each node ahead of it, less those still open.
+_P6_TOURS = f"""WITH RECURSIVE e AS ({_links_sql("subsystem_edge")} UNION ALL {_links_sql("child_rel")}), nodes AS (SELECT t, c AS node FROM e UNION SELECT t, p FROM e WHERE p IS NOT NULL),
+    w AS (SELECT t, node AS root, node, [node] AS line FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.t = n.t AND e.c = n.node AND e.p IS NOT NULL) UNION ALL SELECT w.t, w.root, e.c, list_append(w.line, e.c) FROM w JOIN e ON e.t = w.t AND e.p = w.node),
+    d AS (SELECT t, above, count(*) AS n FROM (SELECT t, unnest(line[1:len(line) - 1]) AS above FROM w) GROUP BY ALL),
+    r AS (SELECT t, node, root, len(line) - 1 AS depth, 2 * (row_number() OVER (PARTITION BY t, root ORDER BY line) - 1) - len(line) + 1 AS entry FROM w),
+    caught AS (SELECT n.t, n.node FROM nodes n ANTI JOIN w ON w.t = n.t AND w.node = n.node), up AS (SELECT u.t, u.node, e.p AS above FROM caught u JOIN e ON e.t = u.t AND e.c = u.node UNION SELECT up.t, up.node, e.p FROM up JOIN e ON e.t = up.t AND e.c = up.above),
+    ring AS (SELECT t, node FROM up WHERE node = above)
+    SELECT r.t AS edge_table, node AS node_qn, root AS root_qn, CAST(depth AS INTEGER) AS depth, CAST(entry AS BIGINT) AS entry, CAST(entry + 2 * coalesce(n, 0) + 1 AS BIGINT) AS "exit", CAST(coalesce(n, 0) AS BIGINT) AS descendants FROM r LEFT JOIN d ON d.t = r.t AND d.above = r.node
+    UNION ALL SELECT u.t, u.node, min(g.node), -1, NULL, NULL, NULL FROM up u JOIN ring g ON g.t = u.t AND g.node = u.above GROUP BY u.t, u.node"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_descendants": _P6_TOURS,
         "p3_found": f"{_P3} SELECT {_NAMES} FROM ch", "p3_changes": f"{_P3} SELECT {_NAMES}, oj AS old_value, nj AS new_value FROM ch",
         "p3_change_counts": f"{_P3} SELECT p AS project_name, t AS source_type, s AS snapshot_no, kind AS change_kind, count(*) AS objects FROM ch GROUP BY ALL",
         "p6_found": _P6, "p6_subsystem_paths": _path_rows("subsystem_edge"), "p6_control_paths": _path_rows("child_rel"), "p6_subsystem_members": _member_rows("subsystem_edge"), "p6_control_members": _member_rows("child_rel"),

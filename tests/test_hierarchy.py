@@ -70,7 +70,8 @@ def many_links(seed):
 
 
 @pytest.mark.parametrize("local", [10, 100_000])
-def test_roots_depths_and_cycles(spark, local):
+def test_roots_depths_and_cycles(spark, monkeypatch, local):
+    monkeypatch.setattr(hierarchy, "SIBLING_BITS", 1 if local == 10 else 16)
     rows = many_links(local)
     links = spark.createDataFrame([("e", c, p) for c, p in rows], "edge_table string, name string, parent string").repartition(7)
     parent = dict(rows)
@@ -87,6 +88,15 @@ def test_roots_depths_and_cycles(spark, local):
     found = hierarchy.hierarchies(links, local_tree=local).collect()
     assert len(found) == len(want)
     assert {r["node_qn"]: (r["root_qn"], r["depth"]) for r in found} == want
+    # Tours go down by name: the entry of a node is told by its place among the lines of its tree.
+    lines = {}
+    for node, (root, depth) in want.items():
+        line = [node]
+        while depth >= 0 and parent.get(line[0]) is not None:
+            line.insert(0, parent[line[0]])
+        lines.setdefault(root if depth >= 0 else None, []).append([x.encode() for x in line])
+    entries = {line[-1].decode(): 2 * i - len(line) + 1 for root, held in lines.items() if root for i, line in enumerate(sorted(held))}
+    assert {r["node_qn"]: r["entry"] for r in found if r["entry"] is not None} == entries
 
 
 def test_no_links(spark):
