@@ -2,9 +2,11 @@
 
 Method: additive quantisation. A coarse codebook and full-dimensional residual codebooks are trained on a
 bounded sample; each vector is encoded by beam search and filed, as a code with its stored norm, under its
-``PROBES`` nearest coarse cells. A vector then looks up its own cell: lookup tables of its products with the
-codebooks score all codes filed there, and the best are ranked again by their exact cosine. Where codes cannot
-tell more candidates apart than are kept, as in a dense group of near copies, the lookup is answered exactly.
+``PROBES`` nearest coarse cells. The code ends with a last book, two bits for each element of what the others leave
+over. A vector then looks up its own cell: lookup tables of its products with the codebooks score all codes filed
+there, the last book refines the scores of those that may be neighbours, and the best are ranked again by their exact
+cosine. Where codes cannot tell more candidates apart than are kept, as in a dense group of near copies, the lookup is
+answered exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.session import cut, tasks_for
+from graphloom.plans.session import cut, release, tasks_for
 
 #: Vectors of a field that the codebooks are trained on, at most.
 SAMPLE = 20_000
@@ -26,6 +28,8 @@ SAMPLE = 20_000
 BOOKS, ENTRIES, BEAM = 12, 64, 4
 #: Cells that hold each code, candidates kept for the exact ranking, and how far a code's score may fall short.
 PROBES, KEPT, SLACK = 10, 12, 0.26
+#: The last book: values of its two bits and bounds between them, best for normal deviates, and how far a refined score may fall short.
+FINE, FINE_BOUND, FINE_SLACK = np.array([-1.510, -0.4528, 0.4528, 1.510], np.float32), 0.9816, 0.08
 #: Entries of the two levels of the coarse codebook, at most: together enough cells for some 4 * 10^9 vectors.
 FIRST_CELLS, SECOND_CELLS = 8_192, 32
 #: Vectors that look up one cell in one task; a cell with more is split.
@@ -90,9 +94,19 @@ def train(sample: np.ndarray, vectors: int, seed: int = 7) -> Books:
     return Books(np.ascontiguousarray(coarse, np.float32), np.ascontiguousarray(books, np.float32))
 
 
-def encode_vectors(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, nearest first; code; norm of the decoded vector) of unit vectors, the code by beam search."""
-    n = len(x)
+def _filed(dim: int) -> np.dtype:
+    """A code with the norms of the decoded vector, without and with the last book."""
+    return np.dtype([("coarse", np.int32), ("norm", np.float32), ("code", np.uint8, (BOOKS,)), ("fine_norm", np.float16), ("scale", np.float16), ("fine", np.uint8, (-(-dim // 4),))])
+
+
+def _levels(fine: np.ndarray, dim: int) -> np.ndarray:
+    """Values of the last book, to be scaled."""
+    return FINE[(fine[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(len(fine), -1)[:, :dim]]
+
+
+def encode_vectors(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, nearest first; what is filed) of unit vectors, the code by beam search."""
+    n, dim = x.shape
     near = x @ books.coarse.T  # blocks of x keep this small
     probes = min(PROBES, near.shape[1])
     cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
@@ -111,8 +125,18 @@ def encode_vectors(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray,
         errors = np.take_along_axis(d, top, 1)
         codes = np.concatenate([np.take_along_axis(codes, beam[:, :, None], 1), entry[:, :, None].astype(np.uint8)], 2)
     best, rows = errors.argmin(1), np.arange(n)
-    norm = np.linalg.norm(x - rest[rows, best], axis=1).astype(np.float32)
-    return cells, codes[rows, best], np.maximum(norm, 1e-6)
+    rest = rest[rows, best]
+    filed = np.zeros(n, _filed(dim))
+    filed["coarse"], filed["code"] = cells[:, 0], codes[rows, best]
+    filed["norm"] = np.maximum(np.linalg.norm(x - rest, axis=1), 1e-6)
+    bound = FINE_BOUND * np.sqrt((rest * rest).mean(1, keepdims=True))
+    bits = np.zeros((n, 4 * filed["fine"].shape[1]), np.uint8)
+    bits[:, :dim] = (rest > -bound).astype(np.uint8) + (rest > 0) + (rest > bound)
+    filed["fine"] = (bits.reshape(n, -1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(2, dtype=np.uint8)
+    levels = FINE[bits[:, :dim]]
+    filed["scale"] = (rest * levels).sum(1) / (levels * levels).sum(1)
+    filed["fine_norm"] = np.linalg.norm(x - rest + filed["scale"].astype(np.float32)[:, None] * levels, axis=1)
+    return cells, filed
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -189,14 +213,16 @@ def _members(t: VectorTable, first: int, dim: int) -> DataFrame:
 
 # A slot is the field, cell, part of the cell and kind of a row in one number.
 _CELL_BITS, _PART_BITS = 22, 22
-_FILED = np.dtype([("coarse", np.int32), ("norm", np.float32), ("code", np.uint8, (BOOKS,))])
 
 
-def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
+def _search(books: dict[int, Books], dim: int, least: float):  # noqa: ANN202
     """Rows sorted by slot: the lookups (kind 0) of a part of a cell, then the codes filed in the cell.
 
-    A lookup with more candidates than KEPT has one more row, without b, with the best score left out.
+    A lookup with more candidates than KEPT has one more row, without b, with the best score left out. The
+    candidates are chosen by refined scores: the number of those that come within SLACK of ``least`` without the
+    last book grows with the table.
     """
+    rough, floor = least - SLACK, least - FINE_SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: int | None = None
@@ -224,7 +250,23 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
                     [pa.array([of] * len(a), pa.int32()), pa.array(marks[a]), pa.array([raw[i] for i in a], pa.binary()), b, rejected], names=["field", "a", "vec_a", "b", "rejected"]
                 )
 
-        def score(marks: np.ndarray, coarse: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> None:
+        def refined(s: np.ndarray, v: np.ndarray, block: np.ndarray) -> np.ndarray:
+            """Scores with the last book, -2 where s is or where they are under the floor."""
+            r, c = np.nonzero(s > -2.0)
+            if not len(r):
+                return s
+            norm, after = block["norm"], np.maximum(block["fine_norm"].astype(np.float32), 1e-6)
+            levels = _levels(block["fine"], dim) * block["scale"].astype(np.float32)[:, None]
+            if 8 * len(r) > s.size:
+                s = np.where(s > -2.0, (s * norm + v @ levels.T) / after, np.float32(-2.0))
+            else:
+                for k in range(0, len(r), 65_536):
+                    a, b = r[k : k + 65_536], c[k : k + 65_536]
+                    s[a, b] = (s[a, b] * norm[b] + np.einsum("ij,ij->i", v[a], levels[b])) / after[b]
+            s[s < floor] = -2.0
+            return s
+
+        def score(marks: np.ndarray, block: np.ndarray) -> None:
             nonlocal tables, best
             own = books[group >> (_CELL_BITS + _PART_BITS)]
             if tables is None:
@@ -233,13 +275,15 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
                 tables = m, np.einsum("nd,bed->bne", v, own.residual, optimize=True), v
                 best = np.full((len(m), KEPT + 1), -2.0, np.float32), np.zeros((len(m), KEPT + 1), np.int64)
             m, lut, v = tables
-            which, inverse = np.unique(coarse, return_inverse=True)
+            codes = block["code"]
+            which, inverse = np.unique(block["coarse"], return_inverse=True)
             s = np.take(v @ own.coarse[which].T, inverse, axis=1)
             for j in range(len(lut)):
                 s += np.take(lut[j], codes[:, j], axis=1)
-            s /= norm
-            s[s < floor] = -2.0
+            s /= block["norm"]
+            s[s < rough] = -2.0
             s[m[:, None] == marks[None, :]] = -2.0
+            s = refined(s, v, block)
             rows = np.flatnonzero((s > -2.0).any(1))
             if not len(rows):
                 return
@@ -265,12 +309,11 @@ def _search(books: dict[int, Books], dim: int, floor: float):  # noqa: ANN202
                 if kind == 0:
                     seekers.append((mark[i:j], _matrix(data, dim)))
                 elif seekers:
-                    filed = np.frombuffer(b"".join(data.to_pylist()), _FILED)
+                    filed = np.frombuffer(b"".join(data.to_pylist()), _filed(dim))
                     # Blocks keep the table of scores small.
                     step = max(64, 4_000_000 // max(1, sum(len(s[0]) for s in seekers)))
                     for k in range(0, j - i, step):
-                        block = filed[k : k + step]
-                        score(mark[i:j][k : k + step], block["coarse"], block["code"], block["norm"])
+                        score(mark[i:j][k : k + step], filed[k : k + step])
         yield from close()
 
     return run
@@ -334,7 +377,7 @@ def _exact_search(dim: int, least: float):  # noqa: ANN202
 def _crowded(hits: DataFrame, near: DataFrame, coded: DataFrame, books: dict[int, Books], dim: int, nearest: int, least: float) -> DataFrame | None:
     """(field, a, b, cosine): the exact neighbours of the lookups whose codes left out what may be one; None if there are none.
 
-    A candidate left out may be a neighbour if its score comes within SLACK of the ``nearest``-th cosine found.
+    A candidate left out may be a neighbour if its score comes within FINE_SLACK of the ``nearest``-th cosine found.
     Where such a lookup has ``nearest`` neighbours its cell is dense, the group may have many cells, and all
     lookups that file their codes in one of them are asked too. A lookup visits every region with a cell that can hold a vector that near: a vector's angle to its
     cell's centre lies between the least and the largest of the cell, and differs from the lookup's by no more
@@ -342,7 +385,7 @@ def _crowded(hits: DataFrame, near: DataFrame, coded: DataFrame, books: dict[int
     """
     spark = hits.sparkSession
     bar = near.groupBy("field", "a").agg(F.sort_array(F.collect_list("cosine"), asc=False).alias("c")).select("field", "a", F.get("c", F.lit(nearest - 1)).alias("bar"))
-    full = hits.where("b is null").join(bar, ["field", "a"], "left").where(F.col("rejected") + SLACK >= F.coalesce("bar", F.lit(least)))
+    full = hits.where("b is null").join(bar, ["field", "a"], "left").where(F.col("rejected") + FINE_SLACK >= F.coalesce("bar", F.lit(least)))
     full = cut(full.select("field", "a", "vec_a", "bar"))
     if not full.limit(1).count():
         return None
@@ -454,7 +497,7 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
         scans = scan if scans is None else scans.unionByName(scan)
         names += t.fields
     members = cut(members)
-    sized = members.groupBy("field", "mark").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    sized = cut(members.groupBy("field", "mark").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")))
     counts = {r["field"]: r["n"] for r in sized.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
     # Marks are hashes: a slice of their range is a random sample. Superseded vectors fall into it too, so each
     # field's is ordered and cut to SAMPLE rows before it is collected.
@@ -475,14 +518,13 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
             fields = b.column("field").to_numpy()
             x = _matrix(b.column("vec"), dim)
             cells: list = [None] * len(x)
-            filed = np.zeros(len(x), _FILED)
+            filed = np.zeros(len(x), _filed(dim))
             for f in np.unique(fields):
                 rows = np.flatnonzero(fields == f)
                 step = max(64, min(2_048, 32_000_000 // len(sent.value[int(f)].coarse)))
                 for k in range(0, len(rows), step):
                     at = rows[k : k + step]
-                    c, filed["code"][at], filed["norm"][at] = encode_vectors(x[at], sent.value[int(f)])
-                    filed["coarse"][at] = c[:, 0]
+                    c, filed[at] = encode_vectors(x[at], sent.value[int(f)])
                     for i, row in enumerate(at):
                         cells[row] = c[i]
             codes = [filed[i].tobytes() for i in range(len(x))]
@@ -492,6 +534,8 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
 
     current = scans.groupBy("field", "mark").agg(F.min("vec").alias("vec")).join(sized.select("field", "mark"), ["field", "mark"])
     coded = cut(current.select("field", "mark", "vec").mapInArrow(encode, "field int, mark long, vec binary, cells array<int>, code binary"))
+    del sampled
+    release(spark)
     # At most one row for each cell of each field: bounded by the size of the codebooks.
     parts = coded.groupBy("field", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOOKUPS)
     parts = parts.select("field", "cell", F.ceil(F.col("n") / LOOKUPS).cast("int").alias("parts"))
@@ -509,7 +553,8 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     filed = placed_rows(filed, F.explode(F.sequence(F.lit(0), in_cell - 1)), 1)
     tasks = tasks_for(spark, sum(counts.values()) * (PROBES + 1), ROWS_PER_TASK)
     placed = lookups.unionByName(filed).repartition(tasks, F.shiftright("slot", 1)).sortWithinPartitions("slot")
-    hits = cut(placed.mapInArrow(lambda it: _search(sent.value, dim, least - SLACK)(it), "field int, a long, vec_a binary, b long, rejected float"))
+    hits = cut(placed.mapInArrow(lambda it: _search(sent.value, dim, least)(it), "field int, a long, vec_a binary, b long, rejected float"))
+    release(spark)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -522,9 +567,13 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     targets = coded.select("field", F.col("mark").alias("b"), F.col("vec").alias("vec_b"))
     near = hits.where("b is not null").join(targets, ["field", "b"]).select("field", "a", "vec_a", "b", "vec_b").mapInArrow(exact, "field int, a long, b long, cosine double")
     near = cut(near)
+    release(spark)
     crowded = _crowded(hits, near, coded, books, dim, nearest, least)
     if crowded is not None:
         near = cut(near.unionByName(crowded))
+    # All that is left to do is about ids: the vectors, their codes and the candidates may go.
+    del coded, parts, lookups, filed, placed, hits, targets, crowded
+    release(spark)
     links = near.unionByName(near.select("field", F.col("b").alias("a"), F.col("a").alias("b"), "cosine")).groupBy("field", "a", "b").agg(F.max("cosine").alias("cosine"))
 
     # The first ids of each group of copies, one more than a member needs.
@@ -542,10 +591,11 @@ def similar_pairs(tables: list[VectorTable], dim: int = 64, nearest: int = 5, le
     ranked = ranked.join(info.select("field", F.col("mark").alias("a"), F.col("copies").alias("copies_a")), ["field", "a"])
     free = F.lit(nearest) - (F.col("copies_a") - 1) - F.col("taken")
     chosen = ranked.where(free > 0).select("field", F.col("a").alias("mark"), F.explode(F.slice("ids", F.lit(1), free.cast("int"))).alias("other"), "cosine")
-    among = info.where("copies > 1").select("field", "mark", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine"))
-    directed = members.join(chosen, ["field", "mark"]).select("field", "id", "other", "cosine")
-    copies = members.join(among, ["field", "mark"]).where("id <> other")
-    copies = copies.withColumn("k", F.row_number().over(Window.partitionBy("field", "id").orderBy("other"))).where(F.col("k") <= nearest).select("field", "id", "other", "cosine")
-    pairs = directed.unionByName(copies)
-    pairs = pairs.groupBy("field", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).agg(F.max("cosine").alias("cosine"))
+    ends = F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")
+    pairs = members.join(chosen, ["field", "mark"]).groupBy("field", *ends).agg(F.max("cosine").alias("cosine"))
+    # The ids of a group hold all that its members are paired with, so two of them would give their pair twice.
+    among = members.join(info.where("copies > 1").select("field", "mark", "ids"), ["field", "mark"])
+    among = among.select("field", "id", "ids", F.explode(F.expr(f"slice(filter(ids, x -> x <> id), 1, {int(nearest)})")).alias("other"))
+    copies = among.where(~F.array_contains("ids", F.col("id")) | (F.col("other") > F.col("id"))).select("field", *ends, F.lit(1.0).alias("cosine"))
+    pairs = pairs.unionByName(copies)
     return pairs.select(F.array(*[F.lit(n) for n in names])[F.col("field")].alias("field_name"), "id_a", "id_b", "cosine")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -64,6 +65,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which shuffle files and checkpoints that nothing refers to any more are deleted.
+
+    Spark itself does so every half hour or when the driver's memory fills; until then their disk stays taken.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks_for(df_or_spark: DataFrame | SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of partitions that holds ``rows`` at ``rows_per_task`` each, at least the session's own."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)

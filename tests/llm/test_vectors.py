@@ -68,3 +68,41 @@ def test_unusable_vectors_and_copies(spark):
     df = spark.createDataFrame(rows, "id string, v array<float>, loaded_at timestamp_ntz, field int")
     assert {(r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(df, "id", ["v"])]).collect()} == {("a", "b")}
     assert similar_pairs([VectorTable(df.where("false"), "id", ["v"])]).collect() == []
+
+
+def test_candidates_do_not_grow_with_the_vectors_of_a_topic(spark, monkeypatch):
+    """Vectors of a topic are alike, but no neighbours: few are shuffled as candidates or searched for exactly."""
+    rng = np.random.default_rng(3)
+    topics = rng.normal(size=(20, 64))
+    x = np.vstack([t + rng.normal(size=(200, 64)) * 0.68 for t in topics])
+    x = np.vstack([x, x[::40] + rng.normal(size=(100, 64)) * 0.25]).astype(np.float32)
+    ids = [f"r{i:05d}" for i in range(len(x))]
+    at = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, v.tolist(), at) for i, v in zip(ids, x)], "id string, v array<float>, loaded_at timestamp_ntz")
+    seen: list = []
+    crowded = vectors._crowded
+
+    def spied(hits, *rest):  # noqa: ANN001, ANN002, ANN202
+        seen.append((hits.count(), hits.where("b is null").count()))
+        return crowded(hits, *rest)
+
+    monkeypatch.setattr(vectors, "_crowded", spied)
+    found = {(r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(df, "id", ["v"])]).collect()}
+    want = brute_force(ids, x)
+    assert len(want) >= 100
+    assert len(found & want) >= 0.99 * len(want)
+    assert len(found & want) >= 0.99 * len(found)
+    print("candidates and lookups that leave some out", seen, "of", len(x))
+    assert seen[0][0] < len(x)
+    assert seen[0][1] < 0.02 * len(x)
+
+
+def test_copies_are_paired_with_the_first_ids_once(spark):
+    at = datetime.datetime(2024, 1, 1)
+    v = [float(i % 7) for i in range(64)]
+    ids = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame([(i, v, at) for i in ids], "id string, v array<float>, loaded_at timestamp_ntz")
+    found = [(r["id_a"], r["id_b"]) for r in similar_pairs([VectorTable(df, "id", ["v"])]).collect()]
+    want = {tuple(sorted((a, b))) for a in ids for b in [i for i in ids if i != a][:5]}
+    assert len(found) == len(want)
+    assert set(found) == want
